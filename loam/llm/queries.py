@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loam.llm.quality_rules import quality_rules
+from loam.llm.url_filter import DEFAULT_PATTERNS, host_rule, judge_urls
+
 SCALE_LIMIT_TOKENS = 2048
 
 
@@ -21,8 +24,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=SCALE_LIMIT_TOKENS)
 
 
+#: The rules of the contract: host and path, the longest wins.
+URL_RULES = tuple(host_rule(*x) for x in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_read(spark, sf_dir, "pages"), [*URL_RULES, *DEFAULT_PATTERNS])
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
