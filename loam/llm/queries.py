@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loam.llm.mixing import mix_sources
+from loam.llm.quality_model import score_quality
 from loam.llm.quality_rules import quality_rules
 from loam.llm.url_filter import DEFAULT_PATTERNS, host_rule, judge_urls
 
@@ -41,8 +42,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op6_mixing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op6_mixing, op7_quality_model, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
