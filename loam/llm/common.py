@@ -140,3 +140,56 @@ def rolling(h: np.ndarray, k: int, mult: int = 0x5851F42D4C957F2D) -> np.ndarray
         m = len(h) - size + 1
         power = power[:m] * shift + power[size // 2 : size // 2 + m]
     return finish(out[:n])
+
+
+def save_arrays(folder: str, bucket: int, **arrays: np.ndarray) -> None:
+    """Write a bucket's arrays; a task that runs twice replaces its files by equal ones."""
+    for name, a in arrays.items():
+        path = os.path.join(folder, f"{name}-{bucket:06d}.npy")
+        part = f"{path}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            np.save(f, a)
+        os.replace(part, path)
+
+
+class SortedArrays:
+    """Hash arrays, cut into buckets by the hash's leading bits and sorted, mapped into memory."""
+
+    def __init__(self, folder: str, key: str, values: tuple[str, ...], n_buckets: int):
+        self.shift = np.uint64(64 - (n_buckets - 1).bit_length())
+        self.keys, self.values = {}, {v: {} for v in values}
+        sizes = np.zeros(n_buckets + 1, dtype=np.int64)
+        for b in range(n_buckets):
+            if os.path.exists(path := os.path.join(folder, f"{key}-{b:06d}.npy")):
+                self.keys[b] = np.load(path, mmap_mode="r")
+                sizes[b + 1] = len(self.keys[b])
+                for v in values:
+                    self.values[v][b] = np.load(os.path.join(folder, f"{v}-{b:06d}.npy"), mmap_mode="r")
+        #: rank of each bucket's first key among all keys
+        self.first = np.cumsum(sizes)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Rank of each key, -1 where it is absent, and its values (0 where absent). keys: sorted."""
+        rank = np.full(len(keys), -1, dtype=np.int64)
+        out = {v: np.zeros(len(keys), dtype=next(iter(x.values())).dtype if x else np.float64) for v, x in self.values.items()}
+        bucket = keys >> self.shift
+        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        for a, b in zip(edges, np.r_[edges[1:], len(keys)], strict=True):
+            k = int(bucket[a])
+            own = self.keys.get(k)
+            if own is None or not len(own):
+                continue
+            at = np.minimum(np.searchsorted(own, keys[a:b]), len(own) - 1)
+            hit = own[at] == keys[a:b]
+            rank[a:b][hit] = at[hit] + self.first[k]
+            for v, x in out.items():
+                x[a:b][hit] = self.values[v][k][at[hit]]
+        return rank, out
+
+
+def bucket_rows(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
+    """Buckets of sorted keys and where each lies."""
+    bucket = keys >> np.uint64(64 - (n_buckets - 1).bit_length())
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    for a, b in zip(edges, np.r_[edges[1:], len(keys)], strict=True):
+        yield int(bucket[a]), slice(int(a), int(b))

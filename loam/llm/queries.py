@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from loam.llm.mixing import mix_sources
 from loam.llm.quality_model import score_quality
 from loam.llm.quality_rules import quality_rules
+from loam.llm.simhash import fingerprint_report
+from loam.llm.substring_dedup import dedup_report
 from loam.llm.url_filter import DEFAULT_PATTERNS, host_rule, judge_urls
 
 SCALE_LIMIT_TOKENS = 2048
@@ -46,8 +48,16 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(_read(spark, sf_dir, "documents"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(_read(spark, sf_dir, "documents"), radius=6, blocks=8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op6_mixing, op7_quality_model, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op5_substring_dedup, op6_mixing, op7_quality_model, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
