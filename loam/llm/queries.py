@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loam.llm.mixing import mix_sources
+from loam.llm.ngram_lm import held_out_scores
 from loam.llm.quality_model import score_quality
 from loam.llm.quality_rules import quality_rules
 from loam.llm.simhash import fingerprint_report
@@ -56,8 +57,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(_read(spark, sf_dir, "documents"), radius=6, blocks=8)
 
 
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_scores(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op5_substring_dedup, op6_mixing, op7_quality_model, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_ngram_lm, op5_substring_dedup, op6_mixing, op7_quality_model, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
