@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loam.llm.jaccard_join import near_duplicates
 from loam.llm.mixing import mix_sources
 from loam.llm.ngram_lm import held_out_scores
 from loam.llm.quality_model import score_quality
@@ -61,8 +62,13 @@ def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(_read(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_read(spark, sf_dir, "documents"), threshold=0.8, recall=0.99)
+    return found.select("doc_id", "class_id", "n_links", "class_size")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_ngram_lm, op5_substring_dedup, op6_mixing, op7_quality_model, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_ngram_lm, op4_jaccard_join, op5_substring_dedup, op6_mixing, op7_quality_model, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
