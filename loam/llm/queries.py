@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loam.llm.jaccard_join import near_duplicates
 from loam.llm.mixing import mix_sources
 from loam.llm.ngram_lm import held_out_scores
+from loam.llm.piece_sampling import sample_pieces
 from loam.llm.quality_model import score_quality
 from loam.llm.quality_rules import quality_rules
 from loam.llm.simhash import fingerprint_report
@@ -67,8 +68,14 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "class_size")
 
 
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sample_pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_ngram_lm, op4_jaccard_join, op5_substring_dedup, op6_mixing, op7_quality_model, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_ngram_lm, op4_jaccard_join, op5_substring_dedup, op6_mixing, op7_quality_model, op8_piece_sampling, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
