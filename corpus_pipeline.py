@@ -1,16 +1,60 @@
-"""A corpus pipeline; its stages are filled in below."""
+"""A corpus pipeline: documents to a cleaned, deduplicated, mixed and encoded training set.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, works on all rows its predecessor kept, and all but
+the last return the columns of documents. Some stages have no SQL: ORACLE_SQL is None and the tests hold every stage
+against a brute-force version.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from loam.llm.jaccard_join import one_of_each
+from loam.llm.mixing import mixed_documents
+from loam.llm.piece_sampling import sample_pieces
+from loam.llm.quality_model import keep_quality
+from loam.llm.substring_dedup import dedup_documents
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the PU-learned classifier rejects (score below 0.5)."""
+    return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates (Jaccard of 5-word shingles of 0.8 or more)."""
+    return one_of_each(docs, threshold=0.8, recall=0.99)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut words whose 20-word windows stand earlier in the corpus."""
+    return dedup_documents(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw the sources' targets: documents come as often as they are taken, dealt to shards and shuffled there."""
+    return mixed_documents(docs, weights=(5, 2, 1), share=1.5, most=2.0)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode texts as sampled SentencePiece ids. A document that is taken twice has the same ids twice."""
+    return sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_pieces", "lossless", "piece_ids")
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("substring dedup", repeats), ("mixing sources", mixture), ("SentencePiece encoding", pieces)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents."""
+    """All stages on documents, each written as Parquet in the shared folder and read again as the next one's docs."""
+    from uuid import uuid4
+
+    from loam.llm.common import shared_dir
+
+    folder = f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs
