@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("preparation",)
+FAMILIES = ("preparation", "windowing", "detection")
 
 
 def _all(kind: str) -> dict:
