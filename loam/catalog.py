@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("preparation", "windowing", "detection")
+FAMILIES = ("preparation", "windowing", "detection", "comparison")
 
 
 def _all(kind: str) -> dict:
