@@ -82,27 +82,29 @@ def _chosen(node: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _children(rows: DataFrame, threshold: float, runs: list[int] | None = None) -> DataFrame:
-    """rows (set_key, sig and, unless runs are started, node) to (node, set_key) of the next level."""
+    """rows (set_key, sig and, unless runs are started, node and n) to (node, set_key, above) of the next level; above:
+    the size of the bucket that was split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+            above = np.full(len(sig), np.iinfo(np.int64).max)
             if runs is not None:
                 roots = finish(np.array(runs, dtype=np.uint64) + np.uint64(1))
                 todo = [(np.full(len(sig), r, dtype=np.uint64), np.broadcast_to(m, sig.shape)) for r, m in zip(roots, _chosen(roots, threshold), strict=True)]
             else:
-                node = batch.column(2).to_numpy().view(np.uint64)
+                node, above = batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()
                 own, where = np.unique(node, return_inverse=True)
                 todo = [(node, _chosen(own, threshold)[where])]
             for node, mask in todo:
                 row, c = np.nonzero(mask)
                 child = finish(finish(node[row] ^ (c.astype(np.uint64) + np.uint64(77))) + sig[row, c])
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(pa.array(row))], names=["node", "set_key"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(above[row])], names=["node", "set_key", "above"])
 
-    columns = ["set_key", "sig"] if runs is not None else ["set_key", "sig", "node"]
-    return rows.select(columns).mapInArrow(run, "node bigint, set_key binary")
+    columns = ["set_key", "sig"] if runs is not None else ["set_key", "sig", "node", "n"]
+    return rows.select(columns).mapInArrow(run, "node bigint, set_key binary, above bigint")
 
 
 def _survival(depth: int) -> float:
@@ -114,29 +116,33 @@ def _survival(depth: int) -> float:
     return q
 
 
-def candidate_stars(reps: DataFrame, threshold: float, recall: float, small: int, per_batch: int = 6, deepest: int = 24) -> DataFrame:
+def candidate_stars(reps: DataFrame, threshold: float, recall: float, small: int, per_batch: int = 14, deepest: int = 24, alike: float = 0.6) -> DataFrame:
     """Pairs (a, b) of set keys, a star per bucket and group of sets in it whose signatures are alike: linear in the
-    bucket, yet it connects every pair that was found."""
-    stars, missed, start = [], 1.0, 0
+    bucket, yet it connects every pair that was found.
+
+    A bucket is split no further if it has at most `small` sets, or if at least the share `alike` of the bucket above
+    came along: then its sets are alike, and it is compared in pieces. Buckets of equal members are compared once."""
+    leaves, missed, start = [], 1.0, 0
     while missed > 1 - recall:
-        runs = list(range(start, start + per_batch))
+        level, depth = _children(reps, threshold, list(range(start, start + per_batch))), 0
         start += per_batch
-        level, depth = _children(reps, threshold, runs), 0
         while True:
             depth += 1
             level = saved(level)
-            sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            shared = saved(level.join(sizes, "node"))  # most sets are alone by now
-            large = shared.where(F.col("n") > small)
-            stars.append(_compare(shared if depth == deepest else shared.where(F.col("n") <= small), reps, threshold, small))
-            if depth == deepest or large.isEmpty():
+            sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("members"), F.first("above").alias("above")).where("n > 1")
+            done = (F.col("n") <= small) | (F.col("n") >= alike * F.col("above")) | F.lit(depth == deepest)
+            shared = saved(level.select("node", "set_key").join(sizes.select("node", "n", "members", done.alias("done")), "node"))  # most sets are alone by now
+            leaves.append(shared.where("done").select("node", "set_key", "n", "members"))
+            large = shared.where("not done")
+            if large.isEmpty():
                 break
             level = _children(large.join(reps, "set_key"), threshold)
         missed *= (1 - _survival(depth)) ** per_batch
-    out = stars[0]
-    for x in stars[1:]:
+    out = leaves[0]
+    for x in leaves[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    first = out.groupBy("n", "members").agg(F.min("node").alias("node")).select("node")
+    return _compare(out.join(first, "node", "left_semi"), reps, threshold, small).distinct()
 
 
 def _dealt(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -270,7 +276,7 @@ def _verify(clusters: DataFrame, threshold: float, most: int) -> DataFrame:
     return _dealt(clusters, ["cluster"], most).groupBy("cluster", "p", "q").applyInArrow(exact, "a binary, n_links bigint, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.99, small: int = 1024, most: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.99, small: int = 2048, most: int = 512) -> DataFrame:
     """One row per row of docs: id, text_hash, class_id, n_links, class_size, keeper_hash.
 
     Linked are rows whose sets of 5-word shingles have a Jaccard similarity of `threshold` or more; a class is a
