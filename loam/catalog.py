@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("preparation", "windowing", "detection", "comparison")
+FAMILIES = ("preparation", "windowing", "detection", "comparison", "choosing", "streams")
 
 
 def _all(kind: str) -> dict:
