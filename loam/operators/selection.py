@@ -59,7 +59,18 @@ def knn_information(x: np.ndarray, y: np.ndarray, k: int = 5) -> float:
         padded = np.r_[np.full(near, -np.inf), v, np.full(near, np.inf)]
         reach = np.min([np.maximum(v - padded[near - j : near - j + m], padded[2 * near - j : 2 * near - j + m] - v) for j in range(near + 1)], axis=0)
         radius[at], psi_k[at], psi_n[at] = np.nextafter(reach, 0), _psi(np.array([near]))[0], _psi(np.array([m]))[0]
-    m = np.searchsorted(x, x + radius, side="right") - np.searchsorted(x, x - radius, side="left")
+    # ends of the neighbourhood by distance itself: x + radius rounds, and could take in the k-th neighbour
+    n = len(x)
+    right, left = np.searchsorted(x, x + radius, side="right"), np.searchsorted(x, x - radius, side="left")
+    while (far := (right > 0) & (x[right - 1] - x > radius)).any():
+        right[far] -= 1
+    while (near := (right < n) & (x[np.minimum(right, n - 1)] - x <= radius)).any():
+        right[near] += 1
+    while (far := (left < n) & (x - x[np.minimum(left, n - 1)] > radius)).any():
+        left[far] += 1
+    while (near := (left > 0) & (x - x[left - 1] <= radius)).any():
+        left[near] -= 1
+    m = right - left
     return max(0.0, float(_psi(np.array([len(x)]))[0] + psi_k.mean() - psi_n.mean() - _psi(m).mean()))
 
 
