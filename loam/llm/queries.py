@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loam.llm.jaccard_join import near_duplicates
 from loam.llm.mixing import mix_sources
@@ -36,11 +37,11 @@ URL_RULES = tuple(host_rule(*x) for x in (("allow", "org/"), ("block", "example.
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(_read(spark, sf_dir, "pages"), [*URL_RULES, *DEFAULT_PATTERNS])
+    return judge_urls(_read(spark, sf_dir, "pages"), [*URL_RULES, *DEFAULT_PATTERNS]).drop("n_candidates")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_read(spark, sf_dir, "documents"))
+    return quality_rules(_read(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +79,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_ngram_lm, op4_jaccard_join, op5_substring_dedup, op6_mixing, op7_quality_model, op8_piece_sampling, op9_quality_rules, op10_fingerprints)}
 
 
+#: Words of a text, as in the operators: what ASCII white space parts.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')"
+_WORD_PATTERNS = ", ".join(f"'{r.name}'" for r in DEFAULT_PATTERNS)
+_ORACLES = {
+    "op2_url_filter": r"""
+WITH u AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT *, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT * FROM (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')) t(rule, rh, rp, v)),
+best AS (SELECT p.*, r.rule, r.v, row_number() OVER (PARTITION BY page_id, url ORDER BY length(r.rule) DESC) AS rn, (SELECT min(w) FROM (SELECT unnest(regexp_extract_all(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS w) WHERE w IN (PATTERNS)) AS word
+  FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN word IS NULL THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN rule IS NULL THEN word END AS pattern FROM best WHERE rn = 1""".replace("PATTERNS", _WORD_PATTERNS),
+    "op4_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, WORDS AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE i >= 0.8 * (x.n + y.n - i) - 1e-9),
+reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+SELECT doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id) AS class_id, (SELECT count(*) FROM e WHERE a = doc_id) AS n_links, greatest(1, (SELECT count(DISTINCT b) FROM reach WHERE a = doc_id)) AS class_size FROM documents""".replace("WORDS", _WORDS),
+    "op5_substring_dedup": r"""
+WITH w AS (SELECT doc_id, WORDS AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS start, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i + 19], ' ')))) AS g FROM w WHERE len(w) >= 20),
+d AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY g ORDER BY doc_id, start) AS rn FROM g) WHERE rn > 1),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+y AS (SELECT x.*, max(CASE WHEN d.start IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY x.doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM x LEFT JOIN d ON d.doc_id = x.doc_id AND d.start = x.i),
+k AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM y GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""".replace("WORDS", _WORDS),
+    "op9_quality_rules": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, WORDS AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM d WHERE len(w) > 2),
+t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM t) GROUP BY doc_id),
+b AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS f FROM f GROUP BY source),
+m AS (SELECT sum(f) / sum(n) AS m, count(*) AS k, sum(f * f / n) AS q, sum(f) AS ff, sum(n) AS nn, sum(n * n) AS n2 FROM h),
+v AS (SELECT *, (q - ff * m - (k - 1) * m * (1 - m)) / nullif(nn - n2 / nn, 0) AS v FROM m),
+c AS (SELECT m, CASE WHEN v > 0 THEN greatest(2, least(1000, m * (1 - m) / v - 1)) ELSE 1000 END AS s FROM v),
+r AS (SELECT source, (f + s * m) / (n + s) AS rate FROM h, c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept, round(rate, 6) AS host_rate FROM f JOIN r ON r.source IS NOT DISTINCT FROM f.source""".replace("WORDS", _WORDS),
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Queries that SQL can express; the others are tested against brute force, exact round trips or held-out rows."""
+    return dict(_ORACLES)
