@@ -54,7 +54,7 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def buckets_for(df: DataFrame, mb: int = 8) -> int:
+def buckets_for(df: DataFrame, mb: int = 2) -> int:
     """A number of hash buckets that grows with the input, from Catalyst's size estimate: parallelism only."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(16, min(1 << 16, 1 << (size // (mb << 20)).bit_length()))

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +21,8 @@ from loam.llm.common import SortedArrays, WordHash, as_binary, bucket_rows, buck
 
 K = 20
 M = 8
+#: Words that a task works on at a time: what bounds its memory.
+SLICE = 200_000
 _NONE_LAST = (1 << 63) - 1
 _CHECK = np.uint64(0x9FB21C651E98DF25)
 _OPEN: dict[str, SortedArrays] = {}
@@ -54,19 +55,18 @@ def windows(h: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return doc[start], start, at[start], g
 
 
-def _identity(batch: pa.RecordBatch, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.array([_NONE_LAST if x is None else x for x in batch.column(0)[begin:end].to_pylist()], dtype=np.int64)
-    texts = as_binary(batch.column(1))
-    return ids, np.array([xxhash.xxh3_64_intdigest(texts[i].as_py() or b"") for i in range(begin, end)], dtype=np.uint64).view(np.int64)
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> list:
+    """Columns that identify a row: _id (null: the largest) and _hash, the text's hash."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE_LAST)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash")]
 
 
 def _repeated_minimizers(rows: DataFrame, folder: str, n_buckets: int) -> None:
     """Write the hashes of all minimizers that occur twice or more in the corpus, as sorted arrays."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
+        hasher = WordHash(150_000)
         for batch in batches:
-            for _, _, h, lens in doc_words(batch, "text", hasher):
+            for _, _, h, lens in doc_words(batch, "text", hasher, SLICE):
                 _, _, at, g = windows(h, lens)
                 keys, n = np.unique(g[np.unique(at)], return_counts=True)
                 out = [(b, keys[s].tobytes(), np.packbits(n[s] > 1).tobytes()) for b, s in bucket_rows(keys, n_buckets)]
@@ -93,26 +93,26 @@ def repeated_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     In each task equal windows are settled first, so that a window every document holds is exchanged once per task.
     A window's identity is its 64-bit hash, a 32-bit hash of another family and its 64-bit minimizer.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(*_rows(docs, id_col, text_col), F.col(text_col).alias("text"))
     spark, n_buckets = docs.sparkSession, buckets_for(docs)
     folder = new_folder(spark, "minimizers")
     _repeated_minimizers(rows, folder, n_buckets)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
+        hasher = WordHash(150_000)
         if folder not in _OPEN:
             _OPEN.clear()
             _OPEN[folder] = SortedArrays(folder, "minimizer", (), n_buckets)
         index = _OPEN[folder]
         for batch in batches:
-            for begin, end, h, lens in doc_words(batch, "text", hasher):
+            for begin, end, h, lens in doc_words(batch, "text", hasher, SLICE):
                 doc, start, at, g = windows(h, lens)
                 own, where = np.unique(g[at], return_inverse=True)
                 hit = (index.find(own)[0] >= 0)[where]
                 doc, start, at = doc[hit], start[hit], at[hit]
                 if not len(doc):
                     continue
-                ids, texts = _identity(batch, begin, end)
+                ids, texts = (batch.column(c).to_numpy()[begin:end] for c in (0, 1))
                 edge, check = rolling(h, K)[start], rolling(finish(h ^ _CHECK), K, 0x2545F4914F6CDD1D)[start] >> np.uint64(32)
                 local = start - np.r_[0, np.cumsum(lens)[:-1]][doc]
                 data = (edge, check.astype(np.uint32), g[at], ids[doc], texts[doc], local.astype(np.int64))
@@ -190,28 +190,32 @@ def repeated_spans(pieces: DataFrame) -> DataFrame:
     return paths.groupBy("id", "text_hash", "path").agg(F.min("start").alias("start"), (F.sum("n") + K - 1).alias("n_words"), F.min("src_id").alias("src_id"), F.min("src_start").alias("src_start")).drop("path")
 
 
-def _covered(n: int, spans: list[dict] | None) -> np.ndarray:
+def _covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Which of n words stand in a repeated window."""
     change = np.zeros(n + 1, dtype=np.int64)
-    for x in spans or ():
-        change[x["start"]] += 1
-        change[min(n, x["start"] + x["n"] + K - 1)] -= 1
+    np.add.at(change, starts, 1)
+    np.add.at(change, np.minimum(n, starts + lengths + K - 1), -1)
     return np.cumsum(change[:n]) > 0
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of docs with the list of their pieces (column _spans); one shuffle of the texts."""
-    pieces = repeated_pieces(docs, id_col=id_col, text_col=text_col)
-    spans = pieces.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
+def _lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """starts and lengths of each row's pieces; none for null."""
+    offsets, flat = column.offsets.to_numpy(), column.values
+    starts, lengths = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    for i, ok in enumerate(there):
+        own = slice(offsets[i], offsets[i + 1]) if ok else slice(0, 0)
+        yield starts[own], lengths[own]
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = _identity(batch.select([id_col, text_col]), 0, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids), pa.array(texts)], names=[*batch.schema.names, "_id", "_hash"])
 
-    kind = T.StructType([*docs.schema.fields, T.StructField("_id", T.LongType()), T.StructField("_hash", T.LongType())])
-    own = docs.mapInArrow(keys, kind)
-    return own.join(spans, (F.col("_id") == F.col("id")) & (F.col("_hash") == F.col("text_hash")), "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_spans")
+def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of docs with the list of their pieces (column _spans, last); one shuffle of the texts."""
+    pieces = repeated_pieces(docs, id_col=id_col, text_col=text_col)
+    spans = pieces.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).select(F.col("id").alias("_own_id"), F.col("text_hash").alias("_own_hash"), "_spans")
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # whatever docs' columns are called
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), *_rows(docs, id_col, text_col))
+    joined = own.join(spans, (F.col("_id") == F.col("_own_id")) & (F.col("_hash") == F.col("_own_hash")), "left")
+    return joined.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)), "_spans")
 
 
 def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,14 +230,12 @@ def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans, out = as_binary(batch.column(1)), batch.column(2), []
-            for i in range(batch.num_rows):
+            texts, out = as_binary(batch.column(1)), []
+            for i, (starts, lengths) in enumerate(_lists(batch.column(2))):
                 words = (texts[i].as_py() or b"").split()
-                if (own := spans[i].as_py()) is None:
-                    out.append((len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()))
-                    continue
-                gone = _covered(len(words), own)
-                kept = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
+                kept = words
+                if len(starts):
+                    kept = [w for w, x in zip(words, _covered(len(words), starts, lengths).tolist(), strict=True) if not x]
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             n, m, digest = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(digest, pa.string())], names=[f.name for f in kind])
@@ -252,12 +254,12 @@ def dedup_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = as_binary(batch.column(at)).to_pylist(), batch.column(batch.num_columns - 1)
-            for i in range(batch.num_rows):
-                if texts[i] is not None and (own := spans[i].as_py()) is not None:
+            texts = as_binary(batch.column(at)).to_pylist()
+            for i, (starts, lengths) in enumerate(_lists(batch.column(batch.num_columns - 1))):
+                if texts[i] is not None and len(starts):
                     found = [m.span() for m in word.finditer(texts[i])]
-                    gone = _covered(len(found), own).tolist()
-                    lead = texts[i][: found[0][0]] if found else texts[i]
+                    gone = _covered(len(found), starts, lengths).tolist()
+                    lead = texts[i][: found[0][0]]
                     texts[i] = lead + b"".join(texts[i][a:b] for (a, b), x in zip(found, gone, strict=True) if not x)
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
