@@ -112,7 +112,7 @@ def tf_jerk_hjorth(spark: SparkSession, d: str) -> DataFrame:
     return r(X.with_steps(_win(spark, d), ["x"], KEYS, "row").groupBy(*KEYS).agg(*X.jerk_hjorth("x", 8.0)))
 
 
-@query(V.with_views("signals_li") + ", b AS (SELECT *, CAST(floor(i / 50) AS BIGINT) AS k FROM signals_li) SELECT run_id, k, round(coalesce(corr(ax, ay), 0), 6) AS corr_ax_ay, round(coalesce(corr(ax, gx), 0), 6) AS corr_ax_gx, CAST(0 AS DOUBLE) AS corr_ax_flat FROM b GROUP BY run_id, k HAVING count(*) > 1")
+@query(V.with_views("signals_li") + ", b AS (SELECT *, CAST(floor(i / 50) AS BIGINT) AS k FROM signals_li) SELECT run_id, k, round(CASE WHEN stddev_pop(ax) < 1e-12 OR stddev_pop(ay) < 1e-12 THEN 0 ELSE corr(ax, ay) END, 6) AS corr_ax_ay, round(CASE WHEN stddev_pop(ax) < 1e-12 OR stddev_pop(gx) < 1e-12 THEN 0 ELSE corr(ax, gx) END, 6) AS corr_ax_gx, CAST(0 AS DOUBLE) AS corr_ax_flat FROM b GROUP BY run_id, k HAVING count(*) > 1")
 def window_correlations(spark: SparkSession, d: str) -> DataFrame:
     rows = V.signals_li(spark, d).withColumn("k", F.floor(F.col("i") / 50)).withColumn("flat", F.lit(1.0))
     out = rows.groupBy("run_id", "k").agg(X.safe_corr("ax", "ay").alias("corr_ax_ay"), X.safe_corr("ax", "gx").alias("corr_ax_gx"), X.safe_corr("ax", "flat").alias("corr_ax_flat"))
