@@ -58,18 +58,18 @@ def holdout(rows: DataFrame, share: float, *, label: str = "label", key: Sequenc
     return rows.withColumn("validation", F.row_number().over(order) <= F.round(n * share))
 
 
-def _estimator(kind: str, seed: int):
+def _estimator(kind: str, seed: int, params: dict | None = None):
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 
     shared = {"featuresCol": "_z", "labelCol": "_y", "weightCol": "_w", "probabilityCol": "_p", "predictionCol": "_k", "rawPredictionCol": "_r"}
     if kind == "logistic":
-        return LogisticRegression(maxIter=50, regParam=1e-3, **shared)
+        return LogisticRegression(**({"maxIter": 50, "regParam": 1e-3} | (params or {})), **shared)
     if kind == "forest":
-        return RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed, **shared)
+        return RandomForestClassifier(**({"numTrees": 20, "maxDepth": 6} | (params or {})), seed=seed, **shared)
     raise ValueError(f"unknown model: {kind}")
 
 
-def fit_folds(table: DataFrame, features: Sequence[str], *, kind: str = "logistic", run: str = "run_id", label: str = "label", balanced: bool = True, seed: int = 42) -> list[tuple[object, object, list[str]]]:
+def fit_folds(table: DataFrame, features: Sequence[str], *, kind: str = "logistic", run: str = "run_id", label: str = "label", balanced: bool = True, seed: int = 42, params: dict | None = None) -> list[tuple[object, object, list[str]]]:
     """(run, fitted pipeline, its classes) for each run, trained on all others. A loop over folds, which are few; each fit
     is a distributed job on the cached table."""
     from pyspark.ml import Pipeline
@@ -85,7 +85,7 @@ def fit_folds(table: DataFrame, features: Sequence[str], *, kind: str = "logisti
         index = F.create_map(*(x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))))
         weight = F.create_map(*(x for c in classes for x in (F.lit(c), F.lit(n / len(classes) / counts[c] if balanced else 1.0))))
         train = train.withColumn("_y", index[F.col(label)]).withColumn("_w", weight[F.col(label)])
-        stages = [VectorAssembler(inputCols=list(features), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), _estimator(kind, seed)]
+        stages = [VectorAssembler(inputCols=list(features), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), _estimator(kind, seed, params)]
         out.append((held, Pipeline(stages=stages).fit(train), classes))
     return out
 
@@ -111,6 +111,34 @@ def loro_predict(table: DataFrame, features: Sequence[str], *, run: str = "run_i
     return out
 
 
+#: Values to draw from, by model.
+GRIDS = {"logistic": {"regParam": (0.1, 0.01, 0.001)}, "forest": {"numTrees": (20, 50, 100), "maxDepth": (5, 10, 15), "minInstancesPerNode": (1, 2, 4)}}
+
+
+def random_search(table: DataFrame, features: Sequence[str], *, kind: str = "logistic", run: str = "run_id", label: str = "label", draws: int = 10, k: int = 4, grid: dict | None = None, seed: int = 42) -> DataFrame:
+    """draw, params (JSON), macro_f1: settings drawn from the grid without repeats, each scored over k folds of whole
+    runs (macro-F1 over the classes of the fold), the best first."""
+    import itertools
+    import json
+    import random
+
+    grid = GRIDS[kind] if grid is None else grid
+    every = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
+    chosen = random.Random(seed).sample(every, min(draws, len(every)))
+    folded = table.join(F.broadcast(group_folds(table, run, k).select(run, "fold")), run)  # a row per run
+    parts = []
+    for i, params in enumerate(chosen):
+        names = sorted(r[label] for r in folded.select(label).distinct().collect())
+        for held, model, classes in fit_folds(folded, features, kind=kind, run="fold", label=label, seed=seed, params=params):
+            parts.append(predict(model, classes, folded.where(F.col("fold") == held), features, names).select(F.lit(i).alias("draw"), "fold", label, "pred"))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    score = fold_metrics(rows, keys=("draw",), label=label, classes="in_test").groupBy("draw").agg(F.avg("macro_f1").alias("macro_f1"))
+    names = table.sparkSession.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(chosen)], "draw int, params string")
+    return score.join(names, "draw").orderBy(F.col("macro_f1").desc(), "draw").select("draw", "params", "macro_f1")
+
+
 def noise_sweep(table: DataFrame, features: Sequence[str], sigmas: Sequence[float], repeats: int, *, run: str = "run_id", label: str = "label", seed: int = 7, **options) -> DataFrame:
     """sigma, mean, std (sample) and least macro-F1 (over the fold's classes) of folds whose test rows got noise of sigma
     training deviations. Models are fitted once per fold; noise is drawn for all sigmas and repeats at once."""

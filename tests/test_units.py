@@ -171,3 +171,14 @@ def test_prune_walk():
     r = {("a", "b"): 0.99, ("a", "c"): 0.97, ("b", "c"): 0.5}
     assert selection.prune_walk(["a", "b", "c"], r, {"a": 1.0, "b": 2.0, "c": 3.0}, 0.95) == ["a"]
     assert selection.prune_walk(["a", "b", "c"], r, {"a": 3.0, "b": 2.0, "c": 1.0}, 0.95) == ["b", "c"]
+
+
+def test_random_search(spark):
+    from loam.plans import crossval
+
+    rng = np.random.default_rng(1)
+    rows = [(int(i % 6), "a" if i % 2 else "b", float(rng.normal(3 * (i % 2), 1)), float(rng.normal())) for i in range(120)]
+    table = spark.createDataFrame(rows, "run_id bigint, label string, x double, y double").cache()
+    got = crossval.random_search(table, ("x", "y"), draws=2, k=3).collect()
+    assert len(got) == 2 and got[0].macro_f1 >= got[1].macro_f1 > 0.8
+    assert {r.fold for r in crossval.group_folds(table, "run_id", 3).collect()} == {0, 1, 2}
