@@ -57,7 +57,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_report(_read(spark, sf_dir, "documents"), radius=6, blocks=8)
+    return fingerprint_report(_read(spark, sf_dir, "documents"), similarity=0.8)
 
 
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,8 @@ y AS (SELECT x.*, max(CASE WHEN d.start IS NULL THEN 0 ELSE 1 END) OVER (PARTITI
 k AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM y GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""".replace("WORDS", _WORDS),
     "op9_quality_rules": r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, WORDS AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, WORDS AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM d WHERE len(w) > 2),
 t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM t) GROUP BY doc_id),
