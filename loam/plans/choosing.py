@@ -13,6 +13,9 @@ from loam.plans import crossval as M
 
 QUERIES, ORACLES = {}, {}
 X = tuple(f"x{i}" for i in range(8))
+ALL = tuple(f"x{i}" for i in range(64))
+#: Noise in training deviations, as in the reference: 0 to 2 in steps of 0.1.
+SIGMAS = [i / 10 for i in range(21)]
 EMB = V.with_views("series_emb") + ", w AS (SELECT vec_id, run_id, CASE WHEN label IN ('l0', 'l1', 'l2', 'l3', 'l4') THEN 'low' ELSE 'high' END AS label, " + ", ".join(f"series[{i + 1}] + {('series[1] * 30' if i == 3 else '0')} AS x{i}" for i in range(8)) + " FROM series_emb)"
 LONG = EMB + ", l AS (SELECT vec_id, run_id, label, unnest([" + ", ".join(f"'{x}'" for x in X) + "]) AS feature, unnest([" + ", ".join(X) + "]) AS value FROM w)"
 
@@ -31,8 +34,15 @@ def r(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
+def whole(spark: SparkSession, d: str) -> DataFrame:
+    """All 64 numbers of each embedding as features, all ten labels; x3 also follows x0."""
+    s = V.series_emb(spark, d)
+    return s.select("vec_id", "run_id", "label", *((F.col("series")[i] + (F.col("series")[0] * 30 if i == 3 else 0.0)).alias(x) for i, x in enumerate(ALL)))
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The first eight numbers of each embedding as features; x3 also follows x0."""
+    """The first eight numbers of each embedding and two labels, as the SQL has them; x3 also follows x0. Queries named
+    whole_... do the same with `whole`, and so do all that have no SQL."""
     s = V.series_emb(spark, d)
     extra = lambda i: F.col("series")[0] * 30 if i == 3 else 0.0
     low = F.col("label").isin("l0", "l1", "l2", "l3", "l4")
@@ -40,7 +50,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mi_knn(spark: SparkSession, d: str) -> DataFrame:
-    return r(S.mi_knn(vectors(spark, d), X))
+    return r(S.mi_knn(whole(spark, d), ALL))
 
 
 QUERIES["mi_knn"] = mi_knn
@@ -78,7 +88,7 @@ def corr_prune(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pca_explained(spark: SparkSession, d: str) -> DataFrame:
-    return r(S.explained_variance(vectors(spark, d), X))
+    return r(S.explained_variance(whole(spark, d), ALL))
 
 
 @query(EMB + " SELECT label, CASE WHEN x0 = hi THEN 25 ELSE CAST(floor((x0 - lo) / (hi - lo) * 25) AS BIGINT) + 1 END AS bin, count(*) AS n FROM w, (SELECT min(x0) AS lo, max(x0) AS hi FROM w) GROUP BY ALL")
@@ -104,6 +114,53 @@ def importance_mean_topk(spark: SparkSession, d: str) -> DataFrame:
     return r(S.mean_importance(rows, 5, 3)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query()
+def whole_mi_binned(spark: SparkSession, d: str) -> DataFrame:
+    return r(S.mi_binned(whole(spark, d), ALL))
+
+
+@query()
+def whole_topk_features(spark: SparkSession, d: str) -> DataFrame:
+    return S.top_features(r(S.mi_binned(whole(spark, d), ALL)), 5)
+
+
+@query()
+def whole_corr_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return r(S.correlations(whole(spark, d), ALL))
+
+
+@query()
+def whole_top_corr_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return r(S.top_pairs(whole(spark, d), ALL))
+
+
+@query()
+def whole_corr_prune(spark: SparkSession, d: str) -> DataFrame:
+    return S.correlation_prune(whole(spark, d), ALL)
+
+
+@query()
+def whole_class_histogram(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.melt(whole(spark, d), ["label"], ALL).dropna(subset=["value"])
+    span = rows.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    place = F.least(F.lit(25), F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 25) + 1)
+    placed = rows.join(F.broadcast(span), "feature").withColumn("bin", F.when(F.col("_hi") > F.col("_lo"), place).otherwise(F.lit(1)).cast("bigint"))
+    return placed.groupBy("feature", "label", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def whole_feature_set_overlap(spark: SparkSession, d: str) -> DataFrame:
+    mi = r(S.mi_binned(whole(spark, d), ALL))
+    return S.overlap(S.top_features(mi, 5), mi.orderBy("feature").limit(5))
+
+
+@query()
+def whole_importance_mean_topk(spark: SparkSession, d: str) -> DataFrame:
+    long = S.melt(whole(spark, d), ["vec_id", "run_id"], ALL)
+    rows = long.groupBy("run_id", F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("model"), "feature").agg(F.round(F.avg(F.abs("value")), 9).alias("importance"))
+    return r(S.mean_importance(rows, 5, 3)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def _segmented(spark: SparkSession, d: str, every: int = 97) -> DataFrame:
     """The suppliers' lines with every 97th missing, so that there are gaps."""
     return G.with_segments(V.signals_li(spark, d).where(f"i % {every} <> 0"), 0.015)
@@ -141,23 +198,23 @@ def filter_select(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def loro_predict(spark: SparkSession, d: str) -> DataFrame:
-    out = M.loro_predict(vectors(spark, d), X)
+    out = M.loro_predict(whole(spark, d), ALL)
     return out.select("vec_id", "run_id", "label", "pred", F.transform("proba", lambda x: F.round(x, 4)).alias("proba"))
 
 
 @query()
 def noise_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return r(M.noise_sweep(vectors(spark, d), X, [0.0, 0.5, 1.0], 3))
+    return r(M.noise_sweep(whole(spark, d), ALL, SIGMAS, 10))
 
 
 @query()
 def sensor_dropout(spark: SparkSession, d: str) -> DataFrame:
-    return r(M.sensor_dropout(vectors(spark, d), {"first": X[:4], "second": X[4:]}))
+    return r(M.sensor_dropout(whole(spark, d), {"first": ALL[:32], "second": ALL[32:]}))
 
 
 @query()
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    return r(M.permutation_importance(vectors(spark, d), X[:3], repeats=2, key=["vec_id"]))
+    return r(M.permutation_importance(whole(spark, d), ALL, repeats=8, key=["vec_id"]))
 
 
 @query(V.with_views("signals_ev") + ", s AS (SELECT run_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST(run_id AS VARCHAR)) AS o FROM signals_ev GROUP BY run_id), walk AS (SELECT CAST(0 AS BIGINT) AS o, CAST(NULL AS BIGINT) AS run_id, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS fold, [0, 0, 0, 0]::BIGINT[] AS load UNION ALL SELECT s.o, s.run_id, s.n, CAST(list_position(load, list_min(load)) - 1 AS BIGINT), list_transform(load, lambda x, i: x + CASE WHEN i = list_position(load, list_min(load)) THEN s.n ELSE 0 END) FROM walk JOIN s ON s.o = walk.o + 1) SELECT run_id, n, fold FROM walk WHERE o > 0")

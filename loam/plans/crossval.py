@@ -192,13 +192,16 @@ def permutation_importance(table: DataFrame, features: Sequence[str], repeats: i
     parts = []
     for held, model, classes in fit_folds(table, features, run=run, label=label, **options):
         test = table.where(F.col(run) == held)
-        cases = [(f, i) for f in features for i in range(repeats)]
-        parts.append(predict(model, classes, test, features, names).select(F.lit("").alias("feature"), F.lit(-1).alias("rep"), F.col(run).alias("fold"), label, "pred"))
         rows = test.withColumn("_row", F.row_number().over(Window.partitionBy(run).orderBy(*key)))
-        for f, i in cases:
-            other = rows.select(F.row_number().over(Window.partitionBy(run).orderBy(F.xxhash64(F.lit(seed + i), F.lit(f), *key), *key)).alias("_row"), F.col(f).alias("_new"))
-            mixed = rows.join(other, "_row").withColumn(f, F.col("_new")).select(*table.columns)
-            parts.append(predict(model, classes, mixed, features, names).select(F.lit(f).alias("feature"), F.lit(i).alias("rep"), F.col(run).alias("fold"), label, "pred"))
+        # a row per case: a feature, a repeat; all cases of a fold are dealt and predicted in one pass
+        values = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_new")) for f in features))
+        cases = test.select(*key, F.explode(values).alias("_v")).select(*key, "_v.*").withColumn("_at", F.explode(F.sequence(F.lit(seed), F.lit(seed + repeats - 1))))
+        order = Window.partitionBy("feature", "_at").orderBy(F.xxhash64("_at", "feature", *key), *key)
+        other = cases.select("feature", "_at", "_new", F.row_number().over(order).alias("_row"))
+        mixed = rows.join(other, "_row").withColumns({f: F.when(F.col("feature") == f, F.col("_new")).otherwise(F.col(f)) for f in features})
+        mixed = mixed.select(*table.columns, F.col("feature").alias("_feature"), (F.col("_at") - seed).alias("_rep"))
+        parts.append(predict(model, classes, test, features, names).select(F.lit("").alias("feature"), F.lit(-1).alias("rep"), F.col(run).alias("fold"), label, "pred"))
+        parts.append(predict(model, classes, mixed, features, names).select(F.col("_feature").alias("feature"), F.col("_rep").alias("rep"), F.col(run).alias("fold"), label, "pred"))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
