@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,15 +63,21 @@ def transition_outcomes(rows: DataFrame, n_stable: int | DataFrame = 3, late_aft
     return joined.select(*on, "from_label", "to_label", "gt_time", F.when(hit, F.col("detection_time")).alias("detection_time"), delay.alias("delay"), F.when(edge, "boundary").when(hit, "detected").otherwise("missed").alias("outcome"), F.coalesce(delay > late_after, F.lit(False)).alias("is_late"))
 
 
+def summary_of(rows: Column | None = None) -> list[Column]:
+    """Aggregates over outcomes: counts of each and figures of the detected ones' delay (deviation: sample); with a
+    condition, over the rows that meet it."""
+    there = F.lit(True) if rows is None else rows
+    count = lambda x: F.count_if(there & (F.col("outcome") == x))
+    delay = F.when(there & (F.col("outcome") == "detected"), F.col("delay"))
+    return [
+        F.count_if(there).alias("n_transitions"), count("detected").alias("n_detected"), count("missed").alias("n_missed"), count("boundary").alias("n_boundary"), count("wrong_class").alias("n_wrong_class"),
+        F.avg(delay).alias("mean_delay"), F.percentile(delay, F.lit(0.5)).alias("median_delay"), F.stddev_samp(delay).alias("std_delay"), F.max(delay).alias("max_delay"), F.count_if(there & F.col("is_late")).alias("n_late"),
+    ]
+
+
 def transition_summary(outcomes: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
-    """Counts of outcomes, detection_rate = detected / (total - boundary), and figures of the detected ones' delay
-    (deviation: sample)."""
-    count = lambda x: F.count_if(F.col("outcome") == x)
-    delay = F.when(F.col("outcome") == "detected", F.col("delay"))
-    out = outcomes.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_transitions"), count("detected").alias("n_detected"), count("missed").alias("n_missed"), count("boundary").alias("n_boundary"), count("wrong_class").alias("n_wrong_class"),
-        F.avg(delay).alias("mean_delay"), F.percentile(delay, F.lit(0.5)).alias("median_delay"), F.stddev_samp(delay).alias("std_delay"), F.max(delay).alias("max_delay"), F.count_if("is_late").alias("n_late"),
-    )
+    """Counts of outcomes, detection_rate = detected / (total - boundary), and figures of the detected ones' delay."""
+    out = outcomes.groupBy(*keys).agg(*summary_of())
     return out.withColumn("detection_rate", F.try_divide(F.col("n_detected"), F.col("n_transitions") - F.col("n_boundary")))
 
 

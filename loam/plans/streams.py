@@ -3,8 +3,6 @@ ones as streams over the table's files."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +63,12 @@ def stream_qc(spark: SparkSession, d: str) -> DataFrame:
     return J.stream_qc(events(spark, d), "1 day").select("run_id", _secs("start"), "n", F.round("span_s", 6).alias("span_s"), F.round("mean_dt", 6).alias("mean_dt"))
 
 
-for _n in ("session_segments", "stream_sliding_stats", "stream_dedup", "stream_qc"):
+@query("SELECT run_id, CAST(floor(t / 86400) * 86400 AS DOUBLE) AS start, count(*) AS n, round(quantile_cont(dt, 0.5), 6) AS median_dt, round(max(dt), 6) AS max_dt FROM (SELECT run_id, t, t - lag(t) OVER (PARTITION BY run_id, floor(t / 86400) ORDER BY t) AS dt FROM signals_ev) GROUP BY run_id, floor(t / 86400)")
+def stream_qc_steps(spark: SparkSession, d: str) -> DataFrame:
+    return J.stream_qc(events(spark, d), "1 day").select("run_id", _secs("start"), "n", F.round("median_dt", 6).alias("median_dt"), F.round("max_dt", 6).alias("max_dt"))
+
+
+for _n in ("session_segments", "stream_sliding_stats", "stream_dedup", "stream_qc", "stream_qc_steps"):
     ORACLES[_n] = V.with_views("signals_ev") + " " + ORACLES[_n]
 ORACLES["stream_label"] = V.with_views("signals_ev", "intervals") + " " + ORACLES["stream_label"]
 
@@ -82,14 +85,14 @@ def _classes(rows: DataFrame) -> DataFrame:
 @query()
 def stream_cusum(spark: SparkSession, d: str) -> DataFrame:
     """Alarms of a stream over the events' files; the tests hold them against the batch detector's."""
-    found = J.stream_cusum(_classes(events(spark, d, stream=True)), V.CLASSES, 3.0, keys=("run_id",), label="lbl")
-    return J.drain(found, f"cusum_{uuid.uuid4().hex}").select("run_id", "k_a", _secs("alarm_time"), "c_hat", "k0_hat", F.round("g_max", 6).alias("g_max"))
+    found = J.stream_cusum(_classes(events(spark, d, stream=True)), V.CLASSES, 3.0, keys=("run_id",), label="lbl", tie="event_id")
+    return J.drain(found, "stream-cusum").select("run_id", "k_a", _secs("alarm_time"), "c_hat", "k0_hat", F.round("g_max", 6).alias("g_max"))
 
 
 @query()
 def stream_stable(spark: SparkSession, d: str) -> DataFrame:
-    found = J.stream_stable(_classes(events(spark, d, stream=True)), 3, keys=("run_id",))
-    return J.drain(found, f"stable_{uuid.uuid4().hex}").select("run_id", "label", _secs("start"), _secs("confirmed"))
+    found = J.stream_stable(_classes(events(spark, d, stream=True)), 3, keys=("run_id",), tie="event_id")
+    return J.drain(found, "stream-stable").select("run_id", "label", _secs("start"), _secs("confirmed"))
 
 
 ORACLES["stream_stable"] = V.with_views("preds") + ", g AS (SELECT *, i - row_number() OVER (PARTITION BY run_id, pred ORDER BY i) AS g FROM preds WHERE model = 0), h AS (SELECT *, row_number() OVER (PARTITION BY run_id, pred, g ORDER BY i) AS j, min(t) OVER (PARTITION BY run_id, pred, g) AS st FROM g) SELECT run_id, pred AS label, round(st, 6) AS start, round(t, 6) AS confirmed FROM h WHERE j = 3"

@@ -8,11 +8,9 @@ from oracle import connection, difference
 from loam import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-#: Long-running model jobs and recursions: run by hand with tests/oracle.py.
-SLOW = {"cusum_outcomes", "false_alarms", "false_alarm_rate", "operating_curve", "calibrate_threshold"}
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, name):
     assert not difference(spark, connection(SF), name, catalog.queries()[name], catalog.oracle_sql()[name], SF)
 
