@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.shared import shared_dir, shared_path
+
 #: The ASCII white space that parts words: space and U+0009 to U+000D (bytes.split() parts at the same).
 SPACES = " \t\n\x0b\x0c\r"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -27,29 +29,16 @@ def words_column(text: Column) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset, as in local
-    tests, a temporary folder is made and set."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loam-shared-"))
-        where = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where
-
-
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A path of its own in the shared folder for arrays that workers map into memory.
 
     The shared folder has to be mounted on every machine (a local disk in tests, NFS or a FUSE mount on a
     cluster), as memory mapping needs a path; a folder that only Hadoop's clients reach is refused.
     """
-    url = urlparse(shared_dir(spark))
+    url = urlparse(shared_path(spark, kind))
     if url.scheme not in ("", "file"):
         raise ValueError(f"arrays are memory-mapped: spark.checkpoint.dir has to be a mounted path, not {url.geturl()}")
-    path = os.path.join(unquote(url.path), f"{kind}-{uuid.uuid4().hex}")
+    path = unquote(url.path)
     os.makedirs(path, exist_ok=True)
     return path
 
@@ -57,7 +46,7 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 def buckets_for(df: DataFrame, mb: int = 2) -> int:
     """A number of hash buckets that grows with the input, from Catalyst's size estimate: parallelism only."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(16, min(1 << 16, 1 << (size // (mb << 20)).bit_length()))
+    return max(16, 1 << min(40, (size // (mb << 20)).bit_length()))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -142,49 +131,69 @@ def rolling(h: np.ndarray, k: int, mult: int = 0x5851F42D4C957F2D) -> np.ndarray
     return finish(out[:n])
 
 
-def save_arrays(folder: str, bucket: int, **arrays: np.ndarray) -> None:
-    """Write a bucket's arrays; a task that runs twice replaces its files by equal ones."""
-    for name, a in arrays.items():
-        path = os.path.join(folder, f"{name}-{bucket:06d}.npy")
-        part = f"{path}.{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            np.save(f, a)
-        os.replace(part, path)
+def save_arrays(folder: str, name: str, bucket: int, keys: np.ndarray, **values: np.ndarray) -> None:
+    """Write a bucket's sorted keys and their values as one file: how many, then array after array. A task that runs
+    twice replaces the file by an equal one."""
+    path = _file(folder, name, bucket)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(np.int64(len(keys)).tobytes())
+        for a in (keys.astype(np.uint64, copy=False), *values.values()):
+            f.write(a.tobytes() + b"\0" * (-a.nbytes % 8))
+    os.replace(part, path)
+
+
+def _file(folder: str, name: str, bucket: int) -> str:
+    return os.path.join(folder, name, f"{bucket >> 10:06d}", f"{bucket & 1023:04d}.bin")
 
 
 class SortedArrays:
-    """Hash arrays, cut into buckets by the hash's leading bits and sorted, mapped into memory."""
+    """Hash arrays, cut into buckets by the key's leading bits and sorted, one file each. A bucket is mapped into memory
+    when its keys are asked for; the last `most_open` stay mapped, so open files are bounded at any size."""
 
-    def __init__(self, folder: str, key: str, values: tuple[str, ...], n_buckets: int):
+    def __init__(self, folder: str, name: str, values: dict[str, type], n_buckets: int, most_open: int = 2048):
         self.shift = np.uint64(64 - (n_buckets - 1).bit_length())
-        self.keys, self.values = {}, {v: {} for v in values}
-        sizes = np.zeros(n_buckets + 1, dtype=np.int64)
-        for b in range(n_buckets):
-            if os.path.exists(path := os.path.join(folder, f"{key}-{b:06d}.npy")):
-                self.keys[b] = np.load(path, mmap_mode="r")
-                sizes[b + 1] = len(self.keys[b])
-                for v in values:
-                    self.values[v][b] = np.load(os.path.join(folder, f"{v}-{b:06d}.npy"), mmap_mode="r")
-        #: rank of each bucket's first key among all keys
-        self.first = np.cumsum(sizes)
+        self.folder, self.name, self.kinds, self.most_open = folder, name, {v: np.dtype(t) for v, t in values.items()}, most_open
+        self.open: OrderedDict[int, tuple[np.ndarray, dict[str, np.ndarray]] | None] = OrderedDict()
+
+    def bucket(self, b: int) -> tuple[np.ndarray, dict[str, np.ndarray]] | None:
+        """A bucket's keys and values; None if no key fell there."""
+        if b in self.open:
+            self.open.move_to_end(b)
+            return self.open[b]
+        if len(self.open) >= self.most_open:
+            self.open.popitem(last=False)
+        self.open[b] = found = self._map(b)
+        return found
+
+    def _map(self, b: int) -> tuple[np.ndarray, dict[str, np.ndarray]] | None:
+        try:
+            raw = np.memmap(_file(self.folder, self.name, b), dtype=np.uint8, mode="r")
+        except FileNotFoundError:
+            return None
+        n, at, values = int(raw[:8].view(np.int64)[0]), 8, {}
+        keys = raw[at : at + 8 * n].view(np.uint64)
+        at += 8 * n
+        for v, t in self.kinds.items():
+            values[v] = raw[at : at + t.itemsize * n].view(t)
+            at += -(-t.itemsize * n // 8) * 8
+        return keys, values
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Rank of each key, -1 where it is absent, and its values (0 where absent). keys: sorted."""
-        rank = np.full(len(keys), -1, dtype=np.int64)
-        out = {v: np.zeros(len(keys), dtype=next(iter(x.values())).dtype if x else np.float64) for v, x in self.values.items()}
-        bucket = keys >> self.shift
-        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        for a, b in zip(edges, np.r_[edges[1:], len(keys)], strict=True):
-            k = int(bucket[a])
-            own = self.keys.get(k)
-            if own is None or not len(own):
+        """Whether each key is there, and its values (0 where it is absent). keys: sorted."""
+        there = np.zeros(len(keys), dtype=bool)
+        out = {v: np.zeros(len(keys), dtype=t) for v, t in self.kinds.items()}
+        for b, own in bucket_rows(keys, 1 << (64 - int(self.shift))):
+            got = self.bucket(b)
+            if got is None or not len(got[0]):
                 continue
-            at = np.minimum(np.searchsorted(own, keys[a:b]), len(own) - 1)
-            hit = own[at] == keys[a:b]
-            rank[a:b][hit] = at[hit] + self.first[k]
+            at = np.minimum(np.searchsorted(got[0], keys[own]), len(got[0]) - 1)
+            hit = got[0][at] == keys[own]
+            there[own] = hit
             for v, x in out.items():
-                x[a:b][hit] = self.values[v][k][at[hit]]
-        return rank, out
+                x[own][hit] = got[1][v][at[hit]]
+        return there, out
 
 
 def bucket_rows(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:

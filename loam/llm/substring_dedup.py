@@ -1,30 +1,36 @@
 """Remove word sequences that stand earlier in the corpus: a compacted De Bruijn graph of repeated token k-mers.
 
-Every 20-word window is an edge (a k-mer). Edges are dealt out by the least hash of their 8-word parts (their
-minimizer), so equal edges meet and a run of neighbouring edges travels as one piece. Minimizers that occur once
-can't belong to a repeated edge: they are found first, and only pieces of the others are exchanged at all. Repeated
-edges of one document that continue the same source line up into nonbranching paths.
+Every 20-word window is an edge between two nodes, its first and its last 19 words. Nodes are dealt to buckets by the
+least hash of their 8-word parts (their minimizer), so all edges of a node meet in its bucket, and neighbouring nodes
+mostly travel as one piece. Minimizers that occur once belong to no repeated node: they are found first, and only
+pieces of the others are exchanged. A bucket finds the repeated edges, where each stands first, the degrees of its
+nodes, and fragments: edges that follow one another at their source through nodes with one edge in and one out.
+Fragments of different buckets are glued to nonbranching paths by joins on their end nodes. What repeats is then laid
+along its path, span by span, and every span's words are compared with the words at its source before they are cut.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm.common import SortedArrays, WordHash, as_binary, bucket_rows, buckets_for, doc_words, finish, new_folder, rolling, save_arrays
+from loam.llm.common import MIX, SortedArrays, WordHash, as_binary, bucket_rows, buckets_for, doc_words, finish, new_folder, rolling, save_arrays, saved
 
 K = 20
+NODE = K - 1
 M = 8
 #: Words that a task works on at a time: what bounds its memory.
 SLICE = 200_000
-_NONE_LAST = (1 << 63) - 1
-_CHECK = np.uint64(0x9FB21C651E98DF25)
+#: A minimizer that this many slices hold is hot: its nodes are dealt by their own hash instead.
+HOT_SLICES = 32
+_LAST = (1 << 63) - 1
 _OPEN: dict[str, SortedArrays] = {}
 
 
@@ -42,58 +48,82 @@ def least(g: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def windows(h: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each whole window: index of its document, its start in the words, the position of its minimizer; and the
-    hashes of all M-word parts."""
+def nodes_of(h: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each node of a document with an edge: the document's index, the node's start in the words, the position of its
+    minimizer; and the hashes of all M-word parts."""
     g = rolling(h, M)
     if len(h) < K:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, g
-    at = least(g, K - M + 1)
+    at = least(g, NODE - M + 1)
     doc = np.repeat(np.arange(len(lens)), lens)
-    start = np.flatnonzero(doc[: len(h) - K + 1] == doc[K - 1 :])
+    start = np.flatnonzero((doc[: len(h) - NODE + 1] == doc[NODE - 1 :]) & (lens[doc[: len(h) - NODE + 1]] >= K))
     return doc[start], start, at[start], g
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> list:
-    """Columns that identify a row: _id (null: the largest) and _hash, the text's hash."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE_LAST)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash")]
+def _row_keys(docs: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
+    """docs and a whole number that orders its rows as their ids do, nulls last; rows of equal id have the same.
+
+    A number for ids that are whole numbers; other ids are sorted once, their place is joined back (a shuffle of the
+    texts)."""
+    kind = docs.schema[id_col].dataType
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if whole:
+        top = docs.agg(F.max(id_col).alias("most"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
+        if not (top.nulls and top.most == _LAST):
+            return docs, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    ids = docs.select(F.col(id_col).alias("_ranked")).where("_ranked is not null").distinct().repartitionByRange("_ranked").sortWithinPartitions("_ranked")
+    ranks = saved(ids.withColumn("_rank", F.monotonically_increasing_id()))
+    joined = docs.join(ranks, F.col(id_col) == F.col("_ranked"), "left")
+    return joined, F.coalesce(F.col("_rank"), F.lit(_LAST))
 
 
 def _repeated_minimizers(rows: DataFrame, folder: str, n_buckets: int) -> None:
-    """Write the hashes of all minimizers that occur twice or more in the corpus, as sorted arrays."""
+    """Write the hashes of all minimizers that occur twice or more in the corpus, as sorted arrays; hot: 1 for those
+    that many slices hold."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHash(150_000)
         for batch in batches:
             for _, _, h, lens in doc_words(batch, "text", hasher, SLICE):
-                _, _, at, g = windows(h, lens)
+                _, _, at, g = nodes_of(h, lens)
                 keys, n = np.unique(g[np.unique(at)], return_counts=True)
                 out = [(b, keys[s].tobytes(), np.packbits(n[s] > 1).tobytes()) for b, s in bucket_rows(keys, n_buckets)]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in out], pa.int32()), "keys": pa.array([x[1] for x in out], pa.binary()), "twice": pa.array([x[2] for x in out], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in out], pa.int64()), "keys": pa.array([x[1] for x in out], pa.binary()), "twice": pa.array([x[2] for x in out], pa.binary())})
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        parts = []
-        for keys, twice in zip(table["keys"].to_pylist(), table["twice"].to_pylist(), strict=True):
-            k = np.frombuffer(keys, dtype=np.uint64)
-            parts += [k, k[np.unpackbits(np.frombuffer(twice, dtype=np.uint8), count=len(k)).astype(bool)]]
-        k = np.sort(np.concatenate(parts))
-        again = k[1:][k[1:] == k[:-1]]
-        save_arrays(folder, key[0].as_py(), minimizer=np.unique(again))
-        return pa.table({"n": pa.array([len(again)], pa.int64())})
-
-    found = rows.mapInArrow(gather, "bucket int, keys binary, twice binary").groupBy("bucket").applyInArrow(merge, "n bigint")
+        parts, twice = [], []
+        for keys, more in zip(table["keys"].to_pylist(), table["twice"].to_pylist(), strict=True):
+            parts.append(np.frombuffer(keys, dtype=np.uint64))
+            twice.append(np.unpackbits(np.frombuffer(more, dtype=np.uint8), count=len(parts[-1])).astype(bool))
+        k, more = np.concatenate(parts), np.concatenate(twice)
+        order = np.argsort(k, kind="stable")
+        k, more = k[order], more[order]
+        new = np.flatnonzero(np.r_[len(k) > 0, k[1:] != k[:-1]][: len(k)])
+        slices = np.diff(np.r_[new, len(k)])
+        again = (slices > 1) | (np.add.reduceat(more, new) > 0 if len(new) else False)
+        save_arrays(folder, "minimizer", key[0].as_py(), k[new][again], hot=(slices[again] >= HOT_SLICES).astype(np.uint8))
+        return pa.table({"n": pa.array([int(again.sum())], pa.int64())})
+
+    found = rows.mapInArrow(gather, "bucket long, keys binary, twice binary").groupBy("bucket").applyInArrow(merge, "n bigint")
     found.agg(F.sum("n")).collect()  # one number
 
 
-def repeated_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of repeated edges: id (null ids: the largest), text_hash, start, n (neighbouring windows, each of which
-    stands earlier), src_id, src_start (where: the first window's earlier place; the others follow it there).
+#: What buckets say: 0 a run of repeated edges that stand earlier; 1 a fragment; 2 where the edges of a piece stand that
+#: had equals in its slice; 3 such an equal.
+_SAID = ("kind", "id", "text_hash", "start", "n", "src_id", "src_hash", "src_start", "head", "at", "left", "right")
+_SAID_DDL = ", ".join(f"{c} {'int' if c == 'kind' else 'bigint'}" for c in _SAID)
+_PIECE_COLUMNS = {"ids": np.int64, "texts": np.int64, "starts": np.int64, "sizes": np.uint8, "nodes": np.uint64}
+
 
-    In each task equal windows are settled first, so that a window every document holds is exchanged once per task.
-    A window's identity is its 64-bit hash, a 32-bit hash of another family and its 64-bit minimizer.
+def graph(docs: DataFrame, key: Column, text_col: str) -> DataFrame:
+    """What all buckets say (see _SAID), written once. A run of edges names its first edge's place and its source's;
+    the others follow both. head: where the fragment begins at the source; left, right: a fragment's end nodes; at (1):
+    1 if the left one has one edge in and one out; at (2): the run's first edge within its piece.
+
+    In each slice equal pieces are exchanged once, so that a passage that every document holds costs a row per slice.
     """
-    rows = docs.select(*_rows(docs, id_col, text_col), F.col(text_col).alias("text"))
+    rows = docs.select(key.alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"), F.col(text_col).alias("text"))
     spark, n_buckets = docs.sparkSession, buckets_for(docs)
     folder = new_folder(spark, "minimizers")
     _repeated_minimizers(rows, folder, n_buckets)
@@ -102,171 +132,352 @@ def repeated_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         hasher = WordHash(150_000)
         if folder not in _OPEN:
             _OPEN.clear()
-            _OPEN[folder] = SortedArrays(folder, "minimizer", (), n_buckets)
+            _OPEN[folder] = SortedArrays(folder, "minimizer", {"hot": np.uint8}, n_buckets)
         index = _OPEN[folder]
         for batch in batches:
             for begin, end, h, lens in doc_words(batch, "text", hasher, SLICE):
-                doc, start, at, g = windows(h, lens)
+                doc, start, at, g = nodes_of(h, lens)
                 own, where = np.unique(g[at], return_inverse=True)
-                hit = (index.find(own)[0] >= 0)[where]
-                doc, start, at = doc[hit], start[hit], at[hit]
-                if not len(doc):
-                    continue
-                ids, texts = (batch.column(c).to_numpy()[begin:end] for c in (0, 1))
-                edge, check = rolling(h, K)[start], rolling(finish(h ^ _CHECK), K, 0x2545F4914F6CDD1D)[start] >> np.uint64(32)
-                local = start - np.r_[0, np.cumsum(lens)[:-1]][doc]
-                data = (edge, check.astype(np.uint32), g[at], ids[doc], texts[doc], local.astype(np.int64))
-                first, removed = _settle(*data[:2], *data[3:])
-                pieces = _pieces(data[3], data[4], data[5], removed)
-                yield _blobs(tuple(x[first] for x in data), pieces, n_buckets)
+                there, values = index.find(own)
+                keep = there[where]
+                if keep.any():
+                    ids, texts = (batch.column(c).to_numpy()[begin:end] for c in (0, 1))
+                    yield _pieces_out(h, lens, doc[keep], start[keep], at[keep], g, values["hot"][where][keep] > 0, ids, texts, n_buckets)
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
-        packed = [x for x in table["pieces"].to_pylist() if x is not None]
-        parts = [pa.ipc.open_stream(x).read_all() for x in packed]
-        table = table.filter(table["edge"].is_valid())
+        equals = [np.frombuffer(x, dtype=np.int64).reshape(-1, 7) for x in table["equals"].to_pylist() if x is not None]
+        parts = [_said(3, *x.T) for x in equals]
+        table = table.filter(table["ids"].is_valid())
         if table.num_rows:
-            edge, check, ids, texts, local = (np.concatenate([np.frombuffer(x, dtype=t) for x in table[c].to_pylist()]) for c, t in _COLUMNS.items())
-            parts.append(pa.Table.from_batches([_pieces(ids, texts, local, _settle(edge, check, ids, texts, local)[1])]))
-        return pa.concat_tables(parts)
-
-    return rows.mapInArrow(emit, "bucket int, edge binary, ck binary, ids binary, texts binary, starts binary, pieces binary").groupBy("bucket").applyInArrow(settle, _PIECE_DDL)
-
-
-_PIECE = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("src_id", pa.int64()), ("src_start", pa.int64())])
-_PIECE_DDL = "id bigint, text_hash bigint, start bigint, n int, src_id bigint, src_start bigint"
-_COLUMNS = {"edge": np.uint64, "ck": np.uint32, "ids": np.int64, "texts": np.int64, "starts": np.int64}
-
-
-def _settle(edge: np.ndarray, check: np.ndarray, ids: np.ndarray, texts: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """Indices of the first occurrence of each edge, by (id, start); and of all that stand later, with their source."""
-    order = np.lexsort((local, ids, check, edge))
-    e, c = edge[order], check[order]
-    new = np.r_[True, (e[1:] != e[:-1]) | (c[1:] != c[:-1])]
-    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    later = (ids[head] != ids[order]) | (local[head] != local[order])
-    at, src = order[later], head[later]
-    # equal rows: occurrences at the first's own id and start stay as well
-    return order[new], (at, ids[src], local[src])
-
-
-def _pieces(ids: np.ndarray, texts: np.ndarray, local: np.ndarray, removed: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    """Neighbouring windows with neighbouring sources as one row each."""
-    at, src, src_at = removed
-    order = np.lexsort((local[at], texts[at], ids[at]))
-    at, src, src_at = at[order], src[order], src_at[order]
-    i, t, s = ids[at], texts[at], local[at]
-    new = np.r_[len(at) > 0, (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1) | (src[1:] != src[:-1]) | (src_at[1:] != src_at[:-1] + 1)][: len(at)]
-    begin = np.flatnonzero(new)
-    n = np.diff(np.r_[begin, len(at)]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (i[begin], t[begin], s[begin], n, src[begin], src_at[begin])], schema=_PIECE)
-
-
-def _blobs(data: tuple[np.ndarray, ...], pieces: pa.RecordBatch, n_buckets: int) -> pa.RecordBatch:
-    """First occurrences, dealt by minimizer, the columns of a bucket as bytes; and what is settled already, which
-    goes along with any bucket."""
-    edge, check, minimizer, ids, texts, local = data
-    order = np.lexsort((local, ids, minimizer >> np.uint64(64 - (n_buckets - 1).bit_length())))
+            parts += _settle(*(np.concatenate([np.frombuffer(x, dtype=t) for x in table[c].to_pylist()]) for c, t in _PIECE_COLUMNS.items()))
+        return pa.concat_tables(parts) if parts else _said(0, np.zeros(0, np.int64))
+
+    names = ", ".join(f"{c} binary" for c in (*_PIECE_COLUMNS, "equals"))
+    return saved(rows.mapInArrow(emit, f"bucket long, {names}").groupBy("bucket").applyInArrow(settle, _SAID_DDL))
+
+
+def _runs(*breaks: np.ndarray) -> np.ndarray:
+    """Where runs begin, given for each row but the first whether one does."""
+    new = breaks[0]
+    for x in breaks[1:]:
+        new = new | x
+    return np.flatnonzero(np.r_[True, new])
+
+
+def _pieces_out(h: np.ndarray, lens: np.ndarray, doc: np.ndarray, start: np.ndarray, at: np.ndarray, g: np.ndarray, hot: np.ndarray, ids: np.ndarray, texts: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Runs of neighbouring nodes with one minimizer as pieces, each with the node before and behind it (0 for none);
+    of equal ones the first, and the others as references to it."""
+    node = np.maximum(rolling(h, NODE), np.uint64(1))
+    head = _runs(start[1:] != start[:-1] + 1, at[1:] != at[:-1], doc[1:] != doc[:-1], hot[1:] | hot[:-1])
+    n = np.diff(np.r_[head, len(start)])
+    first, own = start[head], doc[head]
+    offset = np.r_[0, np.cumsum(lens)[:-1]]
+    before, behind = first > offset[own], first + n + NODE <= offset[own] + lens[own]
+    lo = np.where(before, node[np.maximum(first - 1, 0)], np.uint64(0))
+    hi = np.where(behind, node[np.minimum(first + n, len(node) - 1)], np.uint64(0))
+    # the first and last node and their neighbours hold all words of a piece
+    key = np.zeros(len(head), dtype=np.uint64)
+    for part in (lo, node[first], node[first + n - 1], hi, n.astype(np.uint64)):
+        key = finish(key * MIX + part)
+    local, i, t = first - offset[own], ids[own], texts[own]
+    order = np.lexsort((local, t, i, key))
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    same = (i[lead] == i[order]) & (t[lead] == t[order]) & (local[lead] == local[order])  # a repeated row's
+    other = ~new & ~same
+    again = np.zeros(len(head), dtype=bool)
+    again[lead[other]] = True
+    x, y = order[other], lead[other]
+    edges = n - ~behind
+    equals = np.stack([i[x], t[x], local[x], edges[x], i[y], t[y], local[y]], axis=1)[edges[x] > 0]
+    chosen = order[new]
+    minimizer = g[at[head]]
+    deal = np.where(hot[head], finish(node[first] ^ minimizer), minimizer)
+    chosen = chosen[np.argsort(deal[chosen], kind="stable")]
     out = []
-    for b, s in bucket_rows(minimizer[order], n_buckets):
-        o = order[s]
-        out.append((b, *(x[o].tobytes() for x in (edge, check, ids, texts, local)), None))
-    if pieces.num_rows:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, _PIECE) as writer:
-            writer.write_batch(pieces)
-        out.append((int(minimizer[0] % np.uint64(n_buckets)), *[None] * 5, sink.getvalue().to_pybytes()))
-    names = ["bucket", *_COLUMNS, "pieces"]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i else pa.int32()) for i in range(7)], names=names)
-
-
-def repeated_spans(pieces: DataFrame) -> DataFrame:
-    """Nonbranching paths: pieces of one document that follow one another and continue the same source line, glued.
-
-    id, text_hash, start, n_words, src_id, src_start: words start .. start + n_words - 1 also stand at the source.
+    for b, s in bucket_rows(deal[chosen], n_buckets):
+        o = chosen[s]
+        size = n[o] + 2
+        index = np.repeat(first[o] - 1, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        flat = node[np.clip(index, 0, len(node) - 1)]
+        ends = np.cumsum(size)
+        flat[ends - size], flat[ends - 1] = lo[o], hi[o]
+        out.append((b, i[o].tobytes(), t[o].tobytes(), local[o].tobytes(), (n[o] | again[o] << 7).astype(np.uint8).tobytes(), flat.tobytes(), None))
+    if len(equals):
+        out.append((int(finish(equals[:1, 2].astype(np.uint64))[0] % np.uint64(n_buckets)), *[None] * 5, equals.tobytes()))
+    names = ["bucket", *_PIECE_COLUMNS, "equals"]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary() if k else pa.int64()) for k in range(7)], names=names)
+
+
+def _said(kind: int, *columns: np.ndarray) -> pa.Table:
+    n = len(columns[0])
+    filled = [np.full(n, kind, np.int32), *(np.ascontiguousarray(c).astype(np.int64, copy=False) for c in columns)]
+    filled += [np.zeros(n, np.int64)] * (len(_SAID) - len(filled))
+    return pa.table(dict(zip(_SAID, map(pa.array, filled), strict=True)))
+
+
+def _edges(a: np.ndarray, b: np.ndarray, ids: np.ndarray, start: np.ndarray, texts: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges a -> b in order of their nodes, then their places: that order, the number of each one's edge, and whether
+    an edge stands at two places or more."""
+    order = np.lexsort((texts, start, ids, b, a))
+    a, b, i, s = a[order], b[order], ids[order], start[order]
+    new = np.r_[len(a) > 0, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    edge = np.cumsum(new) - 1
+    place = new | np.r_[False, (i[1:] != i[:-1]) | (s[1:] != s[:-1])][: len(a)]
+    n = int(new.sum())
+    return order, edge, (np.bincount(edge, place, n) > 1) | (np.bincount(edge, again[order], n) > 0)
+
+
+def _settle(ids: np.ndarray, texts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> list[pa.Table]:
+    """Of a bucket's pieces: runs of edges that stand earlier, fragments, and where the edges of pieces with equals stand."""
+    n, again = (sizes & 0x7F).astype(np.int64), (sizes >> 7).astype(bool)
+    piece = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(n + 2) - n - 2)[piece] + 1 + j
+    node, before, after = nodes[at], nodes[at - 1], nodes[at + 1]
+    start, i, t, more = starts[piece] + j, ids[piece], texts[piece], again[piece]
+    # edges into this bucket's nodes: their number only
+    into = before != 0
+    order, edge, repeated = _edges(node[into], before[into], i[into], start[into], t[into], more[into])
+    known = np.unique(node)
+    heads = np.flatnonzero(np.diff(edge, prepend=-1))
+    entries = np.bincount(np.searchsorted(known, node[into][order][heads][repeated]), minlength=len(known))
+    # edges out of them are this bucket's own
+    out = np.flatnonzero(after != 0)
+    order, edge, repeated = _edges(node[out], after[out], i[out], start[out], t[out], more[out])
+    order, keep = out[order], repeated[edge] if len(edge) else np.zeros(0, bool)
+    heads = order[np.flatnonzero(np.diff(edge, prepend=-1))]  # where each edge stands first
+    exits = np.bincount(np.searchsorted(known, node[heads][repeated]), minlength=len(known))
+    plain = (entries == 1) & (exits == 1)
+    # fragments: edges in the order of their sources
+    rep = heads[repeated]
+    if not len(rep):
+        return []
+    rep = rep[np.lexsort((start[rep], t[rep], i[rep]))]
+    a, open_left = rep[1:], plain[np.searchsorted(known, node[rep])]
+    begin = _runs((i[a] != i[rep[:-1]]) | (t[a] != t[rep[:-1]]), start[a] != start[rep[:-1]] + 1, ~open_left[1:])
+    length = np.diff(np.r_[begin, len(rep)])
+    first, last = rep[begin], rep[begin + length - 1]
+    none = np.zeros(len(begin), np.int64)
+    tables = [_said(1, none, none, none, length, i[first], t[first], start[first], start[first], open_left[begin], node[first].view(np.int64), after[last].view(np.int64))]
+    head_of = np.zeros(len(node), dtype=np.int64)
+    head_of[rep] = np.repeat(start[first], length)
+    # every place of a repeated edge, with the edge's first
+    place, src = order[keep], heads[edge[keep]]
+    other = (i[place] != i[src]) | (start[place] != start[src])
+    x, y = place[other], src[other]
+    o = np.lexsort((start[x], t[x], i[x]))
+    x, y = x[o], y[o]
+    if len(x):
+        b = _runs((i[x][1:] != i[x][:-1]) | (t[x][1:] != t[x][:-1]), start[x][1:] != start[x][:-1] + 1, *_source_breaks(i, t, start, head_of, y))
+        tables.append(_said(0, i[x[b]], t[x[b]], start[x[b]], np.diff(np.r_[b, len(x)]), i[y[b]], t[y[b]], start[y[b]], head_of[y[b]]))
+    mine = more[place]
+    x, y = place[mine], src[mine]
+    o = np.lexsort((j[x], piece[x]))
+    x, y = x[o], y[o]
+    if len(x):
+        b = _runs(piece[x][1:] != piece[x][:-1], *_source_breaks(i, t, start, head_of, y))
+        tables.append(_said(2, i[x[b]], t[x[b]], starts[piece[x[b]]], np.diff(np.r_[b, len(x)]), i[y[b]], t[y[b]], start[y[b]], head_of[y[b]], j[x[b]]))
+    return tables
+
+
+def _source_breaks(i: np.ndarray, t: np.ndarray, start: np.ndarray, head_of: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where the source's line, or its fragment, ends."""
+    a, b = y[1:], y[:-1]
+    return i[a] != i[b], t[a] != t[b], start[a] != start[b] + 1, head_of[a] != head_of[b]
+
+
+def repeated_pieces(said: DataFrame) -> DataFrame:
+    """Runs of repeated edges: id, text_hash, start, n, each of which stands earlier too, at src_id, src_hash, src_start,
+    in the fragment that begins at head there."""
+    own = said.where("kind = 0").select("id", "text_hash", "start", "n", "src_id", "src_hash", "src_start", "head")
+    where = said.where("kind = 2").select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"), F.col("start").alias("_s"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("src_id").alias("_si"), F.col("src_hash").alias("_sh"), F.col("src_start").alias("_ss"), F.col("head").alias("_head"))
+    equal = said.where("kind = 3").join(where, (F.col("src_id") == F.col("_i")) & (F.col("src_hash") == F.col("_h")) & (F.col("src_start") == F.col("_s")))
+    equal = equal.select("id", "text_hash", (F.col("start") + F.col("_at")).alias("start"), F.col("_n").alias("n"), F.col("_si").alias("src_id"), F.col("_sh").alias("src_hash"), F.col("_ss").alias("src_start"), F.col("_head").alias("head"))
+    return own.unionByName(equal.where("id <> src_id or start <> src_start"))
+
+
+def nonbranching_paths(said: DataFrame, rounds: int = 40) -> DataFrame:
+    """Each fragment (src_id, src_hash, head, n) with its path and its edges' place on it (path_at, of the first).
+
+    A fragment follows the one whose right node is its left node, if that has one edge in and one out: a join on nodes.
+    Followers that continue the same source line are joined to it by a window over the line; what follows across
+    sources by doubling: each round joins every line with the one it points to, so n lines take log n rounds. Lines on
+    a cycle never reach a beginning: each stays a path of its own.
     """
-    line = Window.partitionBy("id", "text_hash").orderBy("start")
-    starts = (F.lag(F.col("start") + F.col("n")).over(line) != F.col("start")) | (F.lag(F.col("src_start") + F.col("n")).over(line) != F.col("src_start")) | (F.lag("src_id").over(line) != F.col("src_id"))
-    paths = pieces.dropDuplicates(["id", "text_hash", "start"]).withColumn("path", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return paths.groupBy("id", "text_hash", "path").agg(F.min("start").alias("start"), (F.sum("n") + K - 1).alias("n_words"), F.min("src_id").alias("src_id"), F.min("src_start").alias("src_start")).drop("path")
+    f = said.where("kind = 1").select("src_id", "src_hash", "head", "n", "left", "right", F.col("at").alias("open"))
+    ends = f.select(F.col("right").alias("_node"), F.col("src_id").alias("_pi"), F.col("src_hash").alias("_ph"), F.col("head").alias("_ps"), (F.col("head") + F.col("n")).alias("_pe"))
+    linked = f.join(ends, (F.col("open") == 1) & (F.col("left") == F.col("_node")), "left")
+    goes_on = (F.col("_pi") == F.col("src_id")) & (F.col("_ph") == F.col("src_hash")) & (F.col("_pe") == F.col("head"))
+    line = Window.partitionBy("src_id", "src_hash").orderBy("head")
+    linked = linked.withColumn("_line", F.last(F.when(F.coalesce(~goes_on, F.lit(True)), F.col("head")), ignorenulls=True).over(line))
+    name = lambda i, h, s: F.xxhash64(i, h, s)
+    linked = saved(linked.withColumn("_name", name("src_id", "src_hash", "_line")).withColumn("_own", name("src_id", "src_hash", "head")).withColumn("_before", F.when(~goes_on, name("_pi", "_ph", "_ps"))).select("src_id", "src_hash", "head", "n", "_line", "_name", "_own", "_before", F.col("_pe").alias("_end")))
+    # a line: its name, and the line before it with the edges up to there
+    lines = linked.where("head = _line").select("_name", "_before")
+    before = linked.select(F.col("_own").alias("_before"), F.col("_name").alias("_to"), (F.col("head") + F.col("n") - F.col("_line")).alias("_far"))
+    lines = saved(lines.where("_before is not null").join(before, "_before").select("_name", "_to", "_far").dropDuplicates(["_name"]))
+    done = None
+    for _ in range(rounds):
+        step = lines.select(F.col("_name").alias("_to"), F.col("_to").alias("_to2"), F.col("_far").alias("_far2"))
+        joined = saved(lines.join(step, "_to", "left").select("_name", F.coalesce("_to2", "_to").alias("_to"), (F.col("_far") + F.coalesce("_far2", F.lit(0))).alias("_far"), F.col("_to2").isNull().alias("_done")))
+        still = joined.agg(F.count_if(~F.col("_done")).alias("n")).first().n
+        lines = joined.drop("_done")
+        if not still or still == done:  # only cycles are left
+            lines = joined.where("_done").drop("_done")
+            break
+        done = still if (done is None or still < done) else done
+    out = linked.join(lines, "_name", "left")
+    return out.select("src_id", "src_hash", "head", "n", F.coalesce("_to", "_name").alias("path"), (F.col("head") - F.col("_line") + F.coalesce("_far", F.lit(0))).alias("path_at"))
+
+
+def repeated_spans(said: DataFrame) -> DataFrame:
+    """What stands earlier, laid along the nonbranching paths: id, text_hash, start, n (edges), src_id, src_hash,
+    src_start, path, path_at. Words start .. start + n + 18 also stand at the source, along one path."""
+    paths = nonbranching_paths(said).select(F.col("src_id").alias("_i"), F.col("src_hash").alias("_h"), F.col("head").alias("_s"), "path", "path_at")
+    pieces = repeated_pieces(said).join(paths, (F.col("src_id") == F.col("_i")) & (F.col("src_hash") == F.col("_h")) & (F.col("head") == F.col("_s")))
+    pieces = pieces.select("id", "text_hash", "start", "n", "src_id", "src_hash", "src_start", "path", (F.col("path_at") + F.col("src_start") - F.col("head")).alias("path_at"))
+    line = Window.partitionBy("id", "text_hash").orderBy("start", "src_id", "src_start")
+    goes_on = F.lit(True)
+    for c in ("start", "src_start", "path_at"):
+        goes_on &= F.lag(F.col(c) + F.col("n")).over(line) == F.col(c)
+    for c in ("src_id", "src_hash", "path"):
+        goes_on &= F.lag(c).over(line) == F.col(c)
+    glued = pieces.withColumn("_new", F.coalesce(~goes_on, F.lit(True)).cast("int")).withColumn("_span", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    first = [F.min(c).alias(c) for c in ("start", "src_id", "src_hash", "src_start", "path", "path_at")]
+    return glued.groupBy("id", "text_hash", "_span").agg(*first, F.sum("n").alias("n")).select("id", "text_hash", "start", "n", "src_id", "src_hash", "src_start", "path", "path_at")
 
 
 def _covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Which of n words stand in a repeated window."""
     change = np.zeros(n + 1, dtype=np.int64)
     np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(n, starts + lengths + K - 1), -1)
+    np.add.at(change, np.minimum(n, starts + lengths + NODE), -1)
     return np.cumsum(change[:n]) > 0
 
 
-def _lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """starts and lengths of each row's pieces; none for null."""
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _lists(column: pa.ListArray) -> Iterator[list[np.ndarray]]:
+    """The fields of each row's structs as arrays; empty ones for null."""
     offsets, flat = column.offsets.to_numpy(), column.values
-    starts, lengths = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)
+    fields = [flat.field(k).to_numpy() for k in range(flat.type.num_fields)]
     there = column.is_valid().to_numpy(zero_copy_only=False)
     for i, ok in enumerate(there):
         own = slice(offsets[i], offsets[i + 1]) if ok else slice(0, 0)
-        yield starts[own], lengths[own]
+        yield [f[own] for f in fields]
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of docs with the list of their pieces (column _spans, last); one shuffle of the texts."""
-    pieces = repeated_pieces(docs, id_col=id_col, text_col=text_col)
-    spans = pieces.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("_spans")).select(F.col("id").alias("_own_id"), F.col("text_hash").alias("_own_hash"), "_spans")
-    names = [f"_c{i}" for i in range(len(docs.columns))]  # whatever docs' columns are called
-    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), *_rows(docs, id_col, text_col))
-    joined = own.join(spans, (F.col("_id") == F.col("_own_id")) & (F.col("_hash") == F.col("_own_hash")), "left")
-    return joined.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)), "_spans")
+_CLAIM = pa.struct([("src_id", pa.int64()), ("src_hash", pa.int64()), ("src_start", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+_FACT = pa.struct([("start", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+_CHECKS = "_claims array<struct<src_id: bigint, src_hash: bigint, src_start: bigint, n: bigint, digest: binary>>, _facts array<struct<start: bigint, n: bigint, digest: binary>>"
 
 
-def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space).
+def _cut(docs: DataFrame, key: Column, text_col: str, spans: DataFrame, judge: Callable, columns: list[T.StructField]) -> DataFrame:
+    """judge(rows' columns, words per row, covered words per row) for rows with their spans; one shuffle of the texts.
 
-    A word goes if a window of 20 words that covers it stands earlier too: in a document of smaller id, or earlier in
-    the same one. Windows are judged on the input. Null texts have no words; null ids are the largest; rows of equal
-    id are the same document, and equal rows keep or lose the same words; other columns are ignored.
-    """
-    rows = _with_spans(docs.select(id_col, text_col), id_col, text_col)
-    kind = T.StructType([docs.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    Every span's words are digested where they are cut and where they come from, in the same pass
+    (_claims and _facts), so that `_verified` can compare them."""
+    own = spans.select("id", "text_hash", F.struct("start", "n", "src_id", "src_hash", "src_start").alias("_span"), F.lit(None).cast("struct<start: bigint, n: bigint>").alias("_ask"))
+    asked = spans.select(F.col("src_id").alias("id"), F.col("src_hash").alias("text_hash"), "src_start", "n").distinct()
+    asked = asked.select("id", "text_hash", F.lit(None).cast(own.schema["_span"].dataType).alias("_span"), F.struct(F.col("src_start").alias("start"), "n").alias("_ask"))
+    per = own.unionByName(asked).groupBy("id", "text_hash").agg(F.collect_list("_span").alias("_spans"), F.collect_list("_ask").alias("_asked"))
+    names = [f"_c{i}" for i in range(len(columns))]  # whatever docs' columns are called
+    rows = docs.select(*(F.col(f"`{c.name}`").alias(n) for c, n in zip(columns, names, strict=True)), key.alias("_id"), F.col(text_col).alias("_text"))
+    rows = rows.withColumn("_hash", F.xxhash64(F.coalesce(F.col("_text"), F.lit(""))))
+    joined = rows.join(per, (F.col("_id") == F.col("id")) & (F.col("_hash") == F.col("text_hash")), "left").select(*names, "_id", "_hash", "_text", "_spans", "_asked")
+    kinds, ddl = judge.fields, T.StructType([*(T.StructField(n, c.dataType) for n, c in zip(names, columns, strict=True)), T.StructField("_id", T.LongType()), T.StructField("_hash", T.LongType()), *judge.fields, *T._parse_datatype_string(_CHECKS).fields])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = as_binary(batch.column(1)), []
-            for i, (starts, lengths) in enumerate(_lists(batch.column(2))):
-                words = (texts[i].as_py() or b"").split()
-                kept = words
-                if len(starts):
-                    kept = [w for w, x in zip(words, _covered(len(words), starts, lengths).tolist(), strict=True) if not x]
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            n, m, digest = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(digest, pa.string())], names=[f.name for f in kind])
+            at = len(names)
+            texts, claims, facts, out = as_binary(batch.column(at + 2)), [], [], []
+            for i, ((starts, lengths, *src), (ask, ask_n)) in enumerate(zip(_lists(batch.column(at + 3)), _lists(batch.column(at + 4)), strict=True)):
+                text = texts[i].as_py()
+                words = (text or b"").split()
+                claims.append([{"src_id": a, "src_hash": b, "src_start": c, "n": n, "digest": _digest(words[s : s + n + NODE])} for s, n, a, b, c in zip(starts.tolist(), lengths.tolist(), *(x.tolist() for x in src), strict=True)])
+                facts.append([{"start": s, "n": n, "digest": _digest(words[s : s + n + NODE])} for s, n in zip(ask.tolist(), ask_n.tolist(), strict=True)])
+                out.append(judge(text, words, _covered(len(words), starts, lengths) if len(starts) else None))
+            made = zip(*out, strict=True) if out else [()] * len(kinds)
+            arrays = [judge.array(x, k) for k, x in enumerate(made)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: at + 2], *arrays, pa.array(claims, pa.list_(_CLAIM)), pa.array(facts, pa.list_(_FACT))], names=[f.name for f in ddl])
 
-    return rows.mapInArrow(judge, kind)
+    return joined.mapInArrow(run, ddl)
 
 
-def dedup_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs with repeated words cut out of the text (white space around the rest stays), and chars_col, if there is
-    one, counted anew. Rows that lose nothing are returned as they were; none is dropped."""
-    rows = _with_spans(docs, id_col, text_col)
-    at = docs.columns.index(text_col)
-    import re
+class _Report:
+    """n_words, n_removed, kept_sha256 of a row."""
+
+    fields = [T.StructField("_n", T.LongType()), T.StructField("_m", T.LongType()), T.StructField("_d", T.StringType())]
+
+    def __call__(self, text: bytes | None, words: list[bytes], gone: np.ndarray | None) -> tuple:
+        kept = words if gone is None else [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
+        return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+
+    def array(self, values: tuple, k: int) -> pa.Array:
+        return pa.array(values, pa.string() if k == 2 else pa.int64())
 
+
+class _Text:
+    """The row's text without its repeated words; the white space around the rest stays."""
+
+    fields = [T.StructField("_kept", T.StringType())]
     word = re.compile(rb"[^\x20\x09-\x0D]+\s*")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_binary(batch.column(at)).to_pylist()
-            for i, (starts, lengths) in enumerate(_lists(batch.column(batch.num_columns - 1))):
-                if texts[i] is not None and len(starts):
-                    found = [m.span() for m in word.finditer(texts[i])]
-                    gone = _covered(len(found), starts, lengths).tolist()
-                    lead = texts[i][: found[0][0]]
-                    texts[i] = lead + b"".join(texts[i][a:b] for (a, b), x in zip(found, gone, strict=True) if not x)
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-
-    out = rows.mapInArrow(cut, docs.schema)
-    if chars_col in docs.columns:
-        kind = docs.schema[chars_col].dataType
-        out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(F.char_length(text_col)).cast(kind))
-    return out
+    def __call__(self, text: bytes | None, words: list[bytes], gone: np.ndarray | None) -> tuple:
+        if gone is None:
+            return (text,)
+        found = [m.span() for m in self.word.finditer(text)]
+        lead = text[: found[0][0]]
+        return (lead + b"".join(text[a:b] for (a, b), x in zip(found, gone.tolist(), strict=True) if not x),)
+
+    def array(self, values: tuple, k: int) -> pa.Array:
+        return pa.array(values, pa.binary()).cast(pa.string())
+
+
+def _verified(docs: DataFrame, id_col: str, text_col: str, judge: Callable, columns: list[T.StructField]) -> DataFrame:
+    """The rows of `_cut` once every span that was cut is known to hold at its source."""
+    docs, key = _row_keys(docs, id_col)
+    spans = saved(repeated_spans(graph(docs, key, text_col)))
+    where = ["src_id", "src_hash", "src_start", "n"]
+    for windows in (True, False):
+        out = saved(_cut(docs, key, text_col, spans, judge, columns))
+        claims = out.select(F.explode("_claims").alias("c")).select("c.*").distinct()
+        facts = out.select(F.col("_id").alias("src_id"), F.col("_hash").alias("src_hash"), F.explode("_facts").alias("f")).select("src_id", "src_hash", F.col("f.start").alias("src_start"), "f.n", F.col("f.digest").alias("fact")).distinct()
+        wrong = saved(claims.join(facts, where, "left").where("fact is null or fact <> digest").select(*where).distinct())
+        if wrong.isEmpty():
+            return out
+        # hashes collided: the windows of these spans are compared one by one, and those that differ stay
+        held = spans.join(wrong, where, "left_anti")
+        each = spans.join(wrong, where, "left_semi").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({c: F.col(c) + F.col("_k") for c in ("start", "src_start", "path_at")} | {"n": F.lit(1).cast("long")}).drop("_k")
+        spans = saved(held.unionByName(each)) if windows else held
+    return _cut(docs, key, text_col, spans, judge, columns)
+
+
+def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space).
+
+    A word goes if a window of 20 words that covers it stands earlier too: in a document of smaller id, or earlier in
+    the same one. Windows are judged on the input. Ids may be of any type that Spark orders. Null texts have no words;
+    null ids are the largest; rows of equal id are the same document, and equal rows keep or lose the same words; other
+    columns are ignored, whatever they are called; empty gives empty.
+    """
+    out = _verified(docs.select(id_col, text_col), id_col, text_col, _Report(), [docs.schema[id_col]])
+    return out.select(F.col("_c0").alias(id_col), F.col("_n").alias("n_words"), F.col("_m").alias("n_removed"), F.col("_d").alias("kept_sha256"))
+
+
+def dedup_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with repeated words cut out of the text (white space around the rest stays), and chars_col, if there is
+    one, counted anew.
+
+    Rows that lose nothing are returned as they were; none is dropped, also not those that lose all words. Null texts
+    stay null; null ids are the largest; repeated rows are cut alike; other columns are kept, whatever they are called;
+    empty gives empty."""
+    others = [f for f in docs.schema.fields if f.name != text_col]
+    out = _verified(docs, id_col, text_col, _Text(), others)
+    place = {f.name: F.col(f"_c{i}") for i, f in enumerate(others)} | {text_col: F.col("_kept")}
+    if chars_col in place:
+        place[chars_col] = F.when(F.col("_kept").isNull(), place[chars_col]).otherwise(F.char_length("_kept")).cast(docs.schema[chars_col].dataType)
+    return out.select(*(place[c].alias(c) for c in docs.columns))

@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
-from loam.llm.substring_dedup import dedup_documents, dedup_report, repeated_pieces, repeated_spans
+from pyspark.sql import functions as F
+
+from loam.llm import substring_dedup as S
+from loam.llm.substring_dedup import dedup_documents, dedup_report, graph, nonbranching_paths, repeated_spans
 
 SEP = re.compile("[^\x20\x09-\x0d]+")
 K = 20
@@ -48,21 +51,96 @@ def test_report_is_brute_force(spark):
     assert got == sorted(brute(rows), key=str)
 
 
+def said(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return graph(docs, F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "text")
+
+
 def test_spans_hold_at_their_source(spark):
     rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
     words = {i: SEP.findall(t or "") for i, t in rows}
-    spans = repeated_spans(repeated_pieces(docs)).collect()
+    spans = repeated_spans(said(spark, rows)).collect()
     assert len(spans) > 30
     for s in spans:
         own, src = words[None if s.id == (1 << 63) - 1 else s.id], words[None if s.src_id == (1 << 63) - 1 else s.src_id]
-        assert own[s.start : s.start + s.n_words] == src[s.src_start : s.src_start + s.n_words]
-        assert len(own[s.start : s.start + s.n_words]) == s.n_words
+        assert own[s.start : s.start + s.n + K - 1] == src[s.src_start : s.src_start + s.n + K - 1]
+        assert len(own[s.start : s.start + s.n + K - 1]) == s.n + K - 1
+
+
+def brute_paths(rows):
+    """Edges of each nonbranching path of the graph of repeated windows that begins at a branch."""
+    places = {}
+    for i, t in set(rows):
+        w = SEP.findall(t or "")
+        for s in range(len(w) - K + 1):
+            places.setdefault(tuple(w[s : s + K]), set()).add((i, s))
+    edges = [g for g, x in places.items() if len(x) > 1]
+    outs, ins = {}, {}
+    for g in edges:
+        outs.setdefault(g[:-1], []).append(g)
+        ins.setdefault(g[1:], []).append(g)
+    plain = lambda node: len(outs.get(node, ())) == 1 == len(ins.get(node, ()))
+    found = set()
+    for g in edges:
+        if not plain(g[:-1]):
+            path = [g]
+            while plain(path[-1][1:]):
+                path += outs[path[-1][1:]]
+            found.add(tuple(path))
+    return found
+
+
+def test_paths_are_the_graphs(spark):
+    """Branching passages: shared middles, shared heads, pieces of pieces, whose first places lie in different rows."""
+    r = random.Random(4)
+    long = [f"p{k}" for k in range(400)]
+    rows = [(i, " ".join([f"x{i}a", *long[a : a + r.randint(25, 150)], f"x{i}b"])) for i, a in enumerate(r.randint(0, 380) for _ in range(40))]
+    rows += [(100 + i, " ".join(long[50:90] + [f"m{i % 3}"] * 25 + long[90:140])) for i in range(9)]
+    words = {i: SEP.findall(t) for i, t in rows}
+    got = {}
+    for f in nonbranching_paths(said(spark, rows)).collect():
+        for e in range(f.n):
+            got.setdefault(f.path, {})[f.path_at + e] = tuple(words[f.src_id][f.head + e : f.head + e + K])
+    assert all(sorted(x) == list(range(len(x))) for x in got.values())
+    assert {tuple(x[k] for k in sorted(x)) for x in got.values()} == brute_paths(rows)
+    assert max(map(len, brute_paths(rows))) > 20
+
+
+def test_hot_minimizers_are_dealt_by_node(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_SLICES", 1)
+    monkeypatch.setattr(S, "SLICE", 400)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, dedup_report(docs).collect()), key=str) == sorted(brute(rows), key=str)
+
+
+def test_other_ids(spark):
+    rows = [(None if i is None else f"{i:05d}", t) for i, t in corpus()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    want = brute([(None if i is None else int(i), t) for i, t in rows])
+    assert sorted(map(tuple, dedup_report(docs).collect()), key=str) == sorted(((None if i is None else f"{i:05d}", *x) for i, *x in want), key=str)
+    text = " ".join(f"a{k}" for k in range(30))
+    most = spark.createDataFrame([(None, text), ((1 << 63) - 1, text)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in dedup_report(most).collect()} == {None: 30, (1 << 63) - 1: 0}
+
+
+def test_spans_that_do_not_hold_are_left(spark, monkeypatch):
+    """Two words with one hash: the windows look equal, their words are not."""
+    words = [f"a{k}" for k in range(60)]
+    other = [*words[:30], "twin", *words[31:]]
+
+    class Colliding(S.WordHash):
+        def __missing__(self, word):
+            return super().__missing__(b"a30" if word == b"twin" else word)
+
+    monkeypatch.setattr(S, "WordHash", Colliding)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:25]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in dedup_report(docs).collect()} == {1: 0, 2: 59, 3: 25}
 
 
 def test_documents(spark):
     rows = corpus()
-    docs = spark.createDataFrame([(i, t, 7, "c") for i, t in rows], "doc_id long, text string, n_chars long, _x string")
+    docs = spark.createDataFrame([(i, t, 7, "c") for i, t in rows], "doc_id long, text string, n_chars long, _id string")
     out = dedup_documents(docs)
     assert out.columns == docs.columns
     got = sorted((r.doc_id is None, r.doc_id or 0, hashlib.sha256(" ".join(SEP.findall(r.text or "")).encode()).hexdigest()) for r in out.collect())
