@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Iterator
-from itertools import islice
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,123 +14,119 @@ from pyspark.sql import types as T
 from loam.llm.common import as_binary
 
 _WORKER: dict[str, Encoder] = {}
-PIECE = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-class Encoder:
-    """A public tokenizer's encoding of a stretch of text as (offset, token ids) of its pieces.
+@dataclass
+class Stretch:
+    """The library's encoding of text[start:end]: token ids, their first and last character in the whole text, and
+    whether a token is the first of a pre-token."""
+
+    start: int
+    end: int
+    ids: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+
+    def at(self, place: int) -> int:
+        """The first token of the pre-token that begins at a place."""
+        hit = np.flatnonzero(self.first & (self.begins == place))
+        return int(hit[0]) if len(hit) else -1
 
-    Pieces end at ASCII white space. The tokenizer's own pre-tokenizer matches no token across white space, so a
-    piece has the same tokens wherever it stands: that makes the start of a piece that follows white space a
-    boundary which is proven stable. Pieces recur, so what they encode to is kept in bounded tables.
-    """
 
-    def __init__(self, path: str, most: int = 700_000, longest: int = 64):
+class Encoder:
+    """A tokenizer file of the tokenizers library, without added begin and end, truncation and padding."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # lower-casing A-Z beforehand changes nothing if the tokenizer does it anyway
-        self.lowers = self.encode(["A"]) == self.encode(["a"])
-        self.counts: dict[bytes, int] = {}
-        self.known: dict[bytes, tuple[int, ...]] = {}
-        self.most, self.longest = most, longest
-
-    def encode(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _room(self, table: dict, new: int, most: int) -> None:
-        """Drop the older half of a full table; frequent pieces come back at once."""
-        if len(table) + new > most:
-            for key in list(islice(table, len(table) // 2 + 1)):
-                del table[key]
-
-    def ids(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        new = list({p for p in pieces if p not in self.known})
-        got = dict(zip(new, self.encode([p.decode("utf-8", "replace") for p in new]), strict=True)) if new else {}
-        out = [x if (x := self.known.get(p)) is not None else got[p] for p in pieces]
-        self._room(self.known, len(new), self.most // 10)
-        self.known.update((p, x) for p, x in got.items() if len(p) <= self.longest)
-        return out
-
-    def plain(self, text: bytes) -> bytes:
-        """The text with A-Z lower-cased where that can't make a special string."""
-        return text.lower() if self.lowers and b"<|" not in text else text
-
-    def numbers(self, pieces: list[bytes]) -> list[int]:
-        """The number of tokens of each piece."""
-        counts = self.counts
-        if new := {p for p in pieces if p not in counts}:
-            # a full stop or comma after an ASCII letter is a pre-token of its own
-            stems = {p: p[:-1] for p in new if p[-1] in b".," and len(p) > 1 and 97 <= p[-2] <= 122 and b"<|" not in p}
-            need = list({s for p in new if (s := stems.get(p, p)) not in counts} | {p[-1:] for p in stems if p[-1:] not in counts})
-            got = dict(zip(need, map(len, self.encode([p.decode("utf-8", "replace") for p in need])), strict=True))
-            number = lambda p: x if (x := got.get(p)) is not None else counts[p]
-            got |= {p: number(s) + number(p[-1:]) for p, s in stems.items()}
-            if len(counts) + len(got) > self.most:
-                out = [x if (x := got.get(p)) is not None else counts[p] for p in pieces]
-                self._room(counts, len(got), self.most)
-                counts.update((p, x) for p, x in got.items() if len(p) <= self.longest)
-                return out
-            if any(len(p) > self.longest for p in got):
-                out = [x if (x := got.get(p)) is not None else counts[p] for p in pieces]
-                counts.update((p, x) for p, x in got.items() if len(p) <= self.longest)
-                return out
-            counts.update(got)
-        return list(map(counts.__getitem__, pieces))
-
-    def stretch(self, text: bytes, start: int, end: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]:
-        """Offsets of the first and after the last byte of each piece of text[start:end], and their ids."""
-        spans = [m.span() for m in PIECE.finditer(text, start, end)]
-        at = np.array(spans, dtype=np.int64).reshape(-1, 2)
-        return at[:, 0], at[:, 1], self.ids([text[a:b] for a, b in spans])
-
-
-def splice(encoder: Encoder, text: bytes, chunk: int, overlap: int) -> tuple[list[int], int, int]:
-    """Token ids of one long text, the number of chunks, and how often an overlap had to be widened.
-
-    Chunk i covers its `chunk` bytes and an overlap into the next. In the overlap both encodings are compared: the
-    cut is the first offset that follows white space, starts a piece in both and from which on both give the same
-    tokens up to the end of the piece. Without such an offset the overlap doubles, at last to the end of the text.
-    """
-    out: list[int] = []
-    n, at, chunks, widened = len(text), 0, 0, 0
-    while at < n:
-        nominal = at + chunk
-        if nominal + overlap >= n:
-            for x in encoder.stretch(text, at, n)[2]:
-                out.extend(x)
-            return out, chunks + 1, widened
-        width = overlap
-        while True:
-            end = min(n, nominal + width)
-            starts, ends, ids = encoder.stretch(text, at, end)
-            if end == n:
-                for x in ids:
-                    out.extend(x)
-                return out, chunks + 1, widened
-            next_starts, next_ends, next_ids = encoder.stretch(text, nominal, end)
-            # a piece that touches either border of the overlap may be cut: only those inside can agree
-            mine = {int(a): i for i, (a, b) in enumerate(zip(starts, ends, strict=True)) if a > nominal and b < end}
-            cut = next((a for j, (a, b) in enumerate(zip(next_starts, next_ends, strict=True)) if a > nominal and b < end and (i := mine.get(int(a))) is not None and ids[i] == next_ids[j]), None)
-            if cut is not None:
-                break
-            width *= 2
-            widened += 1
-        for x in ids[: int(np.searchsorted(starts, cut))]:
-            out.extend(x)
-        at, chunks = int(cut), chunks + 1
-    return out, max(chunks, 1), widened
+        special = [len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Characters before a cut end of which nothing is believed: more than a special string or a pattern looks ahead.
+        self.margin = max(64, 2 * max(special, default=0))
+
+    def encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def stretch(self, text: str, start: int, end: int) -> Stretch:
+        e = self.tokenizer.encode(text[start:end], add_special_tokens=False)
+        at = np.array(e.offsets, dtype=np.int64).reshape(-1, 2) + start
+        # a special string's token is of no word, and one of its own
+        word = np.array([-1 if w is None else w for w in e.word_ids], dtype=np.int64)
+        first = np.r_[True, (word[1:] != word[:-1]) | (word[1:] < 0)][: len(word)]
+        return Stretch(start, end, np.array(e.ids, dtype=np.int64), at[:, 0], at[:, 1], first)
+
 
+def common_boundary(left: Stretch, right: Stretch, since: int, margin: int) -> tuple[int, int] | None:
+    """Tokens (of left, of right) at which both begin the same pre-token, after left's token `since`.
 
-def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk_bytes: int = 1 << 15, overlap_bytes: int = 1 << 10, with_ids: bool = False) -> DataFrame:
+    Left's tokens are the whole text's, but for its last `margin` characters. A pre-tokenizer reads from left to right,
+    so once both begin a pre-token at one place they go on alike, whatever stood before: such a place is a proven
+    boundary. It has to be behind right's first pre-token, which the cut may have made, and all tokens from there to the
+    believed end of left have to be equal, with their offsets.
+    """
+    stable = int(np.searchsorted(left.ends, left.end - margin, side="right"))
+    mine = np.flatnonzero(left.first[:stable])
+    mine = mine[mine > since]
+    theirs = np.flatnonzero(right.first)
+    theirs = theirs[right.begins[theirs] > right.start]
+    _, a, b = np.intersect1d(left.begins[mine], right.begins[theirs], return_indices=True)
+    fails = -1
+    for i, j in zip(mine[a].tolist(), theirs[b].tolist(), strict=True):
+        if i <= fails:
+            continue
+        n = min(stable - i, len(right.ids) - j)
+        differ = (left.ids[i : i + n] != right.ids[j : j + n]) | (left.begins[i : i + n] != right.begins[j : j + n]) | (left.ends[i : i + n] != right.ends[j : j + n])
+        if n and not differ.any() and j:
+            return i, j
+        fails = i + int(np.flatnonzero(differ)[-1]) if differ.any() else i
+    return None
+
+
+def splice(encoder: Encoder, text: str, chunk: int, overlap: int) -> tuple[np.ndarray, int, int]:
+    """Token ids of one long text, the number of chunks encoded, and how often an overlap had to be widened.
+
+    A chunk begins `overlap` characters before the end of the one before. The two are spliced at a common boundary in
+    the overlap. Without one the overlap doubles backwards; when it has taken all of the left chunk that is not yet
+    spliced, the left chunk itself is encoded anew at twice its length, at last to the end of the text.
+    """
+    n, parts, chunks, widened = len(text), [], 1, 0
+    left, since, place = encoder.stretch(text, 0, min(n, chunk + overlap)), 0, 0
+    width = overlap
+    while left.end < n:
+        begin = left.end - width
+        if begin > place:
+            right = encoder.stretch(text, begin, min(n, left.end + chunk))
+            chunks += 1
+            cut = common_boundary(left, right, since, encoder.margin)
+            if cut is not None:
+                parts.append(left.ids[since : cut[0]])
+                place, left, since, width = int(left.begins[cut[0]]), right, cut[1], overlap
+            else:
+                width, widened = width * 2, widened + 1
+            continue
+        left = encoder.stretch(text, left.start, min(n, left.end + max(chunk, left.end - left.start)))
+        chunks, widened, width = chunks + 1, widened + 1, overlap
+        since = left.at(place) if place else 0
+        if since < 0:
+            raise ValueError("a boundary moved: the tokenizer does not read from left to right")
+    parts.append(left.ids[since:])
+    return np.concatenate(parts), chunks, widened
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk_chars: int = 1 << 15, overlap_chars: int = 1 << 10, with_ids: bool = False) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_tokens, over_limit, n_chunks, n_widened, and ids if asked for.
 
-    A text of up to chunk_bytes is one chunk; longer ones are encoded in overlapping chunks that are spliced where
-    both encodings provably agree (see `splice`). No shuffle: texts stay where they were read.
+    The tokenizer is a .json file of the tokenizers library. A text of up to chunk_chars is one chunk, and short ones go
+    to the library in batches; longer ones are encoded in overlapping chunks with offsets that are spliced where both
+    encodings provably agree (see `splice`). A text without any boundary, such as one word of megabytes, ends up as one
+    chunk. No shuffle: texts stay where they were read.
     Null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated rows; a null id stays null; other
-    columns are ignored. Special strings in a text become the tokenizer's special tokens, as is its default.
+    columns are ignored; empty gives empty. Special strings in a text become the tokenizer's special tokens, as is its
+    default; bytes that are no UTF-8 count as the replacement character.
     """
     kind = docs.schema[id_col].dataType
     fields = [T.StructField(id_col, kind), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_tokens")), T.StructField("over_limit", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_chunks", "n_widened"))]
@@ -142,34 +138,28 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
             _WORKER[tokenizer_path] = Encoder(tokenizer_path)
         encoder = _WORKER[tokenizer_path]
         for batch in batches:
-            texts = as_binary(batch.column(1))
-            rows: list[tuple] = []
-            held: list[tuple[int, list[bytes]]] = []
+            texts, rows = as_binary(batch.column(1)), []
+            held: list[tuple[int, str]] = []
             size = 0
 
             def flush(rows=rows, held=held) -> None:
-                found = (encoder.ids if with_ids else encoder.numbers)([p for _, pieces in held for p in pieces])
-                at = 0
-                for n_bytes, pieces in held:
-                    own = found[at : at + len(pieces)]
-                    at += len(pieces)
-                    ids = [t for x in own for t in x] if with_ids else None
-                    rows.append((n_bytes, len(ids) if with_ids else sum(own), 1, 0, ids))
+                for (n_bytes, _), e in zip(held, encoder.encode([t for _, t in held]), strict=True):
+                    rows.append((n_bytes, len(e), 1, 0, e.ids if with_ids else None))
                 held.clear()
 
             for i in range(batch.num_rows):
-                text = texts[i].as_py() or b""
-                if len(text) <= chunk_bytes:
-                    pieces = (text if with_ids else encoder.plain(text)).split()
-                    held.append((len(text), pieces))
-                    size += len(pieces)
+                raw = texts[i].as_py() or b""
+                text = raw.decode("utf-8", "replace")
+                if len(text) <= chunk_chars:
+                    held.append((len(raw), text))
+                    size += len(text)
                     if size < 200_000:
                         continue
                 flush()
                 size = 0
-                if len(text) > chunk_bytes:
-                    ids, chunks, widened = splice(encoder, text, chunk_bytes, overlap_bytes)
-                    rows.append((len(text), len(ids), chunks, widened, ids if with_ids else None))
+                if len(text) > chunk_chars:
+                    ids, chunks, widened = splice(encoder, text, chunk_chars, overlap_chars)
+                    rows.append((len(raw), len(ids), chunks, widened, ids if with_ids else None))
             flush()
             n_bytes, n_tokens, chunks, widened, ids = zip(*rows, strict=True) if rows else ((),) * 5
             columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(chunks, pa.int64()), pa.array(widened, pa.int64())]

@@ -1,36 +1,64 @@
+import random
+
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from loam.llm.token_counts import Encoder, splice, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = [None, "", " \n\t", "Hello, World!", "it's 12 o'clock. A<|endoftext|>B <|startoftext|>", "<|ENDOFTEXT|> x", "Ünḯcödé   nb sp İSTANBUL ΟΔΟΣ 東京都", "word. word, end.,", "a" * 5000, ("lorem ipsum DOLOR, " * 4000), "x1y22z" * 900]
+FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
+TEXTS = [None, "", " \n\t", "Hello, World!", "it's 12 o'clock. A<|endoftext|>B <|startoftext|>", "<|ENDOFTEXT|> x", "Ünḯcödé   nb sp İSTANBUL ΟΔΟΣ 東京都", "word. word, end.,", "a" * 5000, ("lorem ipsum DOLOR, " * 4000), "x1y22z" * 900]
+ENCODERS = {f: Encoder(public_tokenizers.path(f)) for f in FILES}
 
 
-def direct(text):
-    return len(Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids)
+def direct(text, file="word_bpe_49k.json"):
+    return ENCODERS[file].tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-def test_counts_are_the_librarys(spark):
+@pytest.mark.parametrize("file", FILES)
+def test_counts_are_the_librarys(spark, file):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)] * 2 + [(None, "twice twice", "n")], "doc_id long, text string, n_tokens string")
-    for chunk, overlap in ((1 << 15, 1 << 10), (256, 16)):
-        rows = token_counts(docs, PATH, chunk_bytes=chunk, overlap_bytes=overlap, limit=100, with_ids=chunk == 256).collect()
+    for chunk, overlap in ((1 << 15, 1 << 10), (300, 200)):
+        rows = token_counts(docs, public_tokenizers.path(file), chunk_chars=chunk, overlap_chars=overlap, limit=100, with_ids=chunk == 300).collect()
         assert len(rows) == 2 * len(TEXTS) + 1
         for r in rows:
             text = "twice twice" if r.doc_id is None else TEXTS[r.doc_id]
-            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((text or "").encode()), direct(text), direct(text) > 100)
+            n = len(direct(text, file))
+            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((text or "").encode()), n, n > 100)
 
 
 def test_empty_table(spark):
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(50, 4), (300, 40), (5000, 100)])
-def test_splice_widens_and_agrees(chunk, overlap):
-    encoder = Encoder(PATH)
-    text = ("short words here " * 30 + "averyverylongrunwithoutspace" * 40 + " 1 2 3 tail's ") * 4
-    ids, chunks, widened = splice(encoder, text.encode(), chunk, overlap)
-    assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids
-    assert chunks >= 1
-    assert widened > 0 or chunk == 5000
+@pytest.mark.parametrize("file", FILES)
+@pytest.mark.parametrize(("chunk", "overlap"), [(50, 4), (300, 140), (5000, 200)])
+def test_splice_widens_and_agrees(file, chunk, overlap):
+    text = ("short words   here\n\n " * 30 + "averyverylongrunwithoutspace" * 400 + " 1 2 3 tail's <|endoftext|>" * 9) * 4
+    ids, chunks, widened = splice(ENCODERS[file], text, chunk, overlap)
+    assert ids.tolist() == direct(text, file)
+    assert chunks > 1 and widened > 0
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_five_megabytes_without_a_space(file):
+    r = random.Random(1)
+    text = "".join(r.choice("abcdefgh12,;é京") for _ in range(5_000_000))
+    ids, chunks, widened = splice(ENCODERS[file], text, 1 << 15, 1 << 10)
+    assert ids.tolist() == direct(text, file)
+    assert chunks > 150 and not widened
+
+
+def test_one_long_word_is_one_chunk():
+    text = "ab" * 300_000 + " and more words" * 4000
+    ids, _, widened = splice(ENCODERS["word_bpe_49k.json"], text, 1 << 12, 1 << 9)
+    assert ids.tolist() == direct(text) and widened > 5
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab 'stre\n\té́İΣ京🙂12.,<|endoftext|>", min_size=0, max_size=900), st.sampled_from(FILES), st.integers(20, 200), st.integers(1, 150))
+def test_any_text_any_cut(text, file, chunk, overlap):
+    assert splice(ENCODERS[file], text, chunk, overlap)[0].tolist() == direct(text, file)
