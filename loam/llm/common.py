@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import resource
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -44,9 +45,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def buckets_for(df: DataFrame, mb: int = 2) -> int:
-    """A number of hash buckets that grows with the input, from Catalyst's size estimate: parallelism only."""
+    """A number of hash buckets that grows with the input: parallelism only. The input's size is Catalyst's estimate;
+    where there is none (a petabyte or more is what Spark says then), texts are measured in one pass."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(16, 1 << min(40, (size // (mb << 20)).bit_length()))
+    if size >= 1 << 50:
+        texts = [F.sum(F.octet_length(f"`{c}`").cast("long")) for c, kind in df.dtypes if kind in ("string", "binary")]
+        size = sum(x or 0 for x in df.agg(*texts).first()) if texts else 0
+    return max(16, 1 << (size // (mb << 20)).bit_length())
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -150,9 +155,11 @@ def _file(folder: str, name: str, bucket: int) -> str:
 
 class SortedArrays:
     """Hash arrays, cut into buckets by the key's leading bits and sorted, one file each. A bucket is mapped into memory
-    when its keys are asked for; the last `most_open` stay mapped, so open files are bounded at any size."""
+    when its keys are asked for; the last `most_open` stay mapped, so open files are bounded at any size (unless given, by
+    an eighth of what the process may open)."""
 
-    def __init__(self, folder: str, name: str, values: dict[str, type], n_buckets: int, most_open: int = 2048):
+    def __init__(self, folder: str, name: str, values: dict[str, type], n_buckets: int, most_open: int | None = None):
+        most_open = most_open or max(16, min(8192, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 8))
         self.shift = np.uint64(64 - (n_buckets - 1).bit_length())
         self.folder, self.name, self.kinds, self.most_open = folder, name, {v: np.dtype(t) for v, t in values.items()}, most_open
         self.open: OrderedDict[int, tuple[np.ndarray, dict[str, np.ndarray]] | None] = OrderedDict()
@@ -196,6 +203,15 @@ class SortedArrays:
         return there, out
 
 
+def rank_of(arrays: SortedArrays, keys: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Each key's rank among all keys, for keys that are there; keys: sorted, ranks: how many keys lie before each bucket."""
+    out = np.zeros(len(keys), dtype=np.int64)
+    for b, own in bucket_rows(keys, len(ranks) - 1):
+        got = arrays.bucket(b)
+        out[own] = ranks[b] + (np.searchsorted(got[0], keys[own]) if got is not None else 0)
+    return out
+
+
 def bucket_rows(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
     """Buckets of sorted keys and where each lies."""
     bucket = keys >> np.uint64(64 - (n_buckets - 1).bit_length())
