@@ -1,10 +1,12 @@
+import math
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loam.llm.mixing import mix_sources, mixed_documents, plan_mix, quota_tree, source_targets
+from loam.llm.mixing import hypergeometric, mix_sources, mixed_documents, plan_mix, source_targets, split_tree
 
 
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
@@ -63,18 +65,82 @@ def test_mix(spark):
     assert mixed_documents(docs).columns == docs.columns
 
 
-def test_tree_is_exact(spark):
+def brute_draw(total, own, drawn, u):
+    """The least count whose exact distribution function reaches u."""
+    cum, lo, hi = 0, max(0, drawn + own - total), min(own, drawn)
+    for x in range(lo, hi + 1):
+        cum += Fraction(math.comb(own, x) * math.comb(total - own, drawn - x), math.comb(total, drawn))
+        if cum >= u:
+            return x
+    return hi
+
+
+def test_draws_are_hypergeometric(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(600):
+        total = int(rng.choice([1, 2, 3, 9, 40, 300, 5000]))
+        rows.append((total, int(rng.integers(0, total + 1)), int(rng.integers(0, total + 1)), float(rng.random())))
+    table = spark.createDataFrame(rows, "n long, k long, m long, u double")
+    got = [r.x for r in table.selectExpr(hypergeometric("n", "k", "m", "u") + " AS x").collect()]
+    assert got == [brute_draw(*r) for r in rows]
+    big = spark.range(4000).selectExpr("1000000000L AS n", "300000000L AS k", "500000000L AS m", "(id + 0.5D) / 4000 AS u").selectExpr(hypergeometric("n", "k", "m", "u") + " AS x").toPandas().x
+    assert big.mean() == pytest.approx(150_000_000, abs=20) and big.std() == pytest.approx(math.sqrt(1e9 * 0.3 * 0.7 * 0.25), rel=0.01)
+
+
+@pytest.mark.parametrize("depth", [0, 1, 4, 7])
+def test_tree_is_brute_force(spark, depth):
+    quotas = [(1, 0, 700), (2, 0, 3), (5, 0, 40), (6, 0, 1), (9, 0, 256)]
+    root = spark.createDataFrame([(quotas,)], "quotas array<struct<source_no: long, start: long, quota: long>>")
+    got = {(r.shard, r.source_no): (r.start, r.quota) for r in split_tree(root, depth, 77).collect()}
+    nodes = {0: quotas}
+    for level in range(depth):
+        ask = [(level, n, s) for n, q in nodes.items() for s, _, _ in q]
+        u = spark.createDataFrame(ask, "level int, node long, s long").select("node", "s", F.expr("shiftrightunsigned(xxhash64(77, level, node, s), 11) * 1.1102230246251565E-16D").alias("u"))
+        u = {(r.node, r.s): r.u for r in u.collect()}
+        below = {}
+        for n, q in nodes.items():
+            total = sum(x for _, _, x in q)
+            take, left, right = (total + 1) // 2, [], []
+            for s, start, own in q:
+                x = brute_draw(total, own, take, u[n, s])
+                total, take = total - own, take - x
+                left.append((s, start, x))
+                right.append((s, start + x, own - x))
+            assert take == 0
+            below[2 * n], below[2 * n + 1] = ([x for x in side if x[2]] for side in (left, right))
+        nodes = below
+    assert got == {(n, s): (start, x) for n, q in nodes.items() for s, start, x in q}
+    sizes = [sum(x for _, _, x in q) for q in nodes.values()]
+    assert max(sizes) - min(sizes) <= 1
+
+
+def test_shards_draw_disjoint_blocks(spark):
     docs = spark.createDataFrame(corpus(spark), "doc_id long, text string, source string, size string")
-    mix = plan_mix(docs, docs_per_block=16, depth=3)
+    mix = plan_mix(docs, docs_per_block=16, words_per_shard=9000)
     units = mix.units.toPandas()
-    assert not units.duplicated(["source", "block", "copy"]).any()
-    tree = quota_tree(mix.units, 3).toPandas()
-    for level in range(3):
-        child = tree[tree.level == level + 1].assign(node=lambda x: x.node // 2).groupby(["node", "source"], dropna=False).quota.sum()
-        own = tree[tree.level == level].groupby(["node", "source"], dropna=False).quota.sum()
-        assert child.equals(own)
-    sizes = tree[tree.level == 3].groupby("node").quota.sum()
-    assert sizes.max() - sizes.min() <= 1
+    assert mix.n_shards == 16 and not units.duplicated(["source_no", "block", "copy"]).any()
+    quota = {r.source_no: r.quota for r in mix.sources.collect()}
+    assert units.groupby("source_no").size().to_dict() == {s: q for s, q in quota.items() if q}
+    per = units.groupby("shard").size()
+    assert len(per) == 16 and per.max() - per.min() <= 1
+    got = mix_sources(docs, docs_per_block=16, words_per_shard=9000)
+    mixed = mixed_documents(docs, docs_per_block=16, words_per_shard=9000)
+    parts = mixed.select("doc_id", F.spark_partition_id().alias("p")).collect()
+    assert Counter(r.doc_id for r in parts) == Counter({r.doc_id: r.copies for r in got.collect() if r.copies})
+    first = {r.doc_id: r.shard for r in got.collect() if r.copies}
+    where = defaultdict(set)
+    for r in parts:
+        where[r.doc_id].add(r.p)
+    assert all(first[i] in p for i, p in where.items())
+
+
+def test_long_texts_and_ties(spark):
+    rows = [(1, "w " * 300_000, "a"), (1, "w " * 300_000, "a"), (2, "x", "a"), (3, "y", None), (4, "z", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(docs).collect()
+    assert sorted(r["size"] for r in got) == [1, 1, 1, 300_000, 300_000] and len({r.taken for r in got if r.doc_id == 1}) == 1
+    assert all(r.taken <= 2 * r["size"] for r in got)
 
 
 def test_repeats_and_empty(spark):
