@@ -59,23 +59,30 @@ def _close(a: Column, b: Column, relative: float) -> Column:
 def channel_checks(samples: DataFrame, channels: Sequence[str], *, keys: Sequence[str] = ("run_id",), order: Sequence[str] = ("t",)) -> DataFrame:
     """Per key and channel: max_abs, n, n_unique, repeat_ratio, longest_constant_run, clip_candidates and the flags.
 
-    Unchanged means within 1e-8 for the ratio, and within 1e-8 plus 1e-5 of the former value for runs.
+    Unchanged means within 1e-8 for the ratio, and within 1e-8 plus 1e-5 of the former value for runs. Missing values
+    are passed over; a channel without any value has n = 0, no max_abs and no ratio, and is frozen.
     """
-    long = samples.select(*keys, *order, F.explode(F.create_map(*(y for c in channels for y in (F.lit(c), F.col(c))))).alias("channel", "v")).where("v is not null")
-    line = Window.partitionBy(*keys, "channel").orderBy(*order)
+    long = samples.select(*keys, *order, F.explode(F.create_map(*(y for c in channels for y in (F.lit(c), F.col(c))))).alias("channel", "v"))
+    line = Window.partitionBy(*keys, "channel").orderBy(F.col("v").isNull(), *order)  # missing ones last
     before = F.lag("v").over(line)
-    long = long.withColumn("_same", F.coalesce(F.abs(F.col("v") - before) <= 1e-8, F.lit(False))).withColumn("_new", (~F.coalesce(_close(F.col("v"), before, 1e-5), F.lit(False))).cast("int"))
+    long = long.withColumn("_same", F.coalesce(F.abs(F.col("v") - before) <= 1e-8, F.lit(False))).withColumn("_new", (F.col("v").isNotNull() & ~F.coalesce(_close(F.col("v"), before, 1e-5), F.lit(False))).cast("int"))
     group = Window.partitionBy(*keys, "channel")
     long = long.withColumn("_island", F.sum("_new").over(line)).withColumn("_top", F.max(F.abs("v")).over(group))
     near = F.abs(F.abs("v") - F.col("_top")) <= F.greatest(F.lit(1e-9), 0.001 * F.col("_top"))
-    per = long.groupBy(*keys, "channel", "_island").agg(F.count(F.lit(1)).alias("_len"), F.first("_top").alias("_top"), F.count_if("_same").alias("_same"), F.count_if(near).alias("_near"))
+    per = long.groupBy(*keys, "channel", "_island").agg(F.count("v").alias("_len"), F.first("_top").alias("_top"), F.count_if("_same").alias("_same"), F.count_if(near).alias("_near"))
     unique = long.groupBy(*keys, "channel").agg(F.count_distinct("v").alias("n_unique"))
-    out = per.groupBy(*keys, "channel").agg(F.first("_top").alias("max_abs"), F.sum("_len").alias("n"), (F.sum("_same") / F.sum("_len")).alias("repeat_ratio"), F.max("_len").alias("longest_constant_run"), F.sum("_near").alias("clip_candidates")).join(unique, [*keys, "channel"])
-    frozen = (F.col("n_unique") <= 2) | (F.col("repeat_ratio") > 0.98) | (F.col("longest_constant_run") >= F.greatest(F.lit(20), F.floor(0.1 * F.col("n"))))
+    out = per.groupBy(*keys, "channel").agg(F.first("_top").alias("max_abs"), F.sum("_len").alias("n"), F.try_divide(F.sum("_same"), F.sum("_len")).alias("repeat_ratio"), F.max("_len").alias("longest_constant_run"), F.sum("_near").alias("clip_candidates")).join(unique, [*keys, "channel"])
+    frozen = (F.col("n_unique") <= 2) | F.coalesce(F.col("repeat_ratio") > 0.98, F.lit(False)) | (F.col("longest_constant_run") >= F.greatest(F.lit(20), F.floor(0.1 * F.col("n"))))
     flat = F.col("clip_candidates") >= F.greatest(F.lit(10), F.floor(0.01 * F.col("n")))
     return out.withColumn("flag_frozen", frozen).withColumn("flag_flat_top", flat)
 
 
+def qc_reports(stats: DataFrame, *, run: str = "run_id", sensor: str = "sensor") -> DataFrame:
+    """A report per run, ready for `write_runs(..., "json")`: run_id and qc_report, each sensor's figures by its name."""
+    figures = [c for c in stats.columns if c not in (run, sensor)]
+    return stats.groupBy(run).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(sensor), F.struct(*figures).alias("figures"))))).alias("qc_report"))
+
+
 def dt_histogram(samples: DataFrame, *, run: str = "run_id", time: str = "t", bins: int = 80) -> DataFrame:
     """Steps between samples in `bins` equal bins from the least to the greatest of all: bin (1 to bins), n."""
     steps = samples.select((F.col(time) - F.lag(time).over(Window.partitionBy(run).orderBy(time))).alias("dt")).dropna()

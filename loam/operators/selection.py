@@ -97,6 +97,36 @@ def mi_binned(table: DataFrame, features: Sequence[str], *, label: str = "label"
     return cell.groupBy("feature").agg(F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"))
 
 
+def fold_information(table: DataFrame, features: Sequence[str], *, run: str = "run_id", label: str = "label", bins: int = 10) -> DataFrame:
+    """run, feature, mi: mutual information as `mi_binned` over the rows of all other runs. One pass counts cells per
+    run; a fold's training counts are the total less its run. Edges are quantiles of all rows, which know no labels."""
+    long = melt(table, [run, label], features).dropna(subset=["value"])
+    edges = long.groupBy("feature").agg(F.percentile("value", F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_edges"))
+    cell = long.join(edges, "feature").groupBy(run, "feature", label, F.size(F.filter("_edges", lambda e: e < F.col("value"))).alias("_bin")).agg(F.count(F.lit(1)).alias("_own"))
+    every = cell.groupBy("feature", label, "_bin").agg(F.sum("_own").alias("_all"), F.map_from_entries(F.collect_list(F.struct(run, "_own"))).alias("_of"))
+    runs = cell.select(run).distinct().agg(F.collect_list(run).alias("_runs"))  # one row: runs are few
+    left = every.join(runs).select("feature", label, "_bin", F.explode("_runs").alias(run), "_all", "_of")
+    left = left.withColumn("c", F.col("_all") - F.coalesce(F.col("_of")[F.col(run)], F.lit(0))).where("c > 0")
+    of, by, all_ = Window.partitionBy(run, "feature", label), Window.partitionBy(run, "feature", "_bin"), Window.partitionBy(run, "feature")
+    left = left.withColumn("a", F.sum("c").over(of)).withColumn("b", F.sum("c").over(by)).withColumn("n", F.sum("c").over(all_))
+    return left.groupBy(run, "feature").agg(F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"))
+
+
+def hash_rank(rows: DataFrame, groups: Sequence[str], key: Sequence[str], seed: int, parts: int = 256) -> DataFrame:
+    """Adds _h, a hash of the key, and _rank, from 1, by it within each group. Counts of `parts` equal ranges of the hash
+    lie below row numbers within a range, so a group that holds most rows is not sorted by one task."""
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), *key)).withColumn("_part", F.shiftrightunsigned("_h", 64 - (parts - 1).bit_length()))
+    # unsigned order of the ranges; within one, all hashes have one sign
+    up_to = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    below = hashed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    below = below.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_below"))
+    within = hashed.withColumn("_no", F.row_number().over(Window.partitionBy(*groups, "_part").orderBy("_h", *key)))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return within.join(below, same).withColumn("_rank", F.col("_no") + F.col("_below")).select(*rows.columns, "_h", "_rank")
+
+
 def top_features(scores: DataFrame, n: int, score: str = "mi", feature: str = "feature", keys: Sequence[str] = ()) -> DataFrame:
     """The n best per key, ties by name; adds rank."""
     if not keys:
@@ -176,15 +206,13 @@ def explained_variance(table: DataFrame, features: Sequence[str], k: int = 2) ->
 
 def stratified_sample(table: DataFrame, cap: int, *, label: str = "label", key: Sequence[str], seed: int = 42) -> DataFrame:
     """At most `cap` rows in the classes' proportions (each at least one), filled up from the rest; by hash of the key
-    and seed, so that runs agree. A table of no more rows is returned whole."""
+    and seed, so that runs agree. A table of no more rows is returned whole. No class is brought to one task."""
     total = table.count()
     if total <= cap:
         return table
-    hashed = table.withColumn("_h", F.xxhash64(F.lit(seed), *key))
-    per, line = Window.partitionBy(label), Window.partitionBy(label).orderBy("_h", *key)
-    quota = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(per) * cap / total))
-    ranked = hashed.withColumn("_extra", F.row_number().over(line) > quota)
-    return ranked.orderBy("_extra", "_h", *key).limit(cap).drop("_h", "_extra")
+    quota = table.groupBy(F.col(label).alias("_label")).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * cap / total)).alias("_quota"))
+    ranked = hash_rank(table, [label], key, seed).join(quota, F.col(label).eqNullSafe(F.col("_label"))).withColumn("_extra", F.col("_rank") > F.col("_quota"))
+    return ranked.orderBy("_extra", "_h", *key).limit(cap).select(*table.columns)
 
 
 def overlap(a: DataFrame, b: DataFrame, column: str = "feature") -> DataFrame:

@@ -45,10 +45,11 @@ def stable_detections(islands: DataFrame, n_stable: int | DataFrame, keys: Seque
     return first.select(*keys, F.col("epoch").alias("transition_idx"), F.col("_x.start_idx").alias("detection_idx"), F.col("_x.start_time").alias("detection_time"))
 
 
-def transition_outcomes(rows: DataFrame, n_stable: int | DataFrame = 3, late_after: float = 10.0, *, keys: Sequence[str] = ("model", "run_id"), label: str = "label", pred: str = "pred", position: str = "i", time: str = "t") -> DataFrame:
+def transition_outcomes(rows: DataFrame, n_stable: int | DataFrame = 3, late_after: float = 10.0, *, least_remaining: int | None = None, keys: Sequence[str] = ("model", "run_id"), label: str = "label", pred: str = "pred", position: str = "i", time: str = "t") -> DataFrame:
     """Each transition's outcome: boundary (too few rows left), detected, or missed; delay in seconds and is_late.
 
-    The delay counts to the start of the stable run, so it may be 0. With a table of n_stable, one row for each."""
+    The delay counts to the start of the stable run, so it may be 0. With a table of n_stable, one row for each. A
+    transition is a boundary if fewer than least_remaining rows (unless given, n_stable) are left from it on."""
     found = true_transitions(rows, keys=keys, label=label, position=position, time=time)
     on = [*keys, "transition_idx"]
     if not isinstance(n_stable, DataFrame):
@@ -57,7 +58,7 @@ def transition_outcomes(rows: DataFrame, n_stable: int | DataFrame = 3, late_aft
         found, n, on = found.join(F.broadcast(n_stable)), F.col("n_stable"), [*on, "n_stable"]
     islands = prediction_islands(rows, keys=keys, label=label, pred=pred, position=position, time=time)
     joined = found.join(stable_detections(islands, n_stable, keys), on, "left")
-    edge = F.col("transition_idx") + n > F.col("n_rows")
+    edge = F.col("transition_idx") + (n if least_remaining is None else F.lit(least_remaining)) > F.col("n_rows")
     hit = ~edge & F.col("detection_time").isNotNull()
     delay = F.when(hit, F.col("detection_time") - F.col("gt_time"))
     return joined.select(*on, "from_label", "to_label", "gt_time", F.when(hit, F.col("detection_time")).alias("detection_time"), delay.alias("delay"), F.when(edge, "boundary").when(hit, "detected").otherwise("missed").alias("outcome"), F.coalesce(delay > late_after, F.lit(False)).alias("is_late"))

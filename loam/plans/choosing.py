@@ -202,6 +202,25 @@ def loro_predict(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", "run_id", "label", "pred", F.transform("proba", lambda x: F.round(x, 4)).alias("proba"))
 
 
+WHOLE_LONG = V.with_views("series_emb") + ", w AS (SELECT vec_id, run_id, label, list_transform(series, lambda x, i: x + CASE WHEN i = 4 THEN series[1] * 30 ELSE 0 END) AS s FROM series_emb), l AS (SELECT run_id, label, 'x' || unnest(range(64)) AS feature, unnest(s) AS value FROM w), e AS (SELECT feature, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM l GROUP BY feature), b AS (SELECT run_id, feature, label, len(list_filter(q, lambda z: z < value)) AS bin, count(*) AS own FROM l JOIN e USING (feature) GROUP BY ALL), f AS (SELECT h.run_id, feature, label, bin, sum(own) AS c FROM b, (SELECT DISTINCT run_id FROM b) h WHERE h.run_id <> b.run_id GROUP BY ALL), t AS (SELECT *, sum(c) OVER (PARTITION BY run_id, feature, label) AS a, sum(c) OVER (PARTITION BY run_id, feature, bin) AS s, sum(c) OVER (PARTITION BY run_id, feature) AS n FROM f)"
+
+
+@query(WHOLE_LONG + " SELECT run_id, feature, round(sum(c / n * ln(c * n / (a * s))), 6) AS mi FROM t GROUP BY run_id, feature")
+def fold_information(spark: SparkSession, d: str) -> DataFrame:
+    return r(S.fold_information(whole(spark, d), ALL))
+
+
+@query()
+def ablations(spark: SparkSession, d: str) -> DataFrame:
+    """All features, those but the first sixteen, those alone, and the fifteen best of each fold's training rows."""
+    return r(M.ablations(whole(spark, d), {"all": ALL, "without_first": ALL[16:], "first_only": ALL[:16]}))
+
+
+@query()
+def random_search(spark: SparkSession, d: str) -> DataFrame:
+    return r(M.random_search(whole(spark, d), ALL))
+
+
 @query()
 def noise_sweep(spark: SparkSession, d: str) -> DataFrame:
     return r(M.noise_sweep(whole(spark, d), ALL, SIGMAS, 10))

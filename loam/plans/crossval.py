@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loam.functions.channels import finite
 from loam.operators.evaluation import ci95, fold_metrics
+from loam.operators.selection import fold_information, hash_rank
+from loam.shared import stored
 
 
 def fold_sizes(rows: DataFrame, run: str) -> DataFrame:
@@ -25,7 +27,7 @@ def standardise(rows: DataFrame, features: Sequence[str], run: str) -> DataFrame
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row per run
     rest = sums.select(run, *(((F.sum(c).over(everything) - F.col(c)).alias(c)) for c in sums.columns if c != run)).join(F.broadcast(centre))
     stats = rest.select(run, *(g for f in features for g in ((F.col(f"_c_{f}") + F.col(f"_s_{f}") / F.col(f"_n_{f}")).alias(f"_m_{f}"), F.sqrt(F.greatest(F.lit(0.0), F.col(f"_q_{f}") / F.col(f"_n_{f}") - (F.col(f"_s_{f}") / F.col(f"_n_{f}")) ** 2)).alias(f"_d_{f}"))))
-    joined = rows.join(F.broadcast(stats), run)
+    joined = rows.join(stats, run)
     return joined.select(*(((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_d_{c}") > 0, F.col(f"_d_{c}")).otherwise(1.0)).alias(c) if c in features else F.col(c) for c in rows.columns))
 
 
@@ -52,10 +54,11 @@ def group_folds(rows: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def holdout(rows: DataFrame, share: float, *, label: str = "label", key: Sequence[str], seed: int = 42) -> DataFrame:
-    """Adds validation: the first share of each class by hash of the key (at least half of it rounds up)."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *key), *key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return rows.withColumn("validation", F.row_number().over(order) <= F.round(n * share))
+    """Adds validation: the first share of each class by hash of the key (at least half of it rounds up). No class is
+    brought to one task."""
+    n = rows.groupBy(F.col(label).alias("_label")).agg(F.round(F.count(F.lit(1)) * share).alias("_most"))
+    ranked = hash_rank(rows, [label], key, seed).join(n, F.col(label).eqNullSafe(F.col("_label")))
+    return ranked.withColumn("validation", F.col("_rank") <= F.col("_most")).select(*rows.columns, "validation")
 
 
 def _estimator(kind: str, seed: int, params: dict | None = None):
@@ -69,23 +72,28 @@ def _estimator(kind: str, seed: int, params: dict | None = None):
     raise ValueError(f"unknown model: {kind}")
 
 
-def fit_folds(table: DataFrame, features: Sequence[str], *, kind: str = "logistic", run: str = "run_id", label: str = "label", balanced: bool = True, seed: int = 42, params: dict | None = None) -> list[tuple[object, object, list[str]]]:
+def fit_folds(table: DataFrame, features: Sequence[str] | dict[object, Sequence[str]], *, kind: str = "logistic", run: str = "run_id", label: str = "label", balanced: bool = True, seed: int = 42, params: dict | None = None) -> list[tuple[object, object, list[str]]]:
     """(run, fitted pipeline, its classes) for each run, trained on all others. A loop over folds, which are few; each fit
-    is a distributed job on the cached table."""
+    is a distributed job on the table, which is written once to the shared folder. features: one list, or one by run."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
+    of = features if isinstance(features, dict) else None
+    used = sorted({f for own in of.values() for f in own}) if of else list(features)
+    clean = stored(finite(table, used).select(run, label, *used), "folds")
+    sizes = clean.groupBy(run, label).count().collect()  # a row per fold and class
     out = []
-    clean = finite(table, features)
-    for held in sorted(r[run] for r in table.select(run).distinct().collect()):
-        train = clean.where(F.col(run) != held)
-        counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
+    for held in sorted({r[run] for r in sizes}):
+        train, counts = clean.where(F.col(run) != held), {}
+        for r in sizes:
+            if r[run] != held:
+                counts[r[label]] = counts.get(r[label], 0) + r["count"]
         classes = sorted(counts)
         n = sum(counts.values())
         index = F.create_map(*(x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))))
         weight = F.create_map(*(x for c in classes for x in (F.lit(c), F.lit(n / len(classes) / counts[c] if balanced else 1.0))))
         train = train.withColumn("_y", index[F.col(label)]).withColumn("_w", weight[F.col(label)])
-        stages = [VectorAssembler(inputCols=list(features), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), _estimator(kind, seed, params)]
+        stages = [VectorAssembler(inputCols=list(of[held] if of else used), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), _estimator(kind, seed, params)]
         out.append((held, Pipeline(stages=stages).fit(train), classes))
     return out
 
@@ -111,6 +119,28 @@ def loro_predict(table: DataFrame, features: Sequence[str], *, run: str = "run_i
     return out
 
 
+def ablations(table: DataFrame, sets: dict[str, Sequence[str]], *, top: int = 15, run: str = "run_id", label: str = "label", **options) -> DataFrame:
+    """feature_set, fold, n_features, accuracy, macro_f1: leave-one-run-out with each set of features, and with "top_mi",
+    for each fold the `top` features of all sets that tell most about the label in its training rows."""
+    every = sorted({f for own in sets.values() for f in own})
+    best = fold_information(table, every, run=run, label=label)
+    order = Window.partitionBy(run).orderBy(F.col("mi").desc(), "feature")
+    chosen: dict[object, list[str]] = {}
+    for r in best.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= top).collect():  # a few rows per fold
+        chosen.setdefault(r[run], []).append(r["feature"])
+    names = sorted(r[label] for r in table.select(label).distinct().collect())
+    parts = []
+    for name, features in {**sets, "top_mi": chosen}.items():
+        for held, model, classes in fit_folds(table, features, run=run, label=label, **options):
+            own = features[held] if isinstance(features, dict) else features
+            done = predict(model, classes, table.where(F.col(run) == held), own, names)
+            parts.append(done.select(F.lit(name).alias("feature_set"), F.lit(len(own)).alias("n_features"), F.col(run).alias("fold"), label, "pred"))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return fold_metrics(rows, keys=("feature_set", "n_features"), label=label, classes="in_test")
+
+
 #: Values to draw from, by model.
 GRIDS = {"logistic": {"regParam": (0.1, 0.01, 0.001)}, "forest": {"numTrees": (20, 50, 100), "maxDepth": (5, 10, 15), "minInstancesPerNode": (1, 2, 4)}}
 
@@ -125,7 +155,7 @@ def random_search(table: DataFrame, features: Sequence[str], *, kind: str = "log
     grid = GRIDS[kind] if grid is None else grid
     every = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
     chosen = random.Random(seed).sample(every, min(draws, len(every)))
-    folded = table.join(F.broadcast(group_folds(table, run, k).select(run, "fold")), run)  # a row per run
+    folded = stored(table.join(group_folds(table, run, k).select(run, "fold"), run), "folds")
     parts = []
     for i, params in enumerate(chosen):
         names = sorted(r[label] for r in folded.select(label).distinct().collect())

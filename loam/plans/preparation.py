@@ -151,6 +151,19 @@ def qc_stats(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["qc_stats"] = qc_stats
 ORACLES["qc_stats"] = V.with_views("sensors") + ", " + STATS + " SELECT run_id, sensor, n, " + ", ".join(f"round({c}, {9 if c == 'fs_med_hz' else 6}) AS {c}" for c in FIGURES) + ", n_gaps FROM stats"
+
+
+def qc_report(spark: SparkSession, d: str) -> DataFrame:
+    """The runs' reports as JSON, read back."""
+    reports = Q.qc_reports(Q.qc_stats(V.sensors(spark, d))).select("run_id", F.to_json("qc_report").alias("report"))
+    kind = "map<string, struct<n: bigint, " + ", ".join(f"{c}: double" for c in FIGURES) + ", n_gaps: bigint>>"
+    back = reports.select("run_id", F.explode(F.from_json("report", kind)).alias("sensor", "x")).select("run_id", "sensor", "x.*")
+    return back.select("run_id", "sensor", "n", *(F.round(c, 9 if c == "fs_med_hz" else 6).alias(c) for c in FIGURES), "n_gaps")
+
+
+QUERIES["qc_report"], ORACLES["qc_report"] = qc_report, ORACLES["qc_stats"]
+
+
 #: Rates of the event sensors are far below hertz; the ranges of the query fit them.
 EV_RANGES = {"acc": (0.0, 2.5e-5), "gyro": (0.5e-5, 2e-5), "odo": (1e-5, 1.0)}
 
@@ -239,3 +252,29 @@ def union_runs(spark: SparkSession, d: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out.select("run_id", "sensor", "event_id")
+
+
+@query("SELECT 'log_' || (run_id % 16) AS run_id, round(t, 6) AS t, first(round(x, 6) ORDER BY event_id) AS ax, first(k ORDER BY event_id) AS ay, first(label ORDER BY event_id) AS label FROM (SELECT * FROM signals_ev WHERE x IS NOT NULL AND k IS NOT NULL AND t IS NOT NULL ORDER BY event_id) GROUP BY ALL", "signals_ev")
+def csv_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs written as CSV, a folder each, and found and read again: times are unique, further columns are kept."""
+    from loam.shared import shared_path
+
+    rows = V.signals_ev(spark, d).where("x is not null and k is not null and t is not null")
+    rows = rows.select(F.concat(F.lit("log_"), (F.col("run_id") % 16).cast("string")).alias("run"), F.round("t", 6).alias("t"), F.round("x", 6).alias("ax"), F.col("k").alias("ay"), F.lit(0.0).alias("az"), "label", "event_id")
+    first = S.clean_rows(rows, ("t", "ax", "ay"), keys=("run",), arrival=["event_id"])
+    root = shared_path(spark, "csv-runs")
+    first.drop("event_id").withColumnRenamed("run", "folder").withColumn("folder", F.col("folder")).write.partitionBy("folder").option("header", True).csv(root)
+    back = spark.read.option("header", True).csv(root)
+    S.require_columns(back, S.SENSOR_COLUMNS["acc"])
+    return back.select(F.col("folder").alias("run_id"), *(F.col(c).cast("double").alias(c) for c in ("t", "ax", "ay")), "label")
+
+
+@query("SELECT run_id, feature FROM (SELECT run_id, unnest(list_distinct(list(label))) AS feature FROM signals_ev GROUP BY run_id)", "signals_ev")
+def top_feature_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of names as JSON of three shapes (a list, a map, a map with top_features), read alike."""
+    from loam.sources import label_config
+
+    names = V.signals_ev(spark, d).groupBy("run_id").agg(F.collect_set("label").alias("n"))
+    keyed = F.to_json(F.map_from_arrays("n", F.transform("n", lambda x: F.lit(1))))
+    text = F.when(F.col("run_id") % 3 == 0, F.to_json("n")).when(F.col("run_id") % 3 == 1, F.to_json(F.struct(F.col("n").alias("top_features")))).otherwise(keyed)
+    return label_config.top_features(names.select("run_id", text.alias("value")), keep=["run_id"])

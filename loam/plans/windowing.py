@@ -138,7 +138,7 @@ def stationary_segments(spark: SparkSession, d: str) -> DataFrame:
     return r(_stationary(spark, d)[1])
 
 
-@query(STATIONARY + " SELECT run_id, segment_id, i FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.run_id = s.run_id AND f.segment_id = s.segment_id AND stationary)")
+@query(STATIONARY + ", gone AS MATERIALIZED (SELECT run_id, segment_id FROM f WHERE stationary) SELECT run_id, segment_id, i FROM s ANTI JOIN gone USING (run_id, segment_id)")
 def remove_stationary(spark: SparkSession, d: str) -> DataFrame:
     return G.remove_stationary(*_stationary(spark, d)).select("run_id", "segment_id", "i")
 

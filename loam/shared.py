@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A path of its own in the shared folder."""
     return os.path.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read back: cuts the lineage, survives lost executors, and
+    what is read of a wide table is what is asked for."""
+    path = shared_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

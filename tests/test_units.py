@@ -182,3 +182,95 @@ def test_random_search(spark):
     got = crossval.random_search(table, ("x", "y"), draws=2, k=3).collect()
     assert len(got) == 2 and got[0].macro_f1 >= got[1].macro_f1 > 0.8
     assert {r.fold for r in crossval.group_folds(table, "run_id", 3).collect()} == {0, 1, 2}
+
+
+def test_dead_channel(spark):
+    rows = spark.createDataFrame([("r", float(i), None, None if i % 2 else float(i)) for i in range(6)], "run_id string, t double, x double, y double")
+    got = {r.channel: r for r in qc.channel_checks(rows, ["x", "y"]).collect()}
+    x = got["x"]
+    assert (x.n, x.n_unique, x.max_abs, x.repeat_ratio, x.longest_constant_run, x.clip_candidates, x.flag_frozen, x.flag_flat_top) == (0, 0, None, None, 0, 0, True, False)
+    assert (got["y"].n, got["y"].n_unique, got["y"].max_abs, got["y"].flag_frozen) == (3, 3, 4.0, False)
+
+
+def test_remaining_rows(spark):
+    rows = spark.createDataFrame([(0, "r", i, float(i), x, x) for i, x in enumerate("aabbbb")], "model int, run_id string, i bigint, t double, label string, pred string")
+    outcome = lambda **o: transitions.transition_outcomes(rows, 2, **o).first().outcome
+    assert (outcome(), outcome(least_remaining=5), outcome(least_remaining=1)) == ("detected", "boundary", "detected")
+
+
+def test_config_discovery_and_reports(spark, tmp_path):
+    for path, text in {"a/labels_config.json": "A", "a/log_1/acc_x.txt": "1", "a/log_2/labels_config.json": "own", "a/log_2/acc.txt": "1", "b/log_3/acc.txt": "1", "b/Run1/labels_config.json": "farm", "b/Run1/log_t0_acc.csv": "1", "b/Run2/log_t0_acc.csv": "1", "a/notes/x.txt": "1"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    got = {(r.run_id, r.config, r.level) for r in label_config.discover_configs(spark, str(tmp_path)).collect()}
+    assert got == {("log_1", "A", "parent"), ("log_2", "own", "run"), ("Run1", "farm", "run")}
+    rows = spark.createDataFrame([("r", s, t) for s in ("acc", "odo") for t in (0.0, 0.01, 0.02)], "run_id string, sensor string, t double")
+    logs.write_runs(qc.qc_reports(qc.qc_stats(rows)), str(tmp_path / "qc"), "json")
+    import json
+
+    report = json.loads(next((tmp_path / "qc" / "run_id=r").glob("*.json")).read_text())["qc_report"]
+    assert set(report) == {"acc", "odo"} and report["acc"]["n"] == 3 and report["odo"]["n_gaps"] == 0
+
+
+def test_feature_columns():
+    from loam.functions.channels import feature_columns
+
+    names = ["run_id", "ax_mean", "gy_mean", "mean_speed", "speed_std"]
+    assert feature_columns(names, ["run_id"], drop_prefixes=("gy_",)) == ["ax_mean", "mean_speed", "speed_std"]
+    assert feature_columns(names, ["run_id"], only_prefixes=("speed", "mean_speed")) == ["mean_speed", "speed_std"]
+
+
+def test_alarms_across_batches(spark):
+    """A run longer than an Arrow batch, warm-up, and a missing probability, against a plain recursion."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet((1, 1, 1), 900)
+    p[5, 1] = np.nan
+    rows = spark.createDataFrame([(0, f"r{i // 450}", i % 450, float(i), [float(x) for x in v]) for i, v in enumerate(p)], "model int, run_id string, i bigint, t double, proba array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = cusum.cusum_alarms(rows.repartition(5), ("a", "b", "c"), (2.0, 4.0), warmup=7).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for run in range(2):
+        log_p = np.log(np.clip(np.nan_to_num(p[450 * run : 450 * run + 450]), 1e-9, 1))
+        for h in (2.0, 4.0):
+            c, g = int(log_p[0].argmax()), np.zeros(3)
+            for k, row in enumerate(log_p):
+                g = np.maximum(0, g + row - row[c])
+                g[c] = 0
+                if k >= 7 and g.max() > h:
+                    want.add((f"r{run}", h, k, "abc"[g.argmax()], round(g.max(), 6)))
+                    c, g = int(g.argmax()), np.zeros(3)
+    assert {(r.run_id, r.h, r.k_a, r.c_hat, round(r.g_max, 6)) for r in got} == want and len(want) > 50
+
+
+def test_matching_is_greedy(spark):
+    """One pass over sorted events gives what the rule says: each transition in order takes the first alarm left."""
+    rng = np.random.default_rng(5)
+    ts, alarms, want, left = [], [], set(), set()
+    for run in range(30):
+        at = sorted(rng.choice(60, 6, replace=False).tolist())
+        al = sorted(rng.choice(60, 9, replace=False).tolist())
+        used = set()
+        for i, a in enumerate(at):
+            end = at[i + 1] if i < 5 else 60
+            ts.append((run, a, end, 60, "x", "y", float(a)))
+            hit = next((k for k in al if k not in used and a - 4 <= k < end), None) if a + 3 <= 60 else None
+            used |= {hit} - {None}
+            want.add((run, a, None if hit is None else float(hit)))
+        alarms += [(run, k, float(k), "y", 1.0) for k in al]
+        left |= {(run, k) for k in al if k not in used}
+    t = spark.createDataFrame(ts, "run_id int, transition_idx bigint, next_idx bigint, n_rows bigint, from_label string, to_label string, gt_time double")
+    a = spark.createDataFrame(alarms, "run_id int, k_a bigint, alarm_time double, c_hat string, g_max double")
+    done, false = cusum.match_alarms(t, a, keys=["run_id"], grace=4)
+    assert {(r.run_id, r.transition_idx, r.detection_time) for r in done.collect()} == want
+    assert {(r.run_id, r.k_a) for r in false.collect()} == left
+
+
+def test_hash_rank(spark):
+    rows = spark.range(2000).selectExpr("id", "if(id % 3 = 0, null, id % 2) AS g")
+    got = selection.hash_rank(rows, ["g"], ["id"], 1).toPandas()
+    for _, own in got.groupby("g", dropna=False):
+        assert sorted(own._rank) == list(range(1, len(own) + 1))
+    assert selection.stratified_sample(rows, 100, label="g", key=["id"]).count() == 100
