@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.shared import shared_dir, shared_path
+from loam.shared import shared_dir, shared_path, stored
 
 #: The ASCII white space that parts words: space and U+0009 to U+000D (bytes.split() parts at the same).
 SPACES = " \t\n\x0b\x0c\r"
@@ -214,7 +214,8 @@ def rank_of(arrays: SortedArrays, keys: np.ndarray, ranks: np.ndarray) -> np.nda
 
 def bucket_rows(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
     """Buckets of sorted keys and where each lies."""
-    bucket = keys >> np.uint64(64 - (n_buckets - 1).bit_length())
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    for a, b in zip(edges, np.r_[edges[1:], len(keys)], strict=True):
-        yield int(bucket[a]), slice(int(a), int(b))
+    if len(keys):
+        bucket = keys >> np.uint64(64 - (n_buckets - 1).bit_length())
+        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        for a, b in zip(edges, np.r_[edges[1:], len(keys)], strict=True):
+            yield int(bucket[a]), slice(int(a), int(b))
