@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import shutil
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,15 +22,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm.common import MIX, SortedArrays, WordHash, as_binary, bucket_rows, buckets_for, doc_words, finish, new_folder, rolling, save_arrays, saved
+from loam.llm.common import MIX, SortedArrays, WordHash, as_binary, bucket_rows, buckets_for, doc_words, finish, new_folder, rolling, save_arrays, saved, stored
 
 K = 20
 NODE = K - 1
 M = 8
 #: Words that a task works on at a time: what bounds its memory.
 SLICE = 200_000
-#: A minimizer that this many slices hold is hot: its nodes are dealt by their own hash instead.
-HOT_SLICES = 32
+#: A minimizer that this many slices hold is hot: its nodes are dealt by their own hash instead, so that a bucket holds
+#: a few hundred bytes of at most so many slices for each of its minimizers.
+HOT_SLICES = 4096
 _LAST = (1 << 63) - 1
 _OPEN: dict[str, SortedArrays] = {}
 
@@ -61,6 +63,12 @@ def nodes_of(h: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return doc[start], start, at[start], g
 
 
+def _text_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows of equal id apart: their text's hash, or nothing (0) where no id comes twice."""
+    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return F.lit(0).cast("long") if repeated < 2 else F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _row_keys(docs: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
     """docs and a whole number that orders its rows as their ids do, nulls last; rows of equal id have the same.
 
@@ -113,17 +121,17 @@ def _repeated_minimizers(rows: DataFrame, folder: str, n_buckets: int) -> None:
 #: had equals in its slice; 3 such an equal.
 _SAID = ("kind", "id", "text_hash", "start", "n", "src_id", "src_hash", "src_start", "head", "at", "left", "right")
 _SAID_DDL = ", ".join(f"{c} {'int' if c == 'kind' else 'bigint'}" for c in _SAID)
-_PIECE_COLUMNS = {"ids": np.int64, "texts": np.int64, "starts": np.int64, "sizes": np.uint8, "nodes": np.uint64}
+_PIECE_COLUMNS = {"ids": np.int64, "texts": np.int64, "starts": np.int32, "sizes": np.uint8, "nodes": np.uint64}
 
 
-def graph(docs: DataFrame, key: Column, text_col: str) -> DataFrame:
+def graph(docs: DataFrame, key: Column, text_key: Column, text_col: str) -> DataFrame:
     """What all buckets say (see _SAID), written once. A run of edges names its first edge's place and its source's;
     the others follow both. head: where the fragment begins at the source; left, right: a fragment's end nodes; at (1):
     1 if the left one has one edge in and one out; at (2): the run's first edge within its piece.
 
     In each slice equal pieces are exchanged once, so that a passage that every document holds costs a row per slice.
     """
-    rows = docs.select(key.alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"), F.col(text_col).alias("text"))
+    rows = docs.select(key.alias("_id"), text_key.alias("_hash"), F.col(text_col).alias("text"))
     spark, n_buckets = docs.sparkSession, buckets_for(docs)
     folder = new_folder(spark, "minimizers")
     _repeated_minimizers(rows, folder, n_buckets)
@@ -145,15 +153,17 @@ def graph(docs: DataFrame, key: Column, text_col: str) -> DataFrame:
                     yield _pieces_out(h, lens, doc[keep], start[keep], at[keep], g, values["hot"][where][keep] > 0, ids, texts, n_buckets)
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
-        equals = [np.frombuffer(x, dtype=np.int64).reshape(-1, 7) for x in table["equals"].to_pylist() if x is not None]
-        parts = [_said(3, *x.T) for x in equals]
+        equals = [np.frombuffer(x, dtype=np.int64).reshape(-1, 6) for x in table["equals"].to_pylist() if x is not None]
+        parts = [_said(3, *x[:, :3].T, np.zeros(len(x)), *x[:, 3:].T) for x in equals]
         table = table.filter(table["ids"].is_valid())
         if table.num_rows:
             parts += _settle(*(np.concatenate([np.frombuffer(x, dtype=t) for x in table[c].to_pylist()]) for c, t in _PIECE_COLUMNS.items()))
         return pa.concat_tables(parts) if parts else _said(0, np.zeros(0, np.int64))
 
     names = ", ".join(f"{c} binary" for c in (*_PIECE_COLUMNS, "equals"))
-    return saved(rows.mapInArrow(emit, f"bucket long, {names}").groupBy("bucket").applyInArrow(settle, _SAID_DDL))
+    said = stored(rows.mapInArrow(emit, f"bucket long, {names}").groupBy("bucket").applyInArrow(settle, _SAID_DDL), "graph")
+    shutil.rmtree(folder, ignore_errors=True)
+    return said
 
 
 def _runs(*breaks: np.ndarray) -> np.ndarray:
@@ -183,13 +193,13 @@ def _pieces_out(h: np.ndarray, lens: np.ndarray, doc: np.ndarray, start: np.ndar
     order = np.lexsort((local, t, i, key))
     new = np.r_[True, key[order][1:] != key[order][:-1]]
     lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    same = (i[lead] == i[order]) & (t[lead] == t[order]) & (local[lead] == local[order])  # a repeated row's
-    other = ~new & ~same
+    place = (i[lead] == i[order]) & (local[lead] == local[order])
+    new |= place & (t[lead] != t[order])  # another text of the same id: sent as well
+    other = ~new & ~place
     again = np.zeros(len(head), dtype=bool)
     again[lead[other]] = True
     x, y = order[other], lead[other]
-    edges = n - ~behind
-    equals = np.stack([i[x], t[x], local[x], edges[x], i[y], t[y], local[y]], axis=1)[edges[x] > 0]
+    equals = np.stack([i[x], t[x], local[x], i[y], t[y], local[y]], axis=1)[(n - ~behind)[x] > 0]
     chosen = order[new]
     minimizer = g[at[head]]
     deal = np.where(hot[head], finish(node[first] ^ minimizer), minimizer)
@@ -202,9 +212,10 @@ def _pieces_out(h: np.ndarray, lens: np.ndarray, doc: np.ndarray, start: np.ndar
         flat = node[np.clip(index, 0, len(node) - 1)]
         ends = np.cumsum(size)
         flat[ends - size], flat[ends - 1] = lo[o], hi[o]
-        out.append((b, i[o].tobytes(), t[o].tobytes(), local[o].tobytes(), (n[o] | again[o] << 7).astype(np.uint8).tobytes(), flat.tobytes(), None))
+        out.append((b, i[o].tobytes(), t[o].tobytes(), local[o].astype(np.int32).tobytes(), (n[o] | again[o] << 7).astype(np.uint8).tobytes(), flat.tobytes(), None))
     if len(equals):
-        out.append((int(finish(equals[:1, 2].astype(np.uint64))[0] % np.uint64(n_buckets)), *[None] * 5, equals.tobytes()))
+        any_bucket = finish(equals[:1, 0].astype(np.uint64) * MIX + equals[:1, 2].astype(np.uint64))[0] % np.uint64(n_buckets)
+        out.append((int(any_bucket), *[None] * 5, equals.tobytes()))
     names = ["bucket", *_PIECE_COLUMNS, "equals"]
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary() if k else pa.int64()) for k in range(7)], names=names)
 
@@ -235,7 +246,7 @@ def _settle(ids: np.ndarray, texts: np.ndarray, starts: np.ndarray, sizes: np.nd
     j = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
     at = (np.cumsum(n + 2) - n - 2)[piece] + 1 + j
     node, before, after = nodes[at], nodes[at - 1], nodes[at + 1]
-    start, i, t, more = starts[piece] + j, ids[piece], texts[piece], again[piece]
+    start, i, t, more = starts[piece].astype(np.int64) + j, ids[piece], texts[piece], again[piece]
     # edges into this bucket's nodes: their number only
     into = before != 0
     order, edge, repeated = _edges(node[into], before[into], i[into], start[into], t[into], more[into])
@@ -287,16 +298,6 @@ def _source_breaks(i: np.ndarray, t: np.ndarray, start: np.ndarray, head_of: np.
     return i[a] != i[b], t[a] != t[b], start[a] != start[b] + 1, head_of[a] != head_of[b]
 
 
-def repeated_pieces(said: DataFrame) -> DataFrame:
-    """Runs of repeated edges: id, text_hash, start, n, each of which stands earlier too, at src_id, src_hash, src_start,
-    in the fragment that begins at head there."""
-    own = said.where("kind = 0").select("id", "text_hash", "start", "n", "src_id", "src_hash", "src_start", "head")
-    where = said.where("kind = 2").select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"), F.col("start").alias("_s"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("src_id").alias("_si"), F.col("src_hash").alias("_sh"), F.col("src_start").alias("_ss"), F.col("head").alias("_head"))
-    equal = said.where("kind = 3").join(where, (F.col("src_id") == F.col("_i")) & (F.col("src_hash") == F.col("_h")) & (F.col("src_start") == F.col("_s")))
-    equal = equal.select("id", "text_hash", (F.col("start") + F.col("_at")).alias("start"), F.col("_n").alias("n"), F.col("_si").alias("src_id"), F.col("_sh").alias("src_hash"), F.col("_ss").alias("src_start"), F.col("_head").alias("head"))
-    return own.unionByName(equal.where("id <> src_id or start <> src_start"))
-
-
 def nonbranching_paths(said: DataFrame, rounds: int = 40) -> DataFrame:
     """Each fragment (src_id, src_hash, head, n) with its path and its edges' place on it (path_at, of the first).
 
@@ -312,7 +313,7 @@ def nonbranching_paths(said: DataFrame, rounds: int = 40) -> DataFrame:
     line = Window.partitionBy("src_id", "src_hash").orderBy("head")
     linked = linked.withColumn("_line", F.last(F.when(F.coalesce(~goes_on, F.lit(True)), F.col("head")), ignorenulls=True).over(line))
     name = lambda i, h, s: F.xxhash64(i, h, s)
-    linked = saved(linked.withColumn("_name", name("src_id", "src_hash", "_line")).withColumn("_own", name("src_id", "src_hash", "head")).withColumn("_before", F.when(~goes_on, name("_pi", "_ph", "_ps"))).select("src_id", "src_hash", "head", "n", "_line", "_name", "_own", "_before", F.col("_pe").alias("_end")))
+    linked = stored(linked.withColumn("_name", name("src_id", "src_hash", "_line")).withColumn("_own", name("src_id", "src_hash", "head")).withColumn("_before", F.when(~goes_on, name("_pi", "_ph", "_ps"))).select("src_id", "src_hash", "head", "n", "_line", "_name", "_own", "_before"), "lines")
     # a line: its name, and the line before it with the edges up to there
     lines = linked.where("head = _line").select("_name", "_before")
     before = linked.select(F.col("_own").alias("_before"), F.col("_name").alias("_to"), (F.col("head") + F.col("n") - F.col("_line")).alias("_far"))
@@ -331,21 +332,34 @@ def nonbranching_paths(said: DataFrame, rounds: int = 40) -> DataFrame:
     return out.select("src_id", "src_hash", "head", "n", F.coalesce("_to", "_name").alias("path"), (F.col("head") - F.col("_line") + F.coalesce("_far", F.lit(0))).alias("path_at"))
 
 
+_PLACE = ("src_id", "src_hash", "src_start", "path", "path_at")
+
+
+def repeated_pieces(said: DataFrame) -> DataFrame:
+    """Runs of repeated edges: id, text_hash, start, n, each of which stands earlier too, at src_id, src_hash, src_start;
+    and on which path, from where."""
+    paths = nonbranching_paths(said).select(F.col("src_id").alias("_i"), F.col("src_hash").alias("_h"), F.col("head").alias("_s"), "path", "path_at")
+    found = said.where("kind in (0, 2)").join(paths, (F.col("src_id") == F.col("_i")) & (F.col("src_hash") == F.col("_h")) & (F.col("head") == F.col("_s")))
+    found = stored(found.select("kind", "id", "text_hash", "start", "n", "at", "src_id", "src_hash", "src_start", "path", (F.col("path_at") + F.col("src_start") - F.col("head")).alias("path_at")), "pieces")
+    own = found.where("kind = 0").select("id", "text_hash", "start", "n", *_PLACE)
+    where = found.where("kind = 2").select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"), F.col("start").alias("_s"), "n", "at", *_PLACE)
+    equal = said.where("kind = 3").select("id", "text_hash", "start", F.col("src_id").alias("_ri"), F.col("src_hash").alias("_rh"), F.col("src_start").alias("_rs"))
+    equal = equal.join(where, (F.col("_ri") == F.col("_i")) & (F.col("_rh") == F.col("_h")) & (F.col("_rs") == F.col("_s")))
+    return own.unionByName(equal.select("id", "text_hash", (F.col("start") + F.col("at")).alias("start"), "n", *_PLACE))
+
+
 def repeated_spans(said: DataFrame) -> DataFrame:
     """What stands earlier, laid along the nonbranching paths: id, text_hash, start, n (edges), src_id, src_hash,
     src_start, path, path_at. Words start .. start + n + 18 also stand at the source, along one path."""
-    paths = nonbranching_paths(said).select(F.col("src_id").alias("_i"), F.col("src_hash").alias("_h"), F.col("head").alias("_s"), "path", "path_at")
-    pieces = repeated_pieces(said).join(paths, (F.col("src_id") == F.col("_i")) & (F.col("src_hash") == F.col("_h")) & (F.col("head") == F.col("_s")))
-    pieces = pieces.select("id", "text_hash", "start", "n", "src_id", "src_hash", "src_start", "path", (F.col("path_at") + F.col("src_start") - F.col("head")).alias("path_at"))
     line = Window.partitionBy("id", "text_hash").orderBy("start", "src_id", "src_start")
     goes_on = F.lit(True)
     for c in ("start", "src_start", "path_at"):
         goes_on &= F.lag(F.col(c) + F.col("n")).over(line) == F.col(c)
     for c in ("src_id", "src_hash", "path"):
         goes_on &= F.lag(c).over(line) == F.col(c)
-    glued = pieces.withColumn("_new", F.coalesce(~goes_on, F.lit(True)).cast("int")).withColumn("_span", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    first = [F.min(c).alias(c) for c in ("start", "src_id", "src_hash", "src_start", "path", "path_at")]
-    return glued.groupBy("id", "text_hash", "_span").agg(*first, F.sum("n").alias("n")).select("id", "text_hash", "start", "n", "src_id", "src_hash", "src_start", "path", "path_at")
+    glued = repeated_pieces(said).withColumn("_new", F.coalesce(~goes_on, F.lit(True)).cast("int")).withColumn("_span", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    first = [F.min(c).alias(c) for c in ("start", *_PLACE)]
+    return glued.groupBy("id", "text_hash", "_span").agg(*first, F.sum("n").alias("n")).select("id", "text_hash", "start", "n", *_PLACE)
 
 
 def _covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -375,34 +389,34 @@ _FACT = pa.struct([("start", pa.int64()), ("n", pa.int64()), ("digest", pa.binar
 _CHECKS = "_claims array<struct<src_id: bigint, src_hash: bigint, src_start: bigint, n: bigint, digest: binary>>, _facts array<struct<start: bigint, n: bigint, digest: binary>>"
 
 
-def _cut(docs: DataFrame, key: Column, text_col: str, spans: DataFrame, judge: Callable, columns: list[T.StructField]) -> DataFrame:
+def _cut(docs: DataFrame, key: Column, text_key: Column, text_col: str, spans: DataFrame, judge: Callable, columns: list[T.StructField]) -> DataFrame:
     """judge(rows' columns, words per row, covered words per row) for rows with their spans; one shuffle of the texts.
 
     Every span's words are digested where they are cut and where they come from, in the same pass
     (_claims and _facts), so that `_verified` can compare them."""
     own = spans.select("id", "text_hash", F.struct("start", "n", "src_id", "src_hash", "src_start").alias("_span"), F.lit(None).cast("struct<start: bigint, n: bigint>").alias("_ask"))
-    asked = spans.select(F.col("src_id").alias("id"), F.col("src_hash").alias("text_hash"), "src_start", "n").distinct()
-    asked = asked.select("id", "text_hash", F.lit(None).cast(own.schema["_span"].dataType).alias("_span"), F.struct(F.col("src_start").alias("start"), "n").alias("_ask"))
-    per = own.unionByName(asked).groupBy("id", "text_hash").agg(F.collect_list("_span").alias("_spans"), F.collect_list("_ask").alias("_asked"))
+    asked = spans.select(F.col("src_id").alias("id"), F.col("src_hash").alias("text_hash"), F.lit(None).cast(own.schema["_span"].dataType).alias("_span"), F.struct(F.col("src_start").alias("start"), "n").alias("_ask"))
+    per = own.unionByName(asked).groupBy("id", "text_hash").agg(F.collect_list("_span").alias("_spans"), F.collect_set("_ask").alias("_asked"))
     names = [f"_c{i}" for i in range(len(columns))]  # whatever docs' columns are called
-    rows = docs.select(*(F.col(f"`{c.name}`").alias(n) for c, n in zip(columns, names, strict=True)), key.alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.withColumn("_hash", F.xxhash64(F.coalesce(F.col("_text"), F.lit(""))))
+    rows = docs.select(*(F.col(f"`{c.name}`").alias(n) for c, n in zip(columns, names, strict=True)), key.alias("_id"), text_key.alias("_hash"), F.col(text_col).alias("_text"))
     joined = rows.join(per, (F.col("_id") == F.col("id")) & (F.col("_hash") == F.col("text_hash")), "left").select(*names, "_id", "_hash", "_text", "_spans", "_asked")
     kinds, ddl = judge.fields, T.StructType([*(T.StructField(n, c.dataType) for n, c in zip(names, columns, strict=True)), T.StructField("_id", T.LongType()), T.StructField("_hash", T.LongType()), *judge.fields, *T._parse_datatype_string(_CHECKS).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = len(names)
-            texts, claims, facts, out = as_binary(batch.column(at + 2)), [], [], []
+            texts, claims, facts, out = as_binary(batch.column(at + 2)), set(), [], []
             for i, ((starts, lengths, *src), (ask, ask_n)) in enumerate(zip(_lists(batch.column(at + 3)), _lists(batch.column(at + 4)), strict=True)):
                 text = texts[i].as_py()
                 words = (text or b"").split()
-                claims.append([{"src_id": a, "src_hash": b, "src_start": c, "n": n, "digest": _digest(words[s : s + n + NODE])} for s, n, a, b, c in zip(starts.tolist(), lengths.tolist(), *(x.tolist() for x in src), strict=True)])
+                claims.update((a, b, c, n, _digest(words[s : s + n + NODE])) for s, n, a, b, c in zip(starts.tolist(), lengths.tolist(), *(x.tolist() for x in src), strict=True))
                 facts.append([{"start": s, "n": n, "digest": _digest(words[s : s + n + NODE])} for s, n in zip(ask.tolist(), ask_n.tolist(), strict=True)])
                 out.append(judge(text, words, _covered(len(words), starts, lengths) if len(starts) else None))
             made = zip(*out, strict=True) if out else [()] * len(kinds)
             arrays = [judge.array(x, k) for k, x in enumerate(made)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: at + 2], *arrays, pa.array(claims, pa.list_(_CLAIM)), pa.array(facts, pa.list_(_FACT))], names=[f.name for f in ddl])
+            # what the batch claims, once, with its first row
+            said = [[dict(zip(("src_id", "src_hash", "src_start", "n", "digest"), c, strict=True)) for c in claims], *[[]] * (batch.num_rows - 1)][: batch.num_rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: at + 2], *arrays, pa.array(said, pa.list_(_CLAIM)), pa.array(facts, pa.list_(_FACT))], names=[f.name for f in ddl])
 
     return joined.mapInArrow(run, ddl)
 
@@ -440,20 +454,21 @@ class _Text:
 def _verified(docs: DataFrame, id_col: str, text_col: str, judge: Callable, columns: list[T.StructField]) -> DataFrame:
     """The rows of `_cut` once every span that was cut is known to hold at its source."""
     docs, key = _row_keys(docs, id_col)
-    spans = saved(repeated_spans(graph(docs, key, text_col)))
+    text_key = _text_key(docs, id_col, text_col)
+    spans = stored(repeated_spans(graph(docs, key, text_key, text_col)), "spans")
     where = ["src_id", "src_hash", "src_start", "n"]
     for windows in (True, False):
-        out = saved(_cut(docs, key, text_col, spans, judge, columns))
+        out = stored(_cut(docs, key, text_key, text_col, spans, judge, columns), "cut")
         claims = out.select(F.explode("_claims").alias("c")).select("c.*").distinct()
-        facts = out.select(F.col("_id").alias("src_id"), F.col("_hash").alias("src_hash"), F.explode("_facts").alias("f")).select("src_id", "src_hash", F.col("f.start").alias("src_start"), "f.n", F.col("f.digest").alias("fact")).distinct()
+        facts = out.select(F.col("_id").alias("src_id"), F.col("_hash").alias("src_hash"), F.explode("_facts").alias("f")).select("src_id", "src_hash", F.col("f.start").alias("src_start"), "f.n", F.col("f.digest").alias("fact"))
         wrong = saved(claims.join(facts, where, "left").where("fact is null or fact <> digest").select(*where).distinct())
         if wrong.isEmpty():
             return out
         # hashes collided: the windows of these spans are compared one by one, and those that differ stay
         held = spans.join(wrong, where, "left_anti")
         each = spans.join(wrong, where, "left_semi").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({c: F.col(c) + F.col("_k") for c in ("start", "src_start", "path_at")} | {"n": F.lit(1).cast("long")}).drop("_k")
-        spans = saved(held.unionByName(each)) if windows else held
-    return _cut(docs, key, text_col, spans, judge, columns)
+        spans = stored(held.unionByName(each), "spans") if windows else held
+    return _cut(docs, key, text_key, text_col, spans, judge, columns)
 
 
 def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -46,6 +46,7 @@ def corpus():
 
 def test_report_is_brute_force(spark):
     rows = corpus()
+    rows += [(2003, rows[3][1] + " x"), (2003, "x " + rows[3][1])]  # one id, several texts
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, id string, n_chars int").repartition(5)
     got = sorted(map(tuple, dedup_report(docs).collect()), key=str)
     assert got == sorted(brute(rows), key=str)
@@ -53,7 +54,7 @@ def test_report_is_brute_force(spark):
 
 def said(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return graph(docs, F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "text")
+    return graph(docs, F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce("text", F.lit(""))), "text")
 
 
 def test_spans_hold_at_their_source(spark):
