@@ -9,6 +9,7 @@ the expected recall of a pair at the threshold reaches the target (Christiani, P
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,13 +108,24 @@ def _children(rows: DataFrame, threshold: float, runs: list[int] | None = None)
     return rows.select(columns).mapInArrow(run, "node bigint, set_key binary, above bigint")
 
 
-def _survival(depth: int) -> float:
-    """The chance that a pair at the threshold still shares a bucket after `depth` splits of one run: each split
-    passes it on to a number of common buckets that is Poisson with mean 1."""
-    q = 1.0
-    for _ in range(depth):
-        q = 1 - np.exp(-q)
-    return q
+class Missed:
+    """The share of pairs at the threshold that no run has found yet. A pair agrees in a binomial number of the
+    coordinates, which all runs share; with m of them each split passes it on to a number of common buckets that is
+    Poisson with mean m / (coordinates x threshold)."""
+
+    def __init__(self, threshold: float):
+        self.mean = np.arange(COORDINATES + 1) / (COORDINATES * threshold)
+        self.share = np.array([math.comb(COORDINATES, m) * threshold**m * (1 - threshold) ** (COORDINATES - m) for m in range(COORDINATES + 1)])
+
+    def runs(self, n: int, depth: int) -> None:
+        """n runs in which a pair had to share a bucket after `depth` splits."""
+        found = np.ones(COORDINATES + 1)
+        for _ in range(depth):
+            found = 1 - np.exp(-self.mean * found)
+        self.share *= (1 - found) ** n
+
+    def total(self) -> float:
+        return float(self.share.sum())
 
 
 def candidate_stars(reps: DataFrame, threshold: float, recall: float, small: int, per_batch: int = 14, deepest: int = 24, alike: float = 0.6) -> DataFrame:
@@ -122,8 +134,8 @@ def candidate_stars(reps: DataFrame, threshold: float, recall: float, small: int
 
     A bucket is split no further if it has at most `small` sets, or if at least the share `alike` of the bucket above
     came along: then its sets are alike, and it is compared in pieces. Buckets of equal members are compared once."""
-    leaves, missed, start = [], 1.0, 0
-    while missed > 1 - recall:
+    leaves, missed, start = [], Missed(threshold), 0
+    while missed.total() > 1 - recall:
         level, depth = _children(reps, threshold, list(range(start, start + per_batch))), 0
         start += per_batch
         while True:
@@ -137,7 +149,7 @@ def candidate_stars(reps: DataFrame, threshold: float, recall: float, small: int
             if large.isEmpty():
                 break
             level = _children(large.join(reps, "set_key"), threshold)
-        missed *= (1 - _survival(depth)) ** per_batch
+        missed.runs(per_batch, depth)
     out = leaves[0]
     for x in leaves[1:]:
         out = out.unionByName(x)
@@ -283,8 +295,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     connected group of links, class_id its least id, n_links how many other rows a row is linked to (all of them,
     copies included), keeper_hash the text hash of the row of class_id. Equal sets are found by their 128-bit digest
     and go on as one; a text of 1 to 4 words is one shingle. Sets that the chosen-path join brings together form candidate
-    clusters, within which every pair is checked on the exact sets, in pieces of at most about `most` sets: only
-    counts and stars leave a task, never pairs. Texts without words (or null) link to nothing. Null ids are larger
+    clusters, within which every pair is checked on the exact sets, in pieces of at most about `most` sets (16 MB of
+    them): only counts and stars leave a task, never pairs. Texts without words (or null) link to nothing. Null ids are larger
     than others; repeated rows are copies; other columns are ignored; an empty table gives an empty one.
     """
     rows = saved(signed(docs, id_col, text_col))
@@ -293,8 +305,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = saved(reps)
     stars = saved(candidate_stars(reps, threshold, recall, small))
     clusters = components(stars)
-    wanted = saved(reps.join(clusters, F.col("set_key") == F.col("node")).select("set_key", "copies", "least.id", "least.text_hash", F.col("root").alias("cluster")))
-    sizes = wanted.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    wanted = saved(reps.join(clusters, F.col("set_key") == F.col("node")).select("set_key", "copies", "least.id", "least.text_hash", "n_set", F.col("root").alias("cluster")))
+    # a piece has about `most` sets, or fewer where they are long: 16 MB of shingles
+    sizes = wanted.groupBy("cluster").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum(F.col("n_set").cast("long")) * most / (1 << 21))).alias("n"))
     sets = _sets(docs, wanted.select("id", "text_hash", "set_key"), id_col, text_col)
     found = saved(_verify(sets.join(wanted.select("set_key", "copies", "cluster"), "set_key").join(sizes, "cluster"), threshold, most))
     links = found.groupBy("a").agg(F.sum("n_links").alias("links"))
@@ -314,11 +327,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without those that are near-duplicates of another that stays: of each class the row of least id.
 
-    Rows that are equal in id and text count as one. All columns are kept.
+    Rows that are equal in id and text count as one; null and empty texts are like nothing, so they stay; null ids are
+    larger than others; of one id and class the least text hash stays. All columns are kept, whatever they are called; an
+    empty table gives an empty one.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     gone = found.where("class_size > 1").where(~F.col(id_col).eqNullSafe(F.col("class_id")) | (F.col("text_hash") != F.col("keeper_hash")))
     gone = saved(gone.select(F.col(id_col).alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct())
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_text_hash") == F.col("_gone_hash")), "left_anti")
-    return kept.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # whatever docs' columns are called
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col(id_col).alias("_own"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_own_hash"))
+    kept = keyed.join(gone, F.col("_own").eqNullSafe(F.col("_gone")) & (F.col("_own_hash") == F.col("_gone_hash")), "left_anti").dropDuplicates(["_own", "_own_hash"])
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from loam.llm.common import WordHash
-from loam.llm.jaccard_join import components, near_duplicates, one_of_each, shingles
+from loam.llm.jaccard_join import Missed, components, near_duplicates, one_of_each, shingles
 
 SEP = re.compile("[^\x20\x09-\x0d]+")
 
@@ -97,3 +97,29 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(none).collect() == []
     assert one_of_each(none).collect() == []
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "a", 1), (2, text, "b", 2), (3, None, "c", 3), (None, text, "d", 4), (4, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_hash string, _gone int")
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+    assert one_of_each(docs.limit(0)).collect() == []
+
+
+def test_expected_recall_is_over_agreeing_coordinates():
+    """Against a simulation of pairs that agree in a binomial number of coordinates, which all runs share."""
+    rng = np.random.default_rng(0)
+    for depth, runs in ((3, 14), (8, 14), (14, 28)):
+        missed = Missed(0.8)
+        missed.runs(runs, depth)
+        m = rng.binomial(64, 0.8, 6000)
+        lost = np.ones(len(m), dtype=bool)
+        for _ in range(runs):
+            alive = np.ones(len(m), dtype=np.int64)
+            for _ in range(depth):
+                alive = rng.poisson(np.minimum(alive, 10_000) * m / (64 * 0.8))
+            lost &= alive == 0
+        assert abs(lost.mean() - missed.total()) < 0.006
