@@ -92,6 +92,34 @@ class PUModel:
 NO_MODEL = PUModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)
 
 
+def risk(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float | None) -> tuple[float, float]:
+    """The two terms of the risk of a network w = [w1, b1, w2, b2] on positives p and unlabelled u: prior x E_p[l(f)]
+    and E_u[l(-f)] - prior x E_p[l(-f)], with l(z) = ln(1 + e^-z); without a prior, E_p[l(f)] and E_u[l(-f)]."""
+    zp, zu = (np.tanh(x @ w[0] + w[1]) @ w[2] + w[3] for x in (p, u))
+    if prior is None:
+        return float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean())
+    return float(prior * np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def slopes(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float | None) -> list[np.ndarray]:
+    """The step's direction: the gradient of both terms of the risk, or, where the second is negative, against its own."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def grad(x: np.ndarray, h: np.ndarray, dz: np.ndarray) -> list[np.ndarray]:
+        dh = np.outer(dz, w[2]) * (1 - h * h)
+        return [x.T @ dh, dh.sum(0), h.T @ dz, np.array([dz.sum()])]
+
+    hp, hu = np.tanh(p @ w[0] + w[1]), np.tanh(u @ w[0] + w[1])
+    zp, zu = hp @ w[2] + w[3], hu @ w[2] + w[3]
+    up, down_u = grad(p, hp, -sig(-zp) / len(zp)), grad(u, hu, sig(zu) / len(zu))
+    if prior is None:
+        return [a + b for a, b in zip(up, down_u, strict=True)]
+    second = [a - prior * b for a, b in zip(down_u, grad(p, hp, sig(zp) / len(zp)), strict=True)]
+    if risk(w, p, u, prior)[1] < 0:
+        return [-a for a in second]
+    return [prior * a + b for a, b in zip(up, second, strict=True)]
+
+
 def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int = 16, steps: int = 600, rate: float = 0.02, seed: int = 11) -> PUModel:
     """Adam on the logistic loss. With a prior the risk is the non-negative one: prior E_p[l(f)] + max(0, E_u[l(-f)] -
     prior E_p[l(-f)]), stepping against the second term where it is negative; without, positives against unlabelled."""
@@ -101,24 +129,9 @@ def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int = 16
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (pos, unl))
     w = [rng.normal(0, 1 / np.sqrt(N_FEATURES), (N_FEATURES, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-    def grad(x: np.ndarray, dz: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
-        dh = np.outer(dz, w[2]) * (1 - h * h)
-        return [x.T @ dh, dh.sum(0), h.T @ dz, np.array([dz.sum()])]
-
     batch = 2048
     for step in range(1, steps + 1):
-        xp, xu = (x if len(x) <= batch else x[rng.integers(0, len(x), batch)] for x in (p, u))
-        hp, hu = np.tanh(xp @ w[0] + w[1]), np.tanh(xu @ w[0] + w[1])
-        zp, zu = hp @ w[2] + w[3], hu @ w[2] + w[3]
-        up, down_u, down_p = -sig(-zp) / len(zp), sig(zu) / len(zu), sig(zp) / len(zp)  # slopes of l(f), l(-f)
-        if prior is None:
-            g = [a + b for a, b in zip(grad(xp, up, hp), grad(xu, down_u, hu), strict=True)]
-        else:
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            rest = [a - prior * b for a, b in zip(grad(xu, down_u, hu), grad(xp, down_p, hp), strict=True)]
-            g = [-a for a in rest] if negative < 0 else [prior * a + b for a, b in zip(grad(xp, up, hp), rest, strict=True)]
+        g = slopes(w, *(x if len(x) <= batch else x[rng.integers(0, len(x), batch)] for x in (p, u)), prior)
         for i, a in enumerate(g):
             a = a + 1e-4 * w[i]
             m[i], v[i] = 0.9 * m[i] + 0.1 * a, 0.999 * v[i] + 0.001 * a * a

@@ -15,7 +15,7 @@ from loam.llm.quality_model import score_quality
 from loam.llm.quality_rules import quality_rules
 from loam.llm.simhash import fingerprint_report
 from loam.llm.substring_dedup import dedup_report
-from loam.llm.url_filter import DEFAULT_PATTERNS, host_rule, judge_urls
+from loam.llm.url_filter import DEFAULT_PATTERNS, SHAPE_PATTERNS, WORD_PATTERNS, host_rule, judge_urls
 
 SCALE_LIMIT_TOKENS = 2048
 
@@ -81,7 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Words of a text, as in the operators: what ASCII white space parts.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')"
-_WORD_PATTERNS = ", ".join(f"'{r.name}'" for r in DEFAULT_PATTERNS)
+_WORD_NAMES = ", ".join(f"'{r.name}'" for r in WORD_PATTERNS)
+#: Every pattern on every url: a list of the names that match, by verdict.
+_SHAPES = {v: "[" + ", ".join(f"CASE WHEN regexp_matches(url, '{r.pattern}') THEN '{r.name}' END" for r in SHAPE_PATTERNS if r.verdict == v) + "]" for v in ("block", "allow")}
 _ORACLES = {
     "op2_url_filter": r"""
 WITH u AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -90,7 +92,8 @@ p AS (SELECT *, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqr
 r AS (SELECT * FROM (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')) t(rule, rh, rp, v)),
 best AS (SELECT p.*, r.rule, r.v, row_number() OVER (PARTITION BY page_id, url ORDER BY length(r.rule) DESC) AS rn, (SELECT min(w) FROM (SELECT unnest(regexp_extract_all(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS w) WHERE w IN (PATTERNS)) AS word
   FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN word IS NULL THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN rule IS NULL THEN word END AS pattern FROM best WHERE rn = 1""".replace("PATTERNS", _WORD_PATTERNS),
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN blocked IS NULL THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN rule IS NULL THEN coalesce(blocked, allowed) END AS pattern
+FROM (SELECT *, list_min(list_filter(list_append(BLOCKED, word), lambda x: x IS NOT NULL)) AS blocked, list_min(list_filter(ALLOWED, lambda x: x IS NOT NULL)) AS allowed FROM best WHERE rn = 1)""".replace("PATTERNS", _WORD_NAMES).replace("BLOCKED", _SHAPES["block"]).replace("ALLOWED", _SHAPES["allow"]),
     "op4_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, WORDS AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),

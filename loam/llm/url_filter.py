@@ -43,7 +43,20 @@ def pattern_rule(name: str, verdict: str, pattern: str, literals: Sequence[str])
 #: What is judged where no host rule fits: single words that, as a whole token of a url, mark advertising, gambling,
 #: adult or account pages. Lists like this are data; callers give their own.
 _WORDS = "ads adserver advert banner casino poker betting porn xxx nude escort login signin signup logout cart checkout".split()
-DEFAULT_PATTERNS = tuple(pattern_rule(w, "block", rf"(?i)(?<![a-z0-9]){w}(?![a-z0-9])", [w]) for w in _WORDS)
+WORD_PATTERNS = tuple(pattern_rule(w, "block", rf"(?i)(?<![a-z0-9]){w}(?![a-z0-9])", [w]) for w in _WORDS)
+#: Patterns of several tokens, which only their regular expression decides: the tokens alone, in another order or place,
+#: say nothing. Any of the literals would do to fetch a pattern; the rarest one does.
+SHAPE_PATTERNS = (
+    pattern_rule("tag-page", "block", r"(?i)/tag/[^/?#]+/page/[0-9]+", ["tag", "page"]),
+    pattern_rule("calendar-day", "block", r"(?i)/calendar/(19|20)[0-9][0-9]/[0-9][0-9]?(/|$)", ["calendar"]),
+    pattern_rule("site-search", "block", r"(?i)/search/?[?]([^#]*&)?(q|query)=[^&#]", ["search"]),
+    pattern_rule("print-view", "block", r"(?i)[?&]print=(1|true|yes)(&|#|$)", ["print"]),
+    pattern_rule("campaign", "block", r"(?i)[?&]utm_source=[^&#]*&([^#]*&)?utm_medium=", ["utm", "source", "medium"]),
+    pattern_rule("session-id", "block", r"(?i)[?&;]phpsessid=[0-9a-z]+", ["phpsessid"]),
+    pattern_rule("numbered-list", "block", r"(?i)/(item|list)/[0-9]+/page/[0-9][0-9][0-9]", ["page"]),
+    pattern_rule("article", "allow", r"(?i)^[a-z]+://[^/?#]+/article/[0-9][0-9][0-9][0-9]/[a-z0-9-]+[.]html$", ["article", "html"]),
+)
+DEFAULT_PATTERNS = (*WORD_PATTERNS, *SHAPE_PATTERNS)
 
 
 def host_of(url: Column) -> Column:

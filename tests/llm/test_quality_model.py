@@ -1,8 +1,10 @@
+import math
 import random
 
 import numpy as np
+import pytest
 
-from loam.llm.quality_model import estimate_prior, fit_quality, held_out_crc, keep_quality, score_quality
+from loam.llm.quality_model import N_FEATURES, estimate_prior, fit_quality, held_out_crc, keep_quality, risk, score_quality, slopes
 
 
 def corpus(n=600):
@@ -50,3 +52,46 @@ def test_prior():
     u = np.concatenate([rng.normal(2, 1, 7000), rng.normal(-2, 1, 3000)])
     assert abs(estimate_prior(p, u) - 0.7) < 0.04
     assert fit_quality is not None
+
+
+def plain_risk(w, p, u, prior):
+    """The non-negative risk, row by row."""
+    def f(x):
+        h = [math.tanh(sum(a * b for a, b in zip(x, w[0][:, j])) + w[1][j]) for j in range(len(w[1]))]
+        return sum(a * b for a, b in zip(h, w[2])) + w[3][0]
+
+    loss = lambda z: math.log(1 + math.exp(-z))
+    mean = lambda xs: sum(xs) / len(xs)
+    first = prior * mean([loss(f(x)) for x in p])
+    return first, mean([loss(-f(x)) for x in u]) - prior * mean([loss(-f(x)) for x in p])
+
+
+def test_risk_and_slopes_are_plain_ones():
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(0.5, 1, (9, 3)), rng.normal(0, 1, (14, 3))
+    signs = set()
+    for prior in (0.1, 0.5, 0.95):
+        for _ in range(6):
+            w = [rng.normal(0, 1.5, (3, 2)), rng.normal(0, 1, 2), rng.normal(0, 2, 2), rng.normal(0, 2, 1)]
+            first, second = plain_risk(w, p, u, prior)
+            assert risk(w, p, u, prior) == pytest.approx((first, second))
+            signs.add(second < 0)
+            # where the second term is negative the step goes against it alone; else down both
+            value = lambda: -plain_risk(w, p, u, prior)[1] if second < 0 else sum(plain_risk(w, p, u, prior))  # noqa: E731, B023
+            for a, g in zip(w, slopes(w, p, u, prior)):
+                for at in np.ndindex(a.shape):
+                    old, side = a[at], []
+                    for d in (1e-5, -1e-5):
+                        a[at] = old + d
+                        side.append(value())
+                    a[at] = old
+                    assert (side[0] - side[1]) / 2e-5 == pytest.approx(g[at], abs=1e-6)
+    assert signs == {True, False}
+    assert N_FEATURES == 24
+
+
+def test_long_texts_and_ties(spark):
+    text = "word " * 300_000
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
+    got = score_quality(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")).collect()
+    assert len(got) == 3 and len({r.score for r in got}) == 1
