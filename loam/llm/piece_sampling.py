@@ -1,7 +1,8 @@
 """Sampled SentencePiece segmentations: forward filtering and backward sampling over the lattice of pieces.
 
-A text is a space followed by its characters. Pieces of the model hold a space only in front, so the lattice falls apart
-before every space, and around every line feed (which no piece holds): units. A unit's segmentation is drawn with the
+A text is a space followed by its characters. Pieces of the model hold spaces only in front (one before letters, or
+nothing but a run of them), so the lattice falls apart before every run of spaces, and around every line feed (which no
+piece holds): units. A model with other pieces is refused. A unit's segmentation is drawn with the
 probability that the product of its pieces' weights has among all segmentations. The model has ranks, not
 probabilities; a piece of rank r weighs (r + 10)^-theta (Zipf's law). Characters that are no piece are
 spelled in byte pieces, as is a literal U+2581, which the library turns into a space: decoding is lossless.
@@ -10,7 +11,9 @@ spelled in byte pieces, as is a literal U+2581, which the library turns into a s
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ from loam.llm.common import as_binary, finish
 
 #: Stands for a space within units: no UTF-8 text holds this byte.
 SPACE = b"\xff"
-UNIT = re.compile(rb"\xff?[^\xff\n]+|\xff|\n")
+UNIT = re.compile(rb"\xff*[^\xff\n]+|\xff+|\n")
 _OPEN: dict[tuple[str, float], Lattice] = {}
 _B = np.uint64(0x100000001B3)
 _STEP = np.uint64(0x9E6C63D0876A9A47)
@@ -56,8 +59,9 @@ class Lattice:
             else:
                 raw = model.id_to_piece(i).encode("utf-8").replace("▁".encode(), SPACE)
                 self.bytes.append(raw)
-                if SPACE not in raw[1:]:
-                    usable.append((i, raw))
+                if b"\n" in raw or raw.lstrip(SPACE).find(SPACE) >= 0:
+                    raise ValueError(f"piece {i} holds a line feed, or a space behind other characters")
+                usable.append((i, raw))
         rank = {i: r for r, (i, _) in enumerate(sorted(usable))}
         n = len(usable)
         total = np.log(((np.arange(n) + 10.0) ** -theta).sum())
@@ -65,10 +69,12 @@ class Lattice:
         for i, raw in usable:
             self.weight[raw] = (i, float(-theta * np.log(rank[i] + 10.0) - total))
         self.longest = max(map(len, self.weight))
+        if self.longest > SHORT:
+            raise ValueError(f"a piece is longer than {SHORT} bytes")
         self.single = np.array([len(x) for x in self.bytes])
         #: of each length, the sorted hashes of the pieces, with ids and weights
         self.tables = {}
-        for size in range(1, min(self.longest, SHORT) + 1):
+        for size in range(1, self.longest + 1):
             own = [(x, i, w) for x, (i, w) in self.weight.items() if len(x) == size]
             if own:
                 h = np.array([self._hash(x) for x, _, _ in own], dtype=np.uint64)
@@ -93,31 +99,63 @@ class Lattice:
             i = j
         return out
 
-    def long_unit(self, unit: bytes, draw) -> list[int]:
-        """One unit of any length, in time and memory proportional to it. draw(k): the k-th random number of it."""
-        n, spelled = len(unit), self.spelled(unit)
-        alpha, edges = [0.0] + [-np.inf] * n, [[] for _ in range(n + 1)]
-        for end in range(1, n + 1):
-            found = []
-            for begin in range(max(0, end - self.longest), end):
-                if alpha[begin] > -np.inf and (x := self.weight.get(unit[begin:end])):
-                    found.append((alpha[begin] + x[1], begin, x[0]))
-            if spelled[end - 1] and alpha[end - 1] > -np.inf:
-                found.append((alpha[end - 1] + self.rare, end - 1, int(self.byte_id[unit[end - 1]])))
-            if found:
-                top = max(f[0] for f in found)
-                alpha[end] = top + np.log(sum(np.exp(f[0] - top) for f in found))
-                edges[end] = found
-        out, at, k = [], n, 0
+    def edges(self, unit: bytes) -> tuple[np.ndarray, ...]:
+        """All edges of one unit's lattice in the order of their ends: begin, end, piece, weight."""
+        text = np.frombuffer(unit, dtype=np.uint8)
+        n = len(text)
+        first = (text & 0xC0) != 0x80
+        char_end = np.r_[first[1:], True]
+        known, found = np.zeros(n, dtype=bool), []
+        h = np.zeros(n, dtype=np.uint64)
+        for k in range(1, min(self.longest, n) + 1):
+            h = h[: n - k + 1] * _B + text[k - 1 :].astype(np.uint64) + np.uint64(1)
+            if k not in self.tables:
+                continue
+            hashes, ids, weights = self.tables[k]
+            at = np.flatnonzero(first[: n - k + 1] & char_end[k - 1 :])
+            place = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
+            hit = hashes[place] == h[at]
+            at, place = at[hit], place[hit]
+            found.append((at, at + k, ids[place], weights[place]))
+            if k <= 4:
+                known[at[~np.any([first[at + j] for j in range(1, k)], axis=0)] if k > 1 else at] = True
+        # the character that a byte belongs to begins at or before it
+        spelled = np.flatnonzero(~known[np.maximum.accumulate(np.where(first, np.arange(n), 0))])
+        found.append((spelled, spelled + 1, self.byte_id[text[spelled]], np.full(len(spelled), self.rare)))
+        begin, end, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((begin, end))
+        return begin[order], end[order], piece[order], weight[order]
+
+    def long_unit(self, unit: bytes, draw) -> np.ndarray:
+        """One unit of any length, in time and memory proportional to it. draw(k): the random numbers of an array k."""
+        begin, end, piece, weight = self.edges(unit)
+        n = len(unit)
+        alpha = array("d", [0.0]) + array("d", [-math.inf]) * n
+        exp, log1p = math.exp, math.log1p
+        for s in range(0, len(begin), 1 << 16):
+            t = slice(s, s + (1 << 16))
+            for b, e, w in zip(begin[t].tolist(), end[t].tolist(), weight[t].tolist(), strict=True):
+                x, a = alpha[b] + w, alpha[e]
+                if x > a:
+                    alpha[e] = x if a == -math.inf else x + log1p(exp(a - x))
+                elif x > -math.inf:
+                    alpha[e] = a + log1p(exp(x - a))
+        cuts = np.searchsorted(end, np.arange(1, n + 2))
+        out, at, k, drawn = array("i"), n, 0, []
         while at:
-            left = draw(k)
-            for score, begin, piece in edges[at]:
-                left -= np.exp(score - alpha[at])
-                if left < 0:
-                    break
-            out.append(piece)
-            at, k = begin, k + 1
-        return out[::-1]
+            if k % 4096 == 0:
+                drawn = draw(np.arange(k, k + 4096)).tolist()
+            left, base = drawn[k % 4096], alpha[at]
+            for j in range(int(cuts[at - 1]), int(cuts[at])):
+                score = alpha[begin[j]]
+                if score > -math.inf:
+                    chosen = j
+                    left -= exp(score + weight[j] - base)
+                    if left < 0:
+                        break
+            out.append(int(piece[chosen]))
+            at, k = int(begin[chosen]), k + 1
+        return np.array(out, dtype=np.int32)[::-1]
 
     def short_units(self, units: list[bytes]) -> tuple[np.ndarray, ...]:
         """The lattices of units of up to SHORT bytes, as one table of edges: per node (unit x (SHORT + 1) + offset) its
@@ -199,7 +237,7 @@ class Lattice:
         occ = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         place = np.arange(len(occ)) - np.repeat(np.cumsum(counts) - counts, counts)
         seed = finish(np.repeat(seeds, counts) ^ finish(place.astype(np.uint64) * _STEP + np.uint64(1)))
-        draw = lambda s, k: (finish(s + np.uint64(k * int(_STEP) % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        draw = lambda s, k: (finish(s + np.asarray(k, dtype=np.uint64) * _STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         units = list(index)
         length = np.array([len(u) for u in units], dtype=np.int64)
         by_unit = np.argsort(occ, kind="stable")
@@ -221,18 +259,20 @@ class Lattice:
                 node = origin[edge]
                 more = node % (SHORT + 1) > 0
                 where, node, k = where[more], node[more], k + 1
-        for i in np.flatnonzero(length > SHORT):
-            for o in by_unit[first[i] : first[i + 1]]:
-                s = seed[o : o + 1]
-                ids = self.long_unit(units[i], lambda k, s=s: float(draw(s, k)[0]))
-                got += [(np.array([o]), np.array([x], dtype=np.int32), len(ids) - 1 - j) for j, x in enumerate(ids)]
         size = np.zeros(len(occ), dtype=np.int64)
         for where, _, k in got:
             size[where] = np.maximum(size[where], k + 1)
+        long: list[tuple[int, np.ndarray]] = []
+        for i in np.flatnonzero(length > SHORT):
+            for o in by_unit[first[i] : first[i + 1]].tolist():
+                long.append((o, self.long_unit(units[i], lambda k, o=o: draw(seed[o], k))))
+                size[o] = len(long[-1][1])
         end = np.cumsum(size)
         out = np.zeros(int(end[-1]) if len(end) else 0, dtype=np.int32)
         for where, piece, k in got:
             out[end[where] - 1 - k] = piece
+        for o, ids in long:
+            out[end[o] - len(ids) : end[o]] = ids
         ends = np.r_[0, end][np.cumsum(counts)] if len(counts) else np.zeros(0, np.int64)
         return out, np.diff(np.r_[0, ends])
 

@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import numpy as np
@@ -33,20 +34,49 @@ def brute(lattice, unit):
 
 def test_distribution_is_exact():
     lattice = Lattice(PATH, 1.0)
-    for word in ("theon", "été", "a▁"):
-        want = brute(lattice, SPACE + word.encode())
+    for word in ("theon", "été", "a▁", "   in", "    "):
+        want = brute(lattice, SPACE + word.encode().replace(b" ", SPACE))
         n = 40_000
         ids, sizes = lattice.sample([word.encode()] * n, row_seeds(list(range(n)), 5))
         at = np.r_[0, np.cumsum(sizes)]
         got = Counter(tuple(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:]))
         assert set(got) <= set(want)
         rng = np.random.default_rng(0)
-        slow = Counter(tuple(lattice.long_unit(SPACE + word.encode(), lambda k: rng.random())) for _ in range(4000))
+        slow = Counter(tuple(lattice.long_unit(SPACE + word.encode().replace(b" ", SPACE), lambda k: rng.random(len(k))).tolist()) for _ in range(4000))
         for k, p in want.items():
             assert abs(got[k] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-4
             assert abs(slow[k] / 4000 - p) < 5 * np.sqrt(p * (1 - p) / 4000) + 1e-3
 
 
+def test_pieces_of_several_spaces_are_drawn():
+    lattice = Lattice(PATH, 1.0)
+    spaces = {i for i, raw in enumerate(lattice.bytes) if len(raw) > 1 and not raw.strip(SPACE)}
+    assert len(spaces) == 14
+    ids, _ = lattice.sample([b"    if x:\n        y" + b" " * 16 + b"z"] * 3000, row_seeds(list(range(3000)), 1))
+    assert spaces & set(ids.tolist())
+
+
+def test_long_units_agree_with_short_ones(monkeypatch):
+    """The same lattice, worked on one by one: a unit's edges, and that a unit of 300 kB takes seconds."""
+    lattice = Lattice(PATH, 1.0)
+    for word in ("theon", "日本é🙂x", "  in", "¿ɸ"):
+        unit = SPACE + word.encode().replace(b" ", SPACE)
+        begin, end, piece, _ = lattice.edges(unit)
+        spelled, want = lattice.spelled(unit), set()
+        for a in range(len(unit)):
+            for b in range(a + 1, len(unit) + 1):
+                if x := lattice.weight.get(unit[a:b]):
+                    want.add((a, b, x[0]))
+            if spelled[a]:
+                want.add((a, a + 1, int(lattice.byte_id[unit[a]])))
+        assert set(zip(begin.tolist(), end.tolist(), piece.tolist())) == want
+    text = "".join(chr(0x4E00 + k * 37 % 5000) for k in range(60_000)).encode() + b"ab" * 60_000
+    began = time.process_time()
+    ids, n = lattice.sample([text], row_seeds([1], 1))
+    assert lattice.decode(ids) == text and n[0] == len(ids)
+    assert time.process_time() - began < 8
+
+
 def test_lossless_and_reproducible(spark):
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame([*rows, rows[4], (None, "null key", "x")], "doc_id long, text string, n_pieces string")
