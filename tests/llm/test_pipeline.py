@@ -62,3 +62,17 @@ def test_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in pieces) == Counter(r.doc_id for r in mixed)
     assert all(r.lossless and model.decode(r.piece_ids) == (text[r.doc_id] or "") for r in pieces)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+
+
+def test_empty_table_and_extra_columns(spark, tmp_path):
+    rows, labels, _ = corpus()
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows[:60]] + [(None, None, None, None, None, None, None)] * 2, "doc_id long, text string, lang string, source string, n_chars long, _id string, shard int")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    columns = docs.columns
+    for name, table in (("all", docs), ("none", docs.limit(0))):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            table = stage(spark, table, str(tmp_path))
+            table.write.parquet(str(tmp_path / f"{name}{k}"))
+            table = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            assert k == 4 or table.columns == columns
+            assert (table.count() > 0) == (name == "all")
