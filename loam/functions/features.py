@@ -5,10 +5,10 @@ population deviations, as everywhere in this module."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -139,37 +139,97 @@ def spectral_features(windows: DataFrame, series: Sequence[str], fs: float, *, k
     return windows.select(*keys, *series).mapInArrow(run, kind)
 
 
+def stacked_features(x: np.ndarray, fs: float, bands: dict[str, tuple[float, float]] = BANDS) -> dict[str, np.ndarray]:
+    """The bundles `basic`, `quantiles`, `moments`, `crossings`, `jerk_hjorth` and `spectrum` of equally long signals
+    (rows), by name, as the aggregates give them; missing values (NaN) are passed over, but have no spectrum."""
+    rows, n = x.shape
+    whole = not np.isnan(x).any()
+    mean, std, var, least, most, total, part = (np.mean, np.std, np.var, np.min, np.max, np.sum, np.percentile) if whole else (np.nanmean, np.nanstd, np.nanvar, np.nanmin, np.nanmax, np.nansum, np.nanpercentile)
+    count = np.full(rows, float(n)) if whole else (~np.isnan(x)).sum(1).astype(float)
+    m, low, high, square = mean(x, 1), least(x, 1), most(x, 1), x * x
+    flat = low == high
+    sd = np.where(flat, 0.0, std(x, 1))
+    out = {"mean": m, "std": sd, "min": low, "max": high, "range": high - low, "rms": np.sqrt(mean(square, 1)), "energy": total(square, 1), "mean_abs": mean(np.abs(x), 1)}
+    q = part(x, (25, 50, 75), axis=1)
+    out |= {"median": q[1], "iqr": q[2] - q[0]}
+    z = x - m[:, None]
+    m2, m3, m4 = (mean(z**k, 1) for k in (2, 3, 4))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        g1, g2 = m3 / m2**1.5, m4 / m2**2 - 3
+        out["skew"] = np.where((count >= 3) & ~flat, g1 * np.sqrt(count * (count - 1)) / (count - 2), np.nan)
+        out["kurt"] = np.where((count >= 4) & ~flat, (count - 1) / ((count - 2) * (count - 3)) * ((count + 1) * g2 + 6), np.nan)
+        sign = np.sign(np.nan_to_num(x))
+        at = np.maximum.accumulate(np.where(sign != 0, np.arange(n), 0), axis=1)
+        held = np.take_along_axis(sign, at, 1)  # a zero has the sign before it
+        out["zcr"] = (held[:, 1:] * held[:, :-1] < 0).sum(1) / (n - 1) if n > 1 else np.full(rows, np.nan)
+        none = np.full(rows, np.nan)
+        d = np.diff(x, axis=1)
+        dd = np.diff(d, axis=1)
+        sd1, sd2 = std(d, 1) if n > 1 else none, std(dd, 1) if n > 2 else none
+        out["jerk_rms"] = np.sqrt(mean(d * d, 1)) * fs if n > 1 else none
+        mobility = np.where(sd < TINY, 0.0, sd1 / sd)
+        complexity = np.where((sd1 < TINY) | (mobility < TINY), 0.0, sd2 / sd1 / mobility)
+        enough = count >= 3
+        out |= {"activity": np.where(enough, np.where(flat, 0.0, var(x, 1)), np.nan), "mobility": np.where(enough, mobility, np.nan), "complexity": np.where(enough, complexity, np.nan)}
+    there = ~np.isnan(x).any(1)
+    for name, v in spectrum(np.where(there[:, None], x, 0.0), fs, bands).items():
+        out[name] = np.where(there, v, np.nan)
+    return out
+
+
+def _stacked_corr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`safe_corr` of rows."""
+    if a.shape[1] < 2:
+        return np.full(len(a), np.nan)
+    both = ~np.isnan(a) & ~np.isnan(b)
+    n = np.maximum(both.sum(1), 1)[:, None]
+    x, y = (np.where(both, v - np.where(both, v, 0.0).sum(1, keepdims=True) / n, 0.0) for v in (a, b))
+    sa, sb = (np.where(np.nanmin(v, 1) == np.nanmax(v, 1), 0.0, np.nanstd(v, 1)) for v in (a, b))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((sa < TINY) | (sb < TINY), 0.0, (x * y).sum(1) / n[:, 0] / (sa * sb))
+
+
 def window_features(rows: DataFrame, fs: float, *, keys: Sequence[str] = ("run_id", "segment_id", "k"), order: str = "row", acc: Sequence[str] = ("ax", "ay", "az"), gyro: Sequence[str] = ("gx", "gz"), speed: str | None = None, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
     """The whole feature row of each window: n_samples, every bundle for each axis and both magnitudes, correlations
-    within and between sensors, odometry. Accelerations are taken less their window mean. One exchange by window."""
-    rows = centred(rows, acc, keys)
-    norm = lambda cs: F.sqrt(sum((F.col(c) * F.col(c) for c in cs[1:]), F.col(cs[0]) * F.col(cs[0])))
-    rows = rows.withColumn("acc_mag", norm(acc)).withColumn("gyro_mag", norm(gyro))
+    within and between sensors, odometry. Accelerations are taken less their window mean.
+
+    One exchange by window: a window's rows become one array, sorted once, and windows of equal length are worked on
+    together, batch by batch. Missing values are passed over; what can't be computed is null; empty gives empty."""
+    channels = [*acc, *gyro, *([speed] if speed else [])]
+    row = F.struct(F.col(order).alias("_o"), *(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(channels)))
+    wide = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     signals = [*acc, *gyro, "acc_mag", "gyro_mag"]
-    stepped = with_steps(rows, signals, keys, order)
     pairs = [(a, b) for i, a in enumerate(acc) for b in acc[i + 1 :]] + [(gyro[0], gyro[1])] + [(acc[0], gyro[0]), (acc[1], gyro[0]), (acc[2], gyro[1]), ("acc_mag", "gyro_mag")]
-    arrays = [in_order(s, order).alias(f"{s}__series") for s in signals]
-    columns = [c for s in signals for c in (*basic(s), *quantiles(s), *moments(s), *crossings(s), *jerk_hjorth(s, fs))]
-    wide = stepped.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"), *columns, *(safe_corr(a, b).alias(f"corr_{a}_{b}") for a, b in pairs), *(odometry(speed, fs) if speed else ()), *arrays)
-    return _with_spectra(wide, [f"{s}__series" for s in signals], fs, bands)
-
-
-def _with_spectra(wide: DataFrame, series: Sequence[str], fs: float, bands: dict[str, tuple[float, float]]) -> DataFrame:
-    """Replace the array columns by their spectral features, passing all other columns on."""
-    rest = [f for f in wide.schema if f.name not in series]
-    names = [(c, f) for c in series for f in ("spectral_energy", "dominant_freq", "spectral_centroid", "spectral_entropy", *bands)]
-    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{c.removesuffix('__series')}_{f}` double" for c, f in names])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[[f.name for f in rest]].reset_index(drop=True)
-            made: dict[str, np.ndarray] = {}
-            for c in series:
-                sizes = frame[c].map(len).to_numpy()
-                for n in np.unique(sizes):
-                    at = np.flatnonzero(sizes == n)
-                    for f, v in spectrum(np.stack(frame[c].to_numpy()[at]), fs, bands).items():
-                        made.setdefault(f"{c.removesuffix('__series')}_{f}", np.full(len(frame), np.nan))[at] = v
-            yield pd.concat([out, pd.DataFrame(made)], axis=1) if len(frame) else pd.DataFrame(columns=[x.split()[0].strip("`") for x in kind.split(", ")])
+    shape = ("mean", "std", "min", "max", "range", "rms", "energy", "mean_abs", "median", "iqr", "skew", "kurt", "zcr", "jerk_rms", "activity", "mobility", "complexity")
+    above = ("spectral_energy", "dominant_freq", "spectral_centroid", "spectral_entropy", *bands)
+    names = [f"{s}_{f}" for s in signals for f in shape] + [f"corr_{a}_{b}" for a, b in pairs] + (["mean_speed", "speed_std", "distance"] if speed else []) + [f"{s}_{f}" for s in signals for f in above]
+    kind = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + ["n_samples bigint"] + [f"`{n}` double" for n in names])
+
+    def features_of(x: np.ndarray) -> dict[str, np.ndarray]:
+        """x: windows, rows, channels."""
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # a window may miss a channel altogether
+            of = {c: x[:, :, i] - np.nanmean(x[:, :, i], 1, keepdims=True) if c in acc else x[:, :, i] for i, c in enumerate(channels)}
+            of["acc_mag"], of["gyro_mag"] = (np.sqrt(sum(of[c] * of[c] for c in g)) for g in (acc, gyro))
+            out = {f"{s}_{f}": v for s in signals for f, v in stacked_features(of[s], fs, bands).items()}
+            out |= {f"corr_{a}_{b}": _stacked_corr(of[a], of[b]) for a, b in pairs}
+            if speed:
+                v = of[speed]
+                out |= {"mean_speed": np.nanmean(v, 1), "speed_std": np.nanstd(v, 1), "distance": np.nansum(np.abs(v), 1) / fs}
+            return out
 
-    return wide.mapInPandas(run, kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            sizes = np.asarray(pc.list_value_length(lists))
+            ends, flat = np.cumsum(sizes), lists.flatten()
+            values = np.stack([flat.field(i + 1).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(channels))], axis=1)
+            found = {name: np.full(batch.num_rows, np.nan) for name in names}
+            for n in np.unique(sizes).tolist():
+                same = np.flatnonzero(sizes == n)
+                for at in np.array_split(same, -(-len(same) * n // 200_000)):
+                    for name, v in features_of(values[(ends[at] - n)[:, None] + np.arange(n)]).items():
+                        found[name][at] = v
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(sizes, pa.int64()), *(pa.array(found[n], from_pandas=True) for n in names)], names=[*keys, "n_samples", *names])
+
+    return wide.mapInArrow(run, kind)

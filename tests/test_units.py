@@ -274,3 +274,24 @@ def test_hash_rank(spark):
     for _, own in got.groupby("g", dropna=False):
         assert sorted(own._rank) == list(range(1, len(own) + 1))
     assert selection.stratified_sample(rows, 100, label="g", key=["id"]).count() == 100
+
+
+def test_window_features_are_the_bundles(spark):
+    """The stacked features of windows against the SQL aggregates, with gaps and a constant channel."""
+    rng = np.random.default_rng(9)
+    rows = [(w, i, *(float(v) for v in rng.normal(size=4)), 1.5, float(rng.random())) for w in range(5) for i in range(40 + w // 3)]
+    rows = [(*r[:2], None if (r[0], r[1]) in ((1, 7), (1, 8), (2, 0)) else r[2], *r[3:]) for r in rows]
+    table = spark.createDataFrame(rows, "k int, row int, ax double, ay double, az double, gx double, gz double, v double")
+    got = {r.k: r.asDict() for r in X.window_features(table, 100.0, keys=["k"], speed="v").collect()}
+    norm = lambda cs: F.sqrt(sum((F.col(c) * F.col(c) for c in cs[1:]), F.col(cs[0]) * F.col(cs[0])))
+    sql = X.centred(table, ["ax", "ay", "az"], ["k"]).withColumn("acc_mag", norm(["ax", "ay", "az"])).withColumn("gyro_mag", norm(["gx", "gz"]))
+    signals = ["ax", "ay", "az", "gx", "gz", "acc_mag", "gyro_mag"]
+    columns = [c for s in signals for c in (*X.basic(s), *X.quantiles(s), *X.moments(s), *X.crossings(s), *X.jerk_hjorth(s, 100.0))]
+    pairs = [("ax", "ay"), ("ax", "az"), ("ay", "az"), ("gx", "gz"), ("ax", "gx"), ("az", "gz"), ("acc_mag", "gyro_mag")]
+    want = X.with_steps(sql, signals, ["k"], "row").groupBy("k").agg(F.count(F.lit(1)).alias("n_samples"), *columns, *(X.safe_corr(a, b).alias(f"corr_{a}_{b}") for a, b in pairs), *X.odometry("v", 100.0)).collect()
+    assert len(want) == len(got) == 5
+    for r in want:
+        for name, value in r.asDict().items():
+            assert got[r.k][name] == (None if value is None else pytest.approx(value, rel=1e-9, abs=1e-9)), (r.k, name)
+    one = X.spectrum(np.array([[r[5] for r in rows if r[0] == 3]]), 100.0)
+    assert got[3]["gx_spectral_centroid"] == pytest.approx(one["spectral_centroid"][0]) and got[1]["ax_spectral_energy"] is None
