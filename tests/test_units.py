@@ -295,3 +295,17 @@ def test_window_features_are_the_bundles(spark):
             assert got[r.k][name] == (None if value is None else pytest.approx(value, rel=1e-9, abs=1e-9)), (r.k, name)
     one = X.spectrum(np.array([[r[5] for r in rows if r[0] == 3]]), 100.0)
     assert got[3]["gx_spectral_centroid"] == pytest.approx(one["spectral_centroid"][0]) and got[1]["ax_spectral_energy"] is None
+
+
+@pytest.mark.parametrize("n", [5, 64, 130, 1000])
+def test_filter_blocks_are_the_recursion(n):
+    rng = np.random.default_rng(n)
+    for order, cutoff in ((2, 5.0), (4, 20.0)):
+        b, a = filters.butterworth_design(order, cutoff, 100.0)
+        x, memory = rng.normal(size=(n, 3)), rng.normal(size=(order, 3))
+        plain, past_x, past_y = [], [np.zeros(3)] * order, [np.zeros(3)] * order
+        for t, v in enumerate(x):
+            y = b[0] * v + sum(b[k + 1] * past_x[k] - a[k + 1] * past_y[k] for k in range(order)) + (memory[t] if t < order else 0)
+            plain.append(y)
+            past_x, past_y = [v, *past_x[:-1]], [y, *past_y[:-1]]
+        assert filters._recursion(b, a, x, memory) == pytest.approx(np.array(plain))
