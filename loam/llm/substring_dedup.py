@@ -52,7 +52,7 @@ def least(g: np.ndarray, width: int) -> np.ndarray:
 
 def nodes_of(h: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each node of a document with an edge: the document's index, the node's start in the words, the position of its
-    minimizer; and the hashes of all M-word parts."""
+    minimizer; and a number for each M-word part (least hashes lie near 0, so they are spread once more)."""
     g = rolling(h, M)
     if len(h) < K:
         none = np.zeros(0, dtype=np.int64)
@@ -60,7 +60,7 @@ def nodes_of(h: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     at = least(g, NODE - M + 1)
     doc = np.repeat(np.arange(len(lens)), lens)
     start = np.flatnonzero((doc[: len(h) - NODE + 1] == doc[NODE - 1 :]) & (lens[doc[: len(h) - NODE + 1]] >= K))
-    return doc[start], start, at[start], g
+    return doc[start], start, at[start], finish(g)
 
 
 def _text_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
