@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.llm.fill_in_middle import fill_in_middle, restored
 from loam.llm.jaccard_join import near_duplicates
 from loam.llm.mixing import mix_sources
 from loam.llm.ngram_lm import held_out_scores
@@ -75,8 +76,14 @@ def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_read(spark, sf_dir, "documents"), seed=1, plain_percent=10, spm_percent=20)
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("output"), F.col("form")), 256)}
+    return made.withColumns(digests).drop("output")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_ngram_lm, op4_jaccard_join, op5_substring_dedup, op6_mixing, op7_quality_model, op8_piece_sampling, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_ngram_lm, op4_jaccard_join, op5_substring_dedup, op6_mixing, op7_quality_model, op8_piece_sampling, op9_quality_rules, op10_fingerprints, op11_fill_in_middle)}
 
 
 #: Words of a text, as in the operators: what ASCII white space parts.
@@ -85,6 +92,13 @@ _WORD_NAMES = ", ".join(f"'{r.name}'" for r in WORD_PATTERNS)
 #: Every pattern on every url: a list of the names that match, by verdict.
 _SHAPES = {v: "[" + ", ".join(f"CASE WHEN regexp_matches(url, '{r.pattern}') THEN '{r.name}' END" for r in SHAPE_PATTERNS if r.verdict == v) + "]" for v in ("block", "allow")}
 _ORACLES = {
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+h AS (SELECT doc_id, text, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b, CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS e FROM d),
+f AS (SELECT *, least(a, b) AS i, greatest(a, b) AS j, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(text, 1, i) AS p, substr(text, i + 1, j - i) AS m, substr(text, j + 1) AS s FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(i AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(j - i AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
     "op2_url_filter": r"""
 WITH u AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
