@@ -82,8 +82,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns(digests).drop("output")
 
 
+def op13_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loam.llm.bpe_tree import bpe_round_trip
+
+    found = bpe_round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    digests = {"ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256), "decoded_sha256": F.sha2("decoded", 256)}
+    return found.withColumns(digests).drop("ids", "decoded")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_ngram_lm, op4_jaccard_join, op5_substring_dedup, op6_mixing, op7_quality_model, op8_piece_sampling, op9_quality_rules, op10_fingerprints, op11_fill_in_middle)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_ngram_lm, op4_jaccard_join, op5_substring_dedup, op6_mixing, op7_quality_model, op8_piece_sampling, op9_quality_rules, op10_fingerprints, op11_fill_in_middle, op13_bpe_tree)}
 
 
 #: Words of a text, as in the operators: what ASCII white space parts.
