@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.llm.conversation_repair import damage, repair_conversations
 from loam.llm.fill_in_middle import fill_in_middle, restored
 from loam.llm.jaccard_join import near_duplicates
 from loam.llm.mixing import mix_sources
@@ -82,6 +83,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns(digests).drop("output")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(_read(spark, sf_dir, "conversations")), copies="copies")
+
+
 def op13_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -93,7 +98,7 @@ def op13_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_ngram_lm, op4_jaccard_join, op5_substring_dedup, op6_mixing, op7_quality_model, op8_piece_sampling, op9_quality_rules, op10_fingerprints, op11_fill_in_middle, op13_bpe_tree)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_ngram_lm, op4_jaccard_join, op5_substring_dedup, op6_mixing, op7_quality_model, op8_piece_sampling, op9_quality_rules, op10_fingerprints, op11_fill_in_middle, op12_conversation_repair, op13_bpe_tree)}
 
 
 #: Words of a text, as in the operators: what ASCII white space parts.
@@ -118,6 +123,31 @@ best AS (SELECT p.*, r.rule, r.v, row_number() OVER (PARTITION BY page_id, url O
   FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN blocked IS NULL THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN rule IS NULL THEN coalesce(blocked, allowed) END AS pattern
 FROM (SELECT *, list_min(list_filter(list_append(BLOCKED, word), lambda x: x IS NOT NULL)) AS blocked, list_min(list_filter(ALLOWED, lambda x: x IS NOT NULL)) AS allowed FROM best WHERE rn = 1)""".replace("PATTERNS", _WORD_NAMES).replace("BLOCKED", _SHAPES["block"]).replace("ALLOWED", _SHAPES["allow"]),
+    "op12_conversation_repair": r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(key, ''), lambda x: ord(x)::UBIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 20 AS fate FROM k),
+g AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, count(*) OVER (PARTITION BY conv_id) AS n, regexp_extract(text, '([^ \t-\r])[ \t-\r]*$', 1) AS tail FROM g),
+e AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, role[1:1] AS c FROM r),
+m AS (SELECT *, lead(c) OVER (PARTITION BY conv_id ORDER BY i) AS next_c, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS t, fault IN ('blank', 'duplicate') AS gone FROM e),
+s AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i < n AND c || next_c NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY conv_id),
+a AS (SELECT DISTINCT conv_id FROM conversations),
+z AS (SELECT a.conv_id, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal FROM a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id),
+b AS (SELECT conv_id, n + 1 AS i, [0, 4, 2, 0]::BIGINT[] AS v FROM z
+  UNION ALL SELECT conv_id, i, [least(m0, 2 + m2, 4 + m3), least(m1, 2 + m2, 4 + m3), least(m2, 2 + m3), least(m3, 2 + m2)] FROM (
+    SELECT b.conv_id, m.i, least(3 + v[1], CASE WHEN NOT gone THEN least(t + 2 + v[3], CASE c WHEN 's' THEN t + v[2] WHEN 'u' THEN t + v[3] ELSE 999 END) ELSE 999999 END) AS m0,
+      least(3 + v[2], CASE WHEN NOT gone THEN t + CASE WHEN c = 'u' THEN 0 ELSE 2 END + v[3] ELSE 999999 END) AS m1,
+      least(3 + v[3], CASE WHEN NOT gone THEN t + CASE WHEN c = 'a' THEN 0 ELSE 2 END + v[4] ELSE 999999 END) AS m2,
+      least(3 + v[4], CASE WHEN NOT gone THEN t + CASE WHEN c = 'u' THEN 0 ELSE 2 END + v[3] ELSE 999999 END) AS m3
+    FROM b JOIN m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i - 1)),
+f AS (SELECT conv_id, 1::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS kept, false AS over FROM z
+  UNION ALL SELECT conv_id, i + CASE WHEN step = 'I' THEN 0 ELSE 1 END, CASE step WHEN 'D' THEN q WHEN 'K' THEN CASE c WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE new_q END, audit || step, CASE step WHEN 'D' THEN kept WHEN 'K' THEN list_append(kept, role || ':' || text) WHEN 'R' THEN list_append(kept, new_role || ':' || text) ELSE list_append(kept, new_role || ':') END, step = '' FROM (
+    SELECT f.*, m.c, m.role, m.text, CASE WHEN q = 3 THEN 4 ELSE 3 END AS new_q, CASE WHEN q = 3 THEN 'assistant' ELSE 'user' END AS new_role,
+      CASE WHEN m.i IS NULL AND now.v[q] = 0 THEN '' WHEN 3 + later.v[q] = now.v[q] THEN 'D' WHEN 2 + now.v[CASE WHEN q = 3 THEN 4 ELSE 3 END] = now.v[q] THEN 'I'
+        WHEN (q = 1 AND c = 's' AND t + later.v[2] = now.v[q]) OR (q <> 3 AND c = 'u' AND t + later.v[3] = now.v[q]) OR (q = 3 AND c = 'a' AND t + later.v[4] = now.v[q]) THEN 'K' ELSE 'R' END AS step
+    FROM f JOIN b now ON now.conv_id IS NOT DISTINCT FROM f.conv_id AND now.i = f.i LEFT JOIN b later ON later.conv_id IS NOT DISTINCT FROM f.conv_id AND later.i = f.i + 1 LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM f.conv_id AND m.i = f.i WHERE NOT over) WHERE step <> '' OR NOT over)
+SELECT z.conv_id, gaps, blank, duplicate, truncated, illegal, b.v[1] AS cost, audit, sha256(array_to_string(kept[1:len(replace(audit, 'D', ''))], chr(10))) AS repaired_sha256
+FROM z JOIN b ON b.conv_id IS NOT DISTINCT FROM z.conv_id AND b.i = 1 JOIN f ON f.conv_id IS NOT DISTINCT FROM z.conv_id AND f.over""",
     "op4_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, WORDS AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
