@@ -170,14 +170,23 @@ def _filtered(spark: SparkSession, d: str, *names: str, every: int = 97) -> Data
     return L.filter_segments(_segmented(spark, d, every), ("ax", "ay", "gx"), [c for c in L.CONFIGS if c.name in names], 100.0)
 
 
+def _parted(spark: SparkSession, d: str) -> DataFrame:
+    """All the suppliers' lines, with a second's pause after every 397th."""
+    return G.with_segments(V.signals_li(spark, d).withColumn("t", F.col("t") + F.floor(F.col("i") / 397)), 0.015)
+
+
+def _smoothed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return r(L.filter_segments(_parted(spark, d), ("ax", "ay", "gx"), [c for c in L.CONFIGS if c.name == name], 100.0).select("run_id", "i", "ax", "ay"))
+
+
 @query()
 def butterworth_filter(spark: SparkSession, d: str) -> DataFrame:
-    return r(_filtered(spark, d, "butter_o4_10hz").select("run_id", "i", "ax", "ay"))
+    return _smoothed(spark, d, "butter_o4_10hz")
 
 
 @query()
 def savgol_filter(spark: SparkSession, d: str) -> DataFrame:
-    return r(_filtered(spark, d, "savgol_w11_p2").select("run_id", "i", "ax", "ay"))
+    return _smoothed(spark, d, "savgol_w11_p2")
 
 
 @query(V.with_views("signals_li") + ", s AS (SELECT *, CAST(floor(i / 97) AS BIGINT) AS seg, count(*) OVER (PARTITION BY run_id, CAST(floor(i / 97) AS BIGINT)) AS n FROM signals_li WHERE i % 97 <> 0), a AS (SELECT run_id, i, n, ax, sum(ax) OVER (PARTITION BY run_id, seg ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS m FROM s) SELECT run_id, i, 'ma_5' AS filter, round(CASE WHEN n < 15 THEN ax ELSE m END, 6) AS ax FROM a")
@@ -185,15 +194,18 @@ def filter_segments(spark: SparkSession, d: str) -> DataFrame:
     return r(_filtered(spark, d, "ma_5").select("run_id", "i", "filter", "ax"))
 
 
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    return L.filter_metrics(_parted(spark, d), ("ax", "ay", "gx"), L.CONFIGS, 100.0)
+
+
 @query()
 def filter_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return r(L.filter_metrics(_segmented(spark, d, 397), _filtered(spark, d, *(c.name for c in L.CONFIGS), every=397), ("ax", "ay", "gx"), 100.0))
+    return r(_metrics(spark, d))
 
 
 @query()
 def filter_select(spark: SparkSession, d: str) -> DataFrame:
-    found = L.filter_metrics(_segmented(spark, d, 397), _filtered(spark, d, *(c.name for c in L.CONFIGS), every=397), ("ax", "ay", "gx"), 100.0)
-    return r(L.select_filter(found, least_correlation=0.3))
+    return r(L.select_filter(_metrics(spark, d), least_correlation=0.3))
 
 
 @query()
