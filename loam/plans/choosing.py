@@ -54,7 +54,11 @@ def mi_knn(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["mi_knn"] = mi_knn
-BINNED = LONG + ", e AS (SELECT feature, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM l GROUP BY feature), b AS (SELECT feature, label, len(list_filter(q, lambda z: z < value)) AS bin, count(*) AS c FROM l JOIN e USING (feature) GROUP BY ALL), t AS (SELECT *, sum(c) OVER (PARTITION BY feature, label) AS a, sum(c) OVER (PARTITION BY feature, bin) AS s, sum(c) OVER (PARTITION BY feature) AS n FROM b), mi AS (SELECT feature, round(sum(c / n * ln(c * n / (a * s))), 6) AS mi FROM t GROUP BY feature)"
+BINS = ", e AS (SELECT feature, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM l GROUP BY feature), b AS (SELECT feature, label, len(list_filter(q, lambda z: z < value)) AS bin, count(*) AS c FROM l JOIN e USING (feature) GROUP BY ALL), t AS (SELECT *, sum(c) OVER (PARTITION BY feature, label) AS a, sum(c) OVER (PARTITION BY feature, bin) AS s, sum(c) OVER (PARTITION BY feature) AS n FROM b), mi AS (SELECT feature, round(sum(c / n * ln(c * n / (a * s))), 6) AS mi FROM t GROUP BY feature)"
+BINNED = LONG + BINS
+#: The same over all 64 numbers: w a row per vector, l a row per number.
+EVERY = V.with_views("series_emb") + ", w AS (SELECT vec_id, run_id, label, list_transform(series, lambda x, i: x + CASE WHEN i = 4 THEN series[1] * 30 ELSE 0 END) AS s FROM series_emb), l AS (SELECT vec_id, run_id, label, unnest(range(64)) AS no, 'x' || unnest(range(64)) AS feature, unnest(s) AS value FROM w)"
+EVERY_CORR = EVERY + ", r AS (SELECT i.n AS i, j.n AS j, 'x' || i.n AS a, 'x' || j.n AS b, corr(s[i.n + 1], s[j.n + 1]) AS r FROM w, range(64) i(n), range(64) j(n) WHERE i.n < j.n GROUP BY i.n, j.n)"
 
 
 @query(BINNED + " SELECT * FROM mi")
@@ -101,7 +105,10 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return S.stratified_sample(V.signals_ev(spark, d), 500, key=["event_id"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(BINNED + ", p AS (SELECT feature FROM mi ORDER BY mi DESC, feature LIMIT 5), q AS (SELECT feature FROM mi ORDER BY feature LIMIT 5) SELECT coalesce(p.feature, q.feature) AS feature, CASE WHEN q.feature IS NULL THEN 'a' WHEN p.feature IS NULL THEN 'b' ELSE 'both' END AS \"where\" FROM p FULL JOIN q ON p.feature = q.feature")
+OVERLAP = ", p AS (SELECT feature FROM mi ORDER BY mi DESC, feature LIMIT 5), q AS (SELECT feature FROM mi ORDER BY feature LIMIT 5) SELECT coalesce(p.feature, q.feature) AS feature, CASE WHEN q.feature IS NULL THEN 'a' WHEN p.feature IS NULL THEN 'b' ELSE 'both' END AS \"where\" FROM p FULL JOIN q ON p.feature = q.feature"
+
+
+@query(BINNED + OVERLAP)
 def feature_set_overlap(spark: SparkSession, d: str) -> DataFrame:
     mi = r(S.mi_binned(vectors(spark, d), X))
     return S.overlap(S.top_features(mi, 5), mi.orderBy("feature").limit(5))
@@ -114,32 +121,37 @@ def importance_mean_topk(spark: SparkSession, d: str) -> DataFrame:
     return r(S.mean_importance(rows, 5, 3)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query()
+@query(EVERY + BINS + " SELECT * FROM mi")
 def whole_mi_binned(spark: SparkSession, d: str) -> DataFrame:
     return r(S.mi_binned(whole(spark, d), ALL))
 
 
-@query()
+@query(EVERY + BINS + " SELECT * FROM mi ORDER BY mi DESC, feature LIMIT 5")
 def whole_topk_features(spark: SparkSession, d: str) -> DataFrame:
     return S.top_features(r(S.mi_binned(whole(spark, d), ALL)), 5)
 
 
-@query()
+@query(EVERY_CORR + " SELECT a, b, round(r, 6) AS r FROM r")
 def whole_corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     return r(S.correlations(whole(spark, d), ALL))
 
 
-@query()
+@query(EVERY_CORR + ", v AS (SELECT feature FROM l GROUP BY feature ORDER BY stddev_samp(value) DESC, feature LIMIT 25) SELECT a, b, round(r, 6) AS r FROM r WHERE a IN (FROM v) AND b IN (FROM v) ORDER BY abs(r.r) DESC, a, b LIMIT 15")
 def whole_top_corr_pairs(spark: SparkSession, d: str) -> DataFrame:
     return r(S.top_pairs(whole(spark, d), ALL))
 
 
-@query()
+@query(
+    EVERY_CORR
+    + ", v AS (SELECT no, var_samp(value) AS v FROM l GROUP BY no), p AS (SELECT i, j, vi.v AS vi, vj.v AS vj, row_number() OVER (ORDER BY j, i) AS k FROM r JOIN v vi ON vi.no = i JOIN v vj ON vj.no = j WHERE abs(r) > 0.95), "
+    "walk AS (SELECT 0::BIGINT AS k, -1::BIGINT AS turn, []::BIGINT[] AS before, []::BIGINT[] AS gone UNION ALL SELECT p.k, j, CASE WHEN turn = j THEN before ELSE gone END, CASE WHEN list_contains(CASE WHEN turn = j THEN before ELSE gone END, j) OR list_contains(gone, i) THEN gone ELSE list_append(gone, CASE WHEN vj < vi THEN j ELSE i END) END FROM walk JOIN p ON p.k = walk.k + 1) "
+    "SELECT 'x' || n AS feature, list_contains((SELECT gone FROM walk ORDER BY k DESC LIMIT 1), n) AS dropped FROM range(64) t(n)"
+)
 def whole_corr_prune(spark: SparkSession, d: str) -> DataFrame:
     return S.correlation_prune(whole(spark, d), ALL)
 
 
-@query()
+@query(EVERY + ", e AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM l GROUP BY feature) SELECT feature, label, CASE WHEN value = hi THEN 25 ELSE CAST(floor((value - lo) / (hi - lo) * 25) AS BIGINT) + 1 END AS bin, count(*) AS n FROM l JOIN e USING (feature) GROUP BY ALL")
 def whole_class_histogram(spark: SparkSession, d: str) -> DataFrame:
     rows = S.melt(whole(spark, d), ["label"], ALL).dropna(subset=["value"])
     span = rows.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
@@ -148,13 +160,13 @@ def whole_class_histogram(spark: SparkSession, d: str) -> DataFrame:
     return placed.groupBy("feature", "label", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(EVERY + BINS + OVERLAP)
 def whole_feature_set_overlap(spark: SparkSession, d: str) -> DataFrame:
     mi = r(S.mi_binned(whole(spark, d), ALL))
     return S.overlap(S.top_features(mi, 5), mi.orderBy("feature").limit(5))
 
 
-@query()
+@query(EVERY + ", m AS (SELECT run_id, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS model, feature, round(avg(abs(value)), 9) AS importance FROM l GROUP BY ALL), s AS (SELECT model, feature, sum(importance) / 5 AS importance FROM m GROUP BY ALL) SELECT model, feature, round(importance, 6) AS importance, rank FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature) AS rank FROM s) WHERE rank <= 3")
 def whole_importance_mean_topk(spark: SparkSession, d: str) -> DataFrame:
     long = S.melt(whole(spark, d), ["vec_id", "run_id"], ALL)
     rows = long.groupBy("run_id", F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("model"), "feature").agg(F.round(F.avg(F.abs("value")), 9).alias("importance"))

@@ -138,11 +138,20 @@ def stationary_segments(spark: SparkSession, d: str) -> DataFrame:
     return r(_stationary(spark, d)[1])
 
 
-@query(STATIONARY + ", gone AS MATERIALIZED (SELECT run_id, segment_id FROM f WHERE stationary) SELECT run_id, segment_id, i FROM s ANTI JOIN gone USING (run_id, segment_id)")
+MOVING = STATIONARY + ", gone AS MATERIALIZED (SELECT run_id, segment_id FROM f WHERE stationary) SELECT run_id, segment_id, i FROM s ANTI JOIN gone USING (run_id, segment_id)"
+
+
+@query(MOVING)
 def remove_stationary(spark: SparkSession, d: str) -> DataFrame:
     return G.remove_stationary(*_stationary(spark, d)).select("run_id", "segment_id", "i")
 
 
+@query(MOVING)
+def moving_rows(spark: SparkSession, d: str) -> DataFrame:
+    """`remove_stationary` by another name."""
+    return remove_stationary(spark, d)
+
+
 #: A discrete Fourier transform by sums: frequencies k / 64 of 64 values at 100 hertz.
 DFT = V.with_views("series_emb") + ", v AS (SELECT vec_id, unnest(series) AS x, unnest(range(64)) AS n FROM series_emb), c AS (SELECT vec_id, n, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM v), p AS (SELECT vec_id, f, (sum(x * cos(2 * pi() * f * n / 64)) ^ 2 + sum(x * sin(2 * pi() * f * n / 64)) ^ 2) / 64 AS psd FROM c, (SELECT unnest(range(33)) AS f) GROUP BY vec_id, f), q AS (SELECT *, f * 100 / 64.0 AS hz, psd / sum(psd) FILTER (f > 0) OVER (PARTITION BY vec_id) AS share FROM p)"
 
