@@ -39,12 +39,13 @@ def remove_stationary(samples: DataFrame, found: DataFrame, run: str = "run_id")
     return samples.join(found.where("stationary").select(run, "segment_id"), [run, "segment_id"], "left_anti")
 
 
-def window_rows(samples: DataFrame, size: int, step: int, *, run: str = "run_id") -> DataFrame:
+def window_rows(samples: DataFrame, size: int, step: int, *, run: str = "run_id", count: str | None = None) -> DataFrame:
     """Each row of a segmented table once per full window that holds it, with k, the window's number in its segment.
 
     Window k has rows k step to k step + size - 1. How many rows a segment has tells which windows are full, so no
-    window is built to be thrown away; windows spread over the cluster by (run, segment, k)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(run, "segment_id"))
+    window is built to be thrown away; windows spread over the cluster by (run, segment, k). count: a column that has
+    the number already, so that a segment need not meet in one task (`long_runs.with_segments`)."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(run, "segment_id")) if count is None else F.col(count)
     counted = samples.withColumn("_last", F.floor((n - size) / step)).where("_last >= 0")
     first = F.greatest(F.lit(0), F.ceil((F.col("row") - size + 1) / step))
     last = F.least(F.floor(F.col("row") / step), F.col("_last"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam import views as V
 from loam.operators import cusum as U
+from loam.operators import long_runs as R
 from loam.operators import transitions as T
 
 QUERIES, ORACLES = {}, {}
@@ -47,6 +48,19 @@ def stable_detection(spark: SparkSession, d: str) -> DataFrame:
     return r(T.stable_detections(islands, 3, KEYS))
 
 
+@query(ORACLES["gt_transitions"])
+def long_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """`gt_transitions` by scans of chunks."""
+    return r(R.true_transitions(V.epochs_ev(spark, d), label="lbl", chunk_rows=V.CHUNK))
+
+
+@query(ORACLES["stable_detection"])
+def long_stable_detection(spark: SparkSession, d: str) -> DataFrame:
+    """`stable_detection` by scans of chunks."""
+    islands = R.prediction_islands(V.preds(spark, d), keys=KEYS, label="lbl", pred="pred", position="i", time="t", chunk_rows=V.CHUNK)
+    return r(T.stable_detections(islands, 3, KEYS))
+
+
 def _outcomes(spark: SparkSession, d: str, n: int | DataFrame = 3) -> DataFrame:
     return T.transition_outcomes(V.preds(spark, d), n, 100_000.0, label="lbl")
 

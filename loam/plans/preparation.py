@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam import views as V
 from loam.operators import align as A
+from loam.operators import long_runs as R
 from loam.operators import labelling as L
 from loam.operators import qc as Q
 from loam.sources import label_config as C
@@ -141,6 +142,20 @@ _one = "SELECT run_id, i, round({x}, 6) AS {s} FROM (SELECT p.run_id, p.i, p.t,
 ORACLES["merge_sensors"] = V.with_views("sensors") + ", " + GRID + "".join(f", {s}_ AS (" + _one.format(s=s, x=LINEAR) + ")" for s in ("acc", "gyro", "odo")) + " SELECT run_id, i, acc, gyro, odo FROM acc_ JOIN gyro_ USING (run_id, i) JOIN odo_ USING (run_id, i)"
 
 
+@query(ORACLES["resample_linear"])
+def long_resample(spark: SparkSession, d: str) -> DataFrame:
+    """`resample_linear` by scans of chunks."""
+    sensors = V.sensors(spark, d)
+    return R.align(sensors.where("sensor = 'acc'"), A.grid(sensors, V.GRID_S), ["v"], chunk_rows=V.CHUNK).select("run_id", "i", *r6("v"))
+
+
+@query(ORACLES["merge_sensors"])
+def long_merge(spark: SparkSession, d: str) -> DataFrame:
+    """`merge_sensors` by scans of chunks."""
+    sensors = V.sensors(spark, d)
+    return R.merge_sensors(sensors, A.grid(sensors, V.GRID_S), ("acc", "gyro", "odo"), chunk_rows=V.CHUNK).select("run_id", "i", *r6("acc", "gyro", "odo"))
+
+
 STATS = "st AS (SELECT *, t - lag(t) OVER (PARTITION BY run_id, sensor ORDER BY t) AS dt FROM sensors), s0 AS (SELECT run_id, sensor, count(*) AS n, CASE WHEN count(*) > 1 THEN max(t) - min(t) ELSE 0.0 END AS duration_s, quantile_cont(dt, 0.5) AS dt_med, quantile_cont(dt, 0.99) AS dt_p99, max(dt) AS dt_max FROM st GROUP BY run_id, sensor), stats AS (SELECT s0.*, CASE WHEN dt_med > 0 THEN 1 / dt_med END AS fs_med_hz, CASE WHEN dt_med > 0 THEN dt_max / dt_med END AS gap_ratio, (SELECT count(*) FROM st WHERE st.run_id = s0.run_id AND st.sensor = s0.sensor AND dt_med > 0 AND dt > 5 * dt_med) AS n_gaps FROM s0)"
 FIGURES = ("duration_s", "fs_med_hz", "dt_med", "dt_p99", "dt_max", "gap_ratio")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loam import views as V
 from loam.functions import channels as C
 from loam.functions import features as X
+from loam.operators import long_runs as R
 from loam.operators import segments as G
 
 QUERIES, ORACLES = {}, {}
@@ -53,6 +54,22 @@ def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
     return r(G.sliding_windows(_seg(spark, d), SIZE, STEP))
 
 
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    return R.with_segments(V.signals_ev(spark, d), V.GAP, tie=("event_id",), chunk_rows=V.CHUNK, counted=True)
+
+
+@query(ORACLES["segments"])
+def long_segments(spark: SparkSession, d: str) -> DataFrame:
+    """`segments` by scans of chunks."""
+    return r(G.segments(_long(spark, d)))
+
+
+@query(SEG + ", w AS (SELECT run_id, segment_id, k, event_id FROM win) SELECT * FROM w")
+def long_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all windows by scans of chunks."""
+    return G.window_rows(_long(spark, d).drop("k"), SIZE, STEP, count="segment_rows").select(*KEYS, "event_id")
+
+
 @query(SEG + " SELECT row_number() OVER (ORDER BY run_id, segment_id, k) - 1 AS window_id, run_id, segment_id, k FROM (SELECT DISTINCT run_id, segment_id, k FROM win)")
 def window_ids(spark: SparkSession, d: str) -> DataFrame:
     return G.window_ids(G.sliding_windows(_seg(spark, d), SIZE, STEP)).select("window_id", *KEYS)

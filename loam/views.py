@@ -12,6 +12,8 @@ EPOCH = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 10
 #: Seconds: a gap between events that parts segments, a bin of the epochs view, a step of the common grid.
 GAP, EPOCH_S, GRID_S = 90_000.0, 432_000.0, 21_600.0
 CLASSES = ("c0", "c1", "c2")
+#: Rows of a chunk in the queries of long runs: few, as the test tables' runs are short.
+CHUNK = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
