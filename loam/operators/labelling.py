@@ -6,16 +6,57 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loam.operators.long_runs import with_place
+
+
+#: Ends of a run's intervals at most.
+MOST_ENDS = (1 << 20) - 1
+
+
+def elementary(ranges: Sequence[tuple]) -> tuple[list, list[str | None]]:
+    """Disjoint pieces of closed intervals (.., t0, t1, name), the first of which wins where they overlap.
+
+    The ends in order, and a name or None for each piece: piece 2k is the k-th end itself, 2k + 1 what lies between it
+    and the next. Every piece is named once: what is named already is skipped over, so work grows with the intervals'
+    number, not with how many overlap. Intervals with a missing end, or that end before they begin, hold nothing."""
+    held = [r for r in ranges if r["t0"] is not None and r["t1"] is not None and r["t0"] <= r["t1"]]
+    ends = sorted({e for r in held for e in (r["t0"], r["t1"])})
+    if len(ends) > MOST_ENDS:
+        raise ValueError(f"a run has more than {MOST_ENDS} ends of intervals")
+    place = {e: 2 * k for k, e in enumerate(ends)}
+    names: list[str | None] = [None] * (2 * len(ends))
+    free = list(range(2 * len(ends) + 1))  # the first piece from here on that has no name yet
+
+    def first_free(i: int) -> int:
+        while free[i] != i:
+            free[i] = free[free[i]]
+            i = free[i]
+        return i
+
+    for r in held:
+        i = first_free(place[r["t0"]])
+        while i <= place[r["t1"]]:
+            names[i], free[i] = r["name"], i + 1
+            i = first_free(i)
+    return ends, names
 
 
 def label_samples(samples: DataFrame, intervals: DataFrame, *, run: str = "run_id", time: str = "t") -> DataFrame:
     """Adds label: of the first interval (by label_ord, range_ord) with t0 <= time <= t1, null if there is none.
 
-    A run's intervals travel as one sorted array, so samples are joined on the run alone and never multiplied.
+    A run's intervals become disjoint pieces once (`elementary`) and travel as one sorted array, so samples are joined on
+    the run alone and never multiplied; a sample finds its piece by binary search. Null times and runs have no label;
+    repeated and overlapping intervals are settled by order; NaN times have none either.
     """
-    arrays = intervals.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("label_ord", "range_ord", "t0", "t1", F.col("label").alias("name")))).alias("_ranges"))
-    hit = F.filter("_ranges", lambda x: (x["t0"] <= F.col(time)) & (F.col(time) <= x["t1"]))
-    return samples.drop("label").join(arrays, run, "left").withColumn("label", F.try_element_at(hit, F.lit(1))["name"]).drop("_ranges")
+    kind = intervals.schema["t0"].dataType
+    arrays = intervals.where(F.col(run).isNotNull()).groupBy(run).agg(F.array_sort(F.collect_list(F.struct("label_ord", "range_ord", "t0", "t1", F.col("label").alias("name")))).alias("_ranges"))
+    pieces = F.udf(elementary, T.StructType([T.StructField("ends", T.ArrayType(kind)), T.StructField("names", T.ArrayType(T.StringType()))]))
+    arrays = arrays.select(run, pieces("_ranges").alias("_pieces")).select(run, F.col("_pieces.ends").alias("_ends"), F.col("_pieces.names").alias("_names"))
+    placed = with_place(samples.drop("label").join(arrays, run, "left"), "_ends", time, MOST_ENDS, "_place")
+    piece = F.when(F.get("_ends", "_place") == F.col(time), 2 * F.col("_place")).otherwise(2 * F.col("_place") - 1)
+    return placed.withColumn("label", F.get("_names", F.when(piece >= 0, piece))).drop("_ends", "_names", "_place")
 
 
 def label_distribution(rows: DataFrame, label: str = "label") -> DataFrame:
