@@ -10,17 +10,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.operators.quantiles import exact_quantiles
+
 
 def speed_bins(table: DataFrame, speed: str) -> DataFrame:
     """Adds speed_bin 0, 1 or 2 by tertile edges, right ends and the very least included; where tertiles collapse, by
     three bins of equal width. One row of edges is broadcast."""
-    edges = table.agg(F.percentile(speed, F.array(F.lit(0.0), F.lit(1 / 3), F.lit(2 / 3), F.lit(1.0))).alias("_e"))
+    edges = exact_quantiles(table, speed, [0, 1 / 3, 2 / 3, 1]).select(F.col("q").alias("_e"))
     e = lambda i: F.col("_e")[i]
     width = (e(3) - e(0)) / 3
     flat = (e(0) >= e(1)) | (e(1) >= e(2)) | (e(2) >= e(3))
     one, two = F.when(flat, e(0) + width).otherwise(e(1)), F.when(flat, e(0) + 2 * width).otherwise(e(2))
     place = F.when(F.col(speed) <= one, 0).when(F.col(speed) <= two, 1).otherwise(2)
-    return table.join(F.broadcast(edges)).withColumn("speed_bin", F.when(F.col(speed).isNotNull(), place).cast("bigint")).drop("_e")
+    return table.join(F.broadcast(edges), F.lit(True), "left").withColumn("speed_bin", F.when(F.col(speed).isNotNull(), place).cast("bigint")).drop("_e")
 
 
 def fold_quality(binned: DataFrame, *, run: str = "run_id", label: str = "label", warn: float = 0.35) -> DataFrame:

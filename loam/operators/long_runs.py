@@ -75,6 +75,17 @@ def with_segments(samples: DataFrame, gap: float, *, run: str = "run_id", time:
     return joined.select(*samples.columns, (F.col("_id") + F.col("_cuts")).alias("segment_id"), (F.col("_base") + F.col("_no") - start).alias("row"), *size)
 
 
+def with_steps(rows: DataFrame, keys: Sequence[str], time: str = "t", chunk_rows: int = CHUNK_ROWS, name: str = "_dt") -> DataFrame:
+    """Adds each row's time less that of the row before it in its key; null for the first. Keys without nulls."""
+    line, chunks = _lines(keys, [F.col(time)])
+    local = with_chunks(rows, keys, time, chunk_rows).withColumn("_lag", F.lag(time).over(line))
+    per = local.groupBy(*keys, "_chunk").agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
+    head = per.select(*keys, "_chunk", "_t0", F.lag("_t1").over(chunks).alias("_earlier")).where("_earlier is not null")
+    joined = local.join(head, [*keys, "_chunk"], "left")
+    first = F.col("_lag").isNull() & (F.col(time) == F.col("_t0"))
+    return joined.withColumn(name, F.col(time) - F.coalesce("_lag", F.when(first, F.col("_earlier")))).drop("_chunk", "_lag", "_t0", "_earlier")
+
+
 def _with_before(rows: DataFrame, keys: Sequence[str], label: str, position: str, chunk_rows: int) -> DataFrame:
     """rows in chunks with _before (the last known label before) and n_rows of the key."""
     line, chunks = _lines(keys, [F.col(position)])

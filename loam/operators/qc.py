@@ -7,24 +7,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.operators.long_runs import CHUNK_ROWS, with_steps
+from loam.operators.quantiles import exact_quantiles
+
 #: Accepted sample rates in hertz.
 FS_RANGES = {"acc": (70.0, 100.0), "gyro": (70.0, 100.0), "odo": (80.0, 130.0)}
 
 
-def qc_stats(samples: DataFrame, *, keys: Sequence[str] = ("run_id", "sensor"), time: str = "t", gap_factor: float = 5.0) -> DataFrame:
+def qc_stats(samples: DataFrame, *, keys: Sequence[str] = ("run_id", "sensor"), time: str = "t", gap_factor: float = 5.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per key: n, duration_s, fs_med_hz, dt_med, dt_p99, dt_max, gap_ratio, n_gaps (steps over gap_factor medians).
 
-    One sort by key and time serves all; fewer than two rows give nulls, duration 0 and no gaps.
+    Steps come from chunks of a key (`long_runs.with_steps`) and their quantiles from `exact_quantiles`, so neither a sort
+    nor a buffer holds a key's rows; fewer than two rows give nulls, duration 0 and no gaps. Keys have no nulls.
     """
-    line = Window.partitionBy(*keys).orderBy(time)
-    steps = samples.withColumn("_dt", F.col(time) - F.lag(time).over(line))
-    whole = Window.partitionBy(*keys)
-    steps = steps.withColumn("_q", F.percentile("_dt", F.array(F.lit(0.5), F.lit(0.99))).over(whole))
-    med = F.first(F.col("_q")[0])
-    return steps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) > 1, F.max(time) - F.min(time)).otherwise(0.0).alias("duration_s"), F.when(med > 0, 1 / med).alias("fs_med_hz"), med.alias("dt_med"), F.first(F.col("_q")[1]).alias("dt_p99"), F.max("_dt").alias("dt_max"),
-        F.when(med > 0, F.max("_dt") / med).alias("gap_ratio"), F.count(F.when((F.col("_q")[0] > 0) & (F.col("_dt") > gap_factor * F.col("_q")[0]), 1)).alias("n_gaps"),
-    )
+    steps = with_steps(samples.select(*keys, time), keys, time, chunk_rows)
+    q = exact_quantiles(steps, "_dt", [0.5, 0.99], keys).select(*keys, F.col("q")[0].alias("dt_med"), F.col("q")[1].alias("dt_p99"))
+    with_q = steps.join(q, list(keys), "left")
+    long = (F.col("dt_med") > 0) & (F.col("_dt") > gap_factor * F.col("dt_med"))
+    out = with_q.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) > 1, F.max(time) - F.min(time)).otherwise(0.0).alias("duration_s"), F.first("dt_med").alias("dt_med"), F.first("dt_p99").alias("dt_p99"), F.max("_dt").alias("dt_max"), F.count_if(long).alias("n_gaps"))
+    med = F.when(F.col("dt_med") > 0, F.col("dt_med"))
+    return out.select(*keys, "n", "duration_s", (1 / med).alias("fs_med_hz"), "dt_med", "dt_p99", "dt_max", (F.col("dt_max") / med).alias("gap_ratio"), "n_gaps")
 
 
 def qc_table(stats: DataFrame, sensors: Sequence[str], *, run: str = "run_id", sensor: str = "sensor", min_duration: float = 30.0, ranges: Mapping[str, tuple[float, float]] = FS_RANGES) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.operators.qc import histogram
+from loam.operators.quantiles import exact_quantiles
 
 
 def melt(table: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -74,23 +75,10 @@ def knn_information(x: np.ndarray, y: np.ndarray, k: int = 5) -> float:
     return max(0.0, float(_psi(np.array([len(x)]))[0] + psi_k.mean() - psi_n.mean() - _psi(m).mean()))
 
 
-def mi_knn(table: DataFrame, features: Sequence[str], *, label: str = "label", k: int = 5, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, feature, mi: one group per feature (and fold), which holds the feature's whole column; for tables too long
-    for that use `mi_binned`. NaN, infinities and nulls count as 0."""
-    value = F.when(F.isnan("value") | (F.abs("value") == float("inf")) | F.col("value").isNull(), 0.0).otherwise(F.col("value"))
-    long = melt(table, [*keys, label], features).withColumn("value", value)
-    kind = ", ".join([f"{c} {long.schema[c].dataType.simpleString()}" for c in keys] + ["feature string", "mi double"])
-
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, knn_information(frame["value"].to_numpy(), frame[label].to_numpy().astype(str), k)]], columns=[*keys, "feature", "mi"])
-
-    return long.groupBy(*keys, "feature").applyInPandas(one, kind)
-
-
 def mi_binned(table: DataFrame, features: Sequence[str], *, label: str = "label", bins: int = 10) -> DataFrame:
     """feature, mi (nats) of quantile bins (edges by interpolation, a value belongs above the edges below it): counts only."""
     long = melt(table, [label], features).dropna(subset=["value"])
-    edges = long.groupBy("feature").agg(F.percentile("value", F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_edges"))
+    edges = exact_quantiles(long, "value", [i / bins for i in range(1, bins)], ["feature"]).select("feature", F.col("q").alias("_edges"))
     cell = long.join(edges, "feature").groupBy("feature", label, F.size(F.filter("_edges", lambda e: e < F.col("value"))).alias("_bin")).agg(F.count(F.lit(1)).alias("c"))
     of, by, all_ = Window.partitionBy("feature", label), Window.partitionBy("feature", "_bin"), Window.partitionBy("feature")
     cell = cell.withColumn("a", F.sum("c").over(of)).withColumn("b", F.sum("c").over(by)).withColumn("n", F.sum("c").over(all_))
@@ -101,7 +89,7 @@ def fold_information(table: DataFrame, features: Sequence[str], *, run: str = "r
     """run, feature, mi: mutual information as `mi_binned` over the rows of all other runs. One pass counts cells per
     run; a fold's training counts are the total less its run. Edges are quantiles of all rows, which know no labels."""
     long = melt(table, [run, label], features).dropna(subset=["value"])
-    edges = long.groupBy("feature").agg(F.percentile("value", F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_edges"))
+    edges = exact_quantiles(long, "value", [i / bins for i in range(1, bins)], ["feature"]).select("feature", F.col("q").alias("_edges"))
     cell = long.join(edges, "feature").groupBy(run, "feature", label, F.size(F.filter("_edges", lambda e: e < F.col("value"))).alias("_bin")).agg(F.count(F.lit(1)).alias("_own"))
     every = cell.groupBy("feature", label, "_bin").agg(F.sum("_own").alias("_all"), F.map_from_entries(F.collect_list(F.struct(run, "_own"))).alias("_of"))
     runs = cell.select(run).distinct().agg(F.collect_list(run).alias("_runs"))  # one row: runs are few

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam import views as V
 from loam.operators import filters as L
+from loam.operators import nearest as N
 from loam.operators import selection as S
 from loam.operators import segments as G
 from loam.plans import crossval as M
@@ -50,7 +51,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mi_knn(spark: SparkSession, d: str) -> DataFrame:
-    return r(S.mi_knn(whole(spark, d), ALL))
+    return r(N.mi_knn(whole(spark, d), ALL))
 
 
 QUERIES["mi_knn"] = mi_knn

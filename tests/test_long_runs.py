@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loam.operators import align as A
 from loam.operators import long_runs as R
+from loam.operators import qc
 from loam.operators import segments as G
 from loam.operators import transitions as T
 
@@ -86,3 +88,13 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "run_id int, i long, t double, label string, pred string, v double")
     assert R.with_segments(empty, 1.0).collect() == R.true_transitions(empty).collect() == []
     assert R.align(empty, empty.select("run_id", "i", "t"), ["v"]).collect() == []
+
+
+def test_steps(samples):
+    own = samples.where("run_id is not null and t is not null")
+    line = Window.partitionBy("run_id").orderBy("t")
+    want = own.withColumn("_dt", F.col("t") - F.lag("t").over(line))
+    for chunk in (6, 10_000):
+        assert rows_of(R.with_steps(own, ["run_id"], "t", chunk).select("run_id", "t", F.round("_dt", 9)), "*") == rows_of(want.select("run_id", "t", F.round("_dt", 9)), "*")
+    a, b = (qc.qc_stats(own, keys=["run_id"], chunk_rows=c) for c in (6, 10_000))
+    assert rows_of(a, *b.columns) == rows_of(b, *b.columns)
