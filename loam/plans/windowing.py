@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loam import views as V
 from loam.functions import channels as C
 from loam.functions import features as X
+from loam.functions import panes as P
 from loam.operators import long_runs as R
 from loam.operators import segments as G
 
@@ -99,10 +100,9 @@ CENTRED = SEG + f", cx AS (SELECT *, x - avg(x) OVER ({W}) AS xc FROM win)"
 @query(CENTRED + ", lab AS (SELECT run_id, segment_id, k, label FROM (SELECT *, row_number() OVER (PARTITION BY run_id, segment_id, k ORDER BY c DESC, f) AS rn FROM (SELECT run_id, segment_id, k, label, count(*) AS c, min(\"row\") AS f FROM win GROUP BY ALL)) WHERE rn = 1) SELECT cx.run_id, cx.segment_id, cx.k, any_value(lab.label) AS label, " + BASIC.format(x="xc", s="x").replace("round(avg(xc), 6) AS x_mean, ", "") + ", " + BASIC.format(x="kv", s="k") + " FROM cx JOIN lab USING (run_id, segment_id, k) GROUP BY cx.run_id, cx.segment_id, cx.k")
 def tf_basic(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: events to gap-free segments to labelled windows with their basic features."""
-    rows = G.window_rows(_seg(spark, d).withColumnRenamed("k", "kv"), SIZE, STEP)
-    labels = G.window_labels(rows)
-    found = X.centred(rows, ["x"], KEYS).groupBy(*KEYS).agg(*X.basic("x")[1:], *(c for c in X.basic("kv")))
-    found = found.join(labels, list(KEYS))
+    rows = _seg(spark, d).withColumnRenamed("k", "kv")
+    windows = P.pane_windows(rows, SIZE, STEP, ["x", "kv"], values=["x"], label="label")
+    found = windows.select(*KEYS, "label", *P.centred_basic_of("x"), *P.basic_of("kv"))
     found = found.withColumnsRenamed({c: c.replace("kv_", "k_") for c in found.columns if c.startswith("kv_")})
     other = {"x_energy": 2, "k_energy": 2, "x_mean_abs": 9, "k_mean_abs": 9}  # averages of eight numbers of two decimals can lie halfway
     return r(found, *other).withColumns({c: F.round(c, n) for c, n in other.items()})
@@ -115,7 +115,7 @@ def tf_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SEG + " SELECT run_id, segment_id, k, round(skewness(x), 6) AS x_skew, round(kurtosis(x), 6) AS x_kurt FROM win GROUP BY run_id, segment_id, k")
 def tf_moments(spark: SparkSession, d: str) -> DataFrame:
-    return r(_win(spark, d).groupBy(*KEYS).agg(*X.moments("x")))
+    return r(P.pane_windows(_seg(spark, d).drop("k"), SIZE, STEP, ["x"]).select(*KEYS, *P.moments_of("x")))
 
 
 @query(SEG + ", y AS (SELECT *, CASE WHEN x > 12 THEN 1 WHEN x < 8 THEN -1 END AS sg FROM win), z AS (SELECT *, last_value(sg IGNORE NULLS) OVER (PARTITION BY run_id, segment_id, k ORDER BY \"row\" ROWS UNBOUNDED PRECEDING) AS s FROM y) SELECT run_id, segment_id, k, round(CAST(count(*) FILTER (s * p < 0) AS DOUBLE) / (count(*) - 1), 6) AS y_zcr FROM (SELECT *, lag(s) OVER (PARTITION BY run_id, segment_id, k ORDER BY \"row\") AS p FROM z) GROUP BY run_id, segment_id, k")
