@@ -52,7 +52,7 @@ def label_samples(samples: DataFrame, intervals: DataFrame, *, run: str = "run_i
     """
     kind = intervals.schema["t0"].dataType
     arrays = intervals.where(F.col(run).isNotNull()).groupBy(run).agg(F.array_sort(F.collect_list(F.struct("label_ord", "range_ord", "t0", "t1", F.col("label").alias("name")))).alias("_ranges"))
-    pieces = F.udf(elementary, T.StructType([T.StructField("ends", T.ArrayType(kind)), T.StructField("names", T.ArrayType(T.StringType()))]))
+    pieces = F.udf(lambda ranges: elementary(ranges), T.StructType([T.StructField("ends", T.ArrayType(kind)), T.StructField("names", T.ArrayType(T.StringType()))]))
     arrays = arrays.select(run, pieces("_ranges").alias("_pieces")).select(run, F.col("_pieces.ends").alias("_ends"), F.col("_pieces.names").alias("_names"))
     placed = with_place(samples.drop("label").join(arrays, run, "left"), "_ends", time, MOST_ENDS, "_place")
     piece = F.when(F.get("_ends", "_place") == F.col(time), 2 * F.col("_place")).otherwise(2 * F.col("_place") - 1)

@@ -2,7 +2,8 @@
 
 Event time is a timestamp column; rows later than the watermark are dropped by Spark. The stateful jobs need rows in
 order: they sort what a micro-batch brings by time (and `tie`, a column of whole numbers, if there is one) and drop
-rows that lie before the last one they have seen of their key.
+rows that lie before the last one they have seen of their key. Their state ends: a key whose last row lies `idle` behind
+the watermark leaves, and starts anew if it comes back.
 """
 
 from __future__ import annotations
@@ -36,15 +37,28 @@ def _fresh(frames: Iterator[pd.DataFrame], ts: str, tie: str | None, last: tuple
     return frame, us, last
 
 
-def stream_cusum(rows: DataFrame, classes: Sequence[str], h: float, *, keys: Sequence[str] = ("model", "run_id"), ts: str = "ts", proba: str = "proba", watermark: str = "1 hour", label: str | None = None, tie: str | None = None, warmup: int = 0, eps: float = 1e-9) -> DataFrame:
+def _kept(state: GroupState, values: tuple, last_us: int, idle_ms: int) -> None:
+    """Keep a key's state until the watermark has passed its last row by so much."""
+    state.update(values)
+    state.setTimeoutTimestamp(max(last_us // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def _milliseconds(time: str) -> int:
+    return int(pd.Timedelta(time) / pd.Timedelta(milliseconds=1))
+
+
+def stream_cusum(rows: DataFrame, classes: Sequence[str], h: float, *, keys: Sequence[str] = ("model", "run_id"), ts: str = "ts", proba: str = "proba", watermark: str = "1 hour", label: str | None = None, tie: str | None = None, warmup: int = 0, eps: float = 1e-9, idle: str = "7 days") -> DataFrame:
     """keys, k_a, alarm_time, c_hat, k0_hat, g_max as alarms happen; state per key: its sums, row count and last row.
 
     The active class of a key's start is the first known label of its first micro-batch, else the most probable class
     of its first row."""
     out = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys] + ["k_a bigint", "alarm_time timestamp", "c_hat string", "k0_hat bigint", "g_max double"])
-    names, n = [c.split()[0] for c in out.split(", ")], len(classes)
+    names, n, idle_ms = [c.split()[0] for c in out.split(", ")], len(classes), _milliseconds(idle)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         active, s, low, low_at, k, *last = state.get if state.exists else (None, [0.0] * n, [0.0] * n, [0] * n, 0)
         frame, us, last = _fresh(frames, ts, tie, tuple(last) if last else None)
         if not len(frame):
@@ -56,22 +70,25 @@ def stream_cusum(rows: DataFrame, classes: Sequence[str], h: float, *, keys: Seq
         sums = Sums(np.array([active]), np.array([s]), np.array([low]), np.array([low_at]))
         at = k + np.arange(len(frame))
         _, row, to, start, top = advance(sums, log_probabilities(p, eps), at, np.array([0]), np.array([len(frame)]), np.array([h]), warmup)
-        state.update((int(sums.active[0]), sums.s[0].tolist(), sums.low[0].tolist(), sums.low_at[0].tolist(), k + len(frame), *last))
+        _kept(state, (int(sums.active[0]), sums.s[0].tolist(), sums.low[0].tolist(), sums.low_at[0].tolist(), k + len(frame), *last), last[0], idle_ms)
         times = frame[ts].to_numpy()
         yield pd.DataFrame([(*key, int(at[i]), times[i], classes[c], int(k0), float(g)) for i, c, k0, g in zip(row, to, start, top, strict=True)], columns=names)
 
     kept = "active int, s array<double>, low array<double>, low_at array<bigint>, k bigint, last_us bigint, last_tie bigint"
     wide = rows.withWatermark(ts, watermark).select(*keys, ts, proba, *(c for c in (label, tie) if c))
-    return wide.groupBy(*keys).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.NoTimeout)
+    return wide.groupBy(*keys).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_stable(rows: DataFrame, n_stable: int, *, keys: Sequence[str] = ("model", "run_id"), ts: str = "ts", pred: str = "pred", watermark: str = "1 hour", tie: str | None = None) -> DataFrame:
+def stream_stable(rows: DataFrame, n_stable: int, *, keys: Sequence[str] = ("model", "run_id"), ts: str = "ts", pred: str = "pred", watermark: str = "1 hour", tie: str | None = None, idle: str = "7 days") -> DataFrame:
     """keys, label, start, confirmed: each time a prediction has come n_stable times in a row, with the first one's time.
     Missing predictions break a row of equal ones and are never confirmed."""
     out = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys] + ["label string", "start timestamp", "confirmed timestamp"])
-    names = [c.split()[0] for c in out.split(", ")]
+    names, idle_ms = [c.split()[0] for c in out.split(", ")], _milliseconds(idle)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         label, length, start, *last = state.get if state.exists else (None, 0, 0)
         frame, us, last = _fresh(frames, ts, tie, tuple(last) if last else None)
         if not len(frame):
@@ -83,11 +100,11 @@ def stream_stable(rows: DataFrame, n_stable: int, *, keys: Sequence[str] = ("mod
         lengths = np.arange(len(value)) - begin + np.where(begin < 0, length, 1)
         starts = np.where(begin < 0, start, us[np.maximum(begin, 0)])
         hit = np.flatnonzero((lengths == n_stable) & ~pd.isna(value))
-        state.update((None if pd.isna(value[-1]) else value[-1], int(lengths[-1]), int(starts[-1]), *last))
+        _kept(state, (None if pd.isna(value[-1]) else value[-1], int(lengths[-1]), int(starts[-1]), *last), last[0], idle_ms)
         yield pd.DataFrame([(*key, value[i], pd.Timestamp(starts[i], unit="us"), pd.Timestamp(us[i], unit="us")) for i in hit], columns=names)
 
     wide = rows.withWatermark(ts, watermark).select(*keys, ts, pred, *([tie] if tie else []))
-    return wide.groupBy(*keys).applyInPandasWithState(run, out, "label string, length int, start bigint, last_us bigint, last_tie bigint", "append", GroupStateTimeout.NoTimeout)
+    return wide.groupBy(*keys).applyInPandasWithState(run, out, "label string, length int, start bigint, last_us bigint, last_tie bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def session_segments(rows: DataFrame, gap: str, *, run: str = "run_id", ts: str = "ts", watermark: str = "1 hour") -> DataFrame:

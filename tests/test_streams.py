@@ -76,3 +76,38 @@ def test_stable_predictions(spark, stream):
         if runs[r.run_id][1] == 3:
             want.add((r.run_id, r.pred, runs[r.run_id][2], r.ts))
     assert {tuple(r) for r in got.collect()} == want and len(want) > 3
+
+
+def test_state_ends_and_a_restart_goes_on(spark, tmp_path):
+    """Idle keys leave the state; a query that is started again from its folder goes on with those that stay."""
+    schema, sent = "run_id string, ts timestamp, pred string, proba array<double>", []
+
+    def put(*rows):
+        sent.append(rows)
+        frame = [(run, T0 + dt.timedelta(seconds=s), pred, [1.0, 0.0] if pred == "a" else [0.0, 1.0]) for run, s, pred in rows]
+        spark.createDataFrame(frame, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{len(sent):03d}"))
+
+    def go(job, name):
+        read = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = job(read).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-progress")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    jobs_ = {
+        "stable": lambda d: jobs.stream_stable(d, 3, keys=("run_id",), watermark="1 second", idle="1 minute"),
+        "cusum": lambda d: jobs.stream_cusum(d, "ab", 30.0, keys=("run_id",), watermark="1 second", idle="1 minute"),
+    }
+    put(("stays", 0, "a"), ("idle", 0, "a"))
+    put(("stays", 1, "a"), ("idle", 1, "a"))
+    assert [go(job, name) for name, job in jobs_.items()] == [2, 2]
+    put(("stays", 30, "a"))
+    for s in (55, 80, 100, 120):
+        put(("stays", s, "b"))
+    assert [go(job, name) for name, job in jobs_.items()] == [1, 1]  # "idle" has left
+    put(("idle", 121, "a"), ("stays", 121, "b"))
+    assert [go(job, name) for name, job in jobs_.items()] == [2, 2]
+    seconds = lambda t: (t - T0).total_seconds()
+    stable = {(r.run_id, r.label, seconds(r.start), seconds(r.confirmed)) for r in spark.read.parquet(str(tmp_path / "stable")).collect()}
+    assert stable == {("stays", "a", 0, 30), ("stays", "b", 55, 100)}  # the third of "idle" came too late: it starts anew
+    alarms = [(r.run_id, r.k_a, r.c_hat) for r in spark.read.parquet(str(tmp_path / "cusum")).collect()]
+    assert alarms == [("stays", 4, "b")]  # rows 3 and 4 say b: the sum was carried over the restart
