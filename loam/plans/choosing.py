@@ -197,6 +197,13 @@ def butterworth_filter(spark: SparkSession, d: str) -> DataFrame:
     return _smoothed(spark, d, "butter_o4_10hz")
 
 
+@query()
+def long_butterworth(spark: SparkSession, d: str) -> DataFrame:
+    """`butterworth_filter` by chunks of segments."""
+    b, a = L.butterworth_design(4, 10.0, 100.0)
+    return r(L.zero_phase_long(_parted(spark, d), ("ax", "ay", "gx"), b, a, chunk_rows=V.CHUNK).select("run_id", "i", "ax", "ay"))
+
+
 @query()
 def savgol_filter(spark: SparkSession, d: str) -> DataFrame:
     return _smoothed(spark, d, "savgol_w11_p2")
