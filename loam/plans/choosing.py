@@ -255,7 +255,7 @@ def random_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def noise_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return r(M.noise_sweep(whole(spark, d), ALL, SIGMAS, 10))
+    return r(M.noise_sweep(whole(spark, d), ALL, SIGMAS, 10, key=["vec_id"]))
 
 
 @query()

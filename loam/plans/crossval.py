@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.channels import finite
@@ -169,15 +170,22 @@ def random_search(table: DataFrame, features: Sequence[str], *, kind: str = "log
     return score.join(names, "draw").orderBy(F.col("macro_f1").desc(), "draw").select("draw", "params", "macro_f1")
 
 
-def noise_sweep(table: DataFrame, features: Sequence[str], sigmas: Sequence[float], repeats: int, *, run: str = "run_id", label: str = "label", seed: int = 7, **options) -> DataFrame:
+def hash_normal(*of: Column) -> Column:
+    """A standard normal number that follows from the hash of these columns alone, wherever the row lies."""
+    even = lambda salt: (F.shiftrightunsigned(F.xxhash64(F.lit(salt), *of), 11) + 0.5) / float(1 << 53)
+    return F.sqrt(-2 * F.ln(even(1))) * F.cos(2 * math.pi * even(2))
+
+
+def noise_sweep(table: DataFrame, features: Sequence[str], sigmas: Sequence[float], repeats: int, *, key: Sequence[str], run: str = "run_id", label: str = "label", seed: int = 7, **options) -> DataFrame:
     """sigma, mean, std (sample) and least macro-F1 (over the fold's classes) of folds whose test rows got noise of sigma
-    training deviations. Models are fitted once per fold; noise is drawn for all sigmas and repeats at once."""
+    training deviations. Models are fitted once per fold; noise is drawn for all sigmas and repeats at once, from hashes of
+    key, feature and repeat: another partitioning or cluster draws the same. The sigmas of a repeat share its draws."""
     names = sorted(r[label] for r in table.select(label).distinct().collect())
     parts = []
     for held, model, classes in fit_folds(table, features, run=run, label=label, **options):
         std = table.where(F.col(run) != held).agg(*(F.stddev_pop(f).alias(f) for f in features)).first()
         test = table.where(F.col(run) == held).withColumn("sigma", F.explode(F.array(*(F.lit(float(s)) for s in sigmas)))).withColumn("rep", F.explode(F.array(*map(F.lit, range(repeats)))))
-        noisy = test.withColumns({f: F.col(f) + F.col("sigma") * (std[f] or 0.0) * F.randn(seed + i) for i, f in enumerate(features)})
+        noisy = test.withColumns({f: F.col(f) + F.col("sigma") * (std[f] or 0.0) * hash_normal(F.lit(seed), F.lit(f), F.col("rep"), *map(F.col, key)) for f in features})
         parts.append(predict(model, classes, noisy, features, names).select("sigma", "rep", F.col(run).alias("fold"), label, "pred"))
     rows = parts[0]
     for p in parts[1:]:
