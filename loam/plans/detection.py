@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam import views as V
 from loam.operators import cusum as U
+from loam.operators import long_cusum as LC
 from loam.operators import long_runs as R
 from loam.operators import transitions as T
 
@@ -109,6 +110,12 @@ def cusum_alarms(spark: SparkSession, d: str) -> DataFrame:
     return r(U.cusum_alarms(V.posteriors(spark, d), V.CLASSES, HS, label="lbl"))
 
 
+@query(ORACLES["cusum_alarms"])
+def long_cusum_alarms(spark: SparkSession, d: str) -> DataFrame:
+    """`cusum_alarms` by chunks of runs."""
+    return r(LC.cusum_alarms(V.posteriors(spark, d), V.CLASSES, HS, label="lbl", chunk_rows=V.CHUNK))
+
+
 @query(CUSUM.replace("list_position(['c0', 'c1', 'c2'], lbl) AS c0", "list_position(l, list_max(l)) AS c0") + " SELECT model, run_id, k_a, c_hat, round(g_max, 6) AS g_max FROM (SELECT *, row_number() OVER (PARTITION BY model, run_id ORDER BY k_a) AS rn FROM alarm WHERE h = 3) WHERE rn = 1")
 def cusum_first_alarm(spark: SparkSession, d: str) -> DataFrame:
     return r(U.first_alarm(V.posteriors(spark, d), V.CLASSES, 3.0))
