@@ -27,7 +27,8 @@ def speed_bins(table: DataFrame, speed: str) -> DataFrame:
 
 def fold_quality(binned: DataFrame, *, run: str = "run_id", label: str = "label", warn: float = 0.35) -> DataFrame:
     """Per held-out run and class: train and test counts, a flag (CRITICAL below 30, LOW below 80 training rows), and
-    the total-variation distance between the speed bins of both. Training rows are all less the run's: nothing is copied."""
+    the total-variation distance between the speed bins of both. Training rows are all less the run's: nothing is copied.
+    The grid has a row per run, class and speed bin: it grows with the runs' number, never with rows."""
     cell = binned.groupBy(run, label, "speed_bin").agg(F.count(F.lit(1)).alias("n"))
     runs, cells = binned.select(run).distinct(), binned.select(label, "speed_bin").distinct()
     grid = runs.join(cells).join(cell, [run, label, "speed_bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

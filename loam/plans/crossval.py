@@ -33,7 +33,8 @@ def standardise(rows: DataFrame, features: Sequence[str], run: str) -> DataFrame
 
 
 def balanced_weights(rows: DataFrame, run: str, label: str = "label") -> DataFrame:
-    """run, label, weight = training rows / (training classes x training rows of the class)."""
+    """run, label, weight = training rows / (training classes x training rows of the class). The grid that is joined has a
+    row per run and class, never one per row."""
     per = rows.groupBy(run, label).agg(F.count(F.lit(1)).alias("n"))
     grid = per.select(run).distinct().join(per.select(label).distinct()).join(per, [run, label], "left").fillna(0, ["n"])
     grid = grid.withColumn("_train", F.sum("n").over(Window.partitionBy(label)) - F.col("n")).where("_train > 0")

@@ -293,3 +293,15 @@ def top_feature_lists(spark: SparkSession, d: str) -> DataFrame:
     keyed = F.to_json(F.map_from_arrays("n", F.transform("n", lambda x: F.lit(1))))
     text = F.when(F.col("run_id") % 3 == 0, F.to_json("n")).when(F.col("run_id") % 3 == 1, F.to_json(F.struct(F.col("n").alias("top_features")))).otherwise(keyed)
     return label_config.top_features(names.select("run_id", text.alias("value")), keep=["run_id"])
+
+
+@query("SELECT 'log_' || run_id AS run_id, sensor, round(t, 6) AS t, round(v, 6) AS v FROM sensors", "sensors")
+def written_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs written sensor by sensor, a folder per run, then found below the root and read again."""
+    from loam.shared import shared_path
+
+    root = shared_path(spark, "written-runs")
+    rows = V.sensors(spark, d).select(F.concat(F.lit("log_"), F.col("run_id").cast("string")).alias("run_id"), "sensor", F.round("t", 6).alias("t"), F.round("v", 6).alias("v"))
+    for s in ("acc", "gyro", "odo"):
+        S.write_runs(rows.where(F.col("sensor") == s), f"{root}/{s}", "csv")
+    return S.read_runs(spark, root, "sensor string, t double, v double")

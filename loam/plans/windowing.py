@@ -206,6 +206,29 @@ def features_li(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("run_id", F.floor(F.col("i") / 50).alias("k")).agg(F.min("t").alias("t_start"), label.alias("label"), F.avg("v").alias("mean_speed"), F.stddev_pop("v").alias("speed_std"), F.sum(F.col("ax") * F.col("ax")).alias("energy"), F.avg("gx").alias("gx_mean"), F.max("az").alias("az_max"))
 
 
+@query("SELECT suffix, w.* FROM (" + ORACLES["sliding_windows"] + ") w, (SELECT unnest(['csv', 'parquet']) AS suffix)")
+def written_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows written as CSV and as Parquet by the path's suffix, and read again."""
+    from loam.shared import shared_path
+    from loam.sources import logs
+
+    root, windows = shared_path(spark, "written-windows"), sliding_windows(spark, d)
+    for suffix in ("csv", "parquet"):
+        logs.write_table(windows, f"{root}/windows.{suffix}")
+    back = {"csv": spark.read.schema(windows.schema).option("header", True).csv(f"{root}/windows.csv"), "parquet": spark.read.parquet(f"{root}/windows.parquet")}
+    return back["csv"].withColumn("suffix", F.lit("csv")).unionByName(back["parquet"].withColumn("suffix", F.lit("parquet")))
+
+
+@query(FT + " SELECT feature, count(value) AS n, round(avg(value), 4) AS mean FROM (SELECT unnest(['energy', 'gx_mean', 'az_max']) AS feature, unnest([energy, gx_mean, az_max]) AS value FROM ft) GROUP BY feature")
+def feature_columns(spark: SparkSession, d: str) -> DataFrame:
+    """What the columns that are features hold: neither ids nor speeds."""
+    from loam.operators.selection import melt
+
+    table = features_li(spark, d)
+    names = C.feature_columns(table.columns, ("run_id", "k", "t_start", "label"), drop_prefixes=("mean_speed", "speed_"))
+    return melt(table, [], names).groupBy("feature").agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+
+
 @query(FT + " SELECT run_id, k FROM ft WHERE mean_speed < 0.78 AND speed_std < 0.32")
 def speed_regime_split(spark: SparkSession, d: str) -> DataFrame:
     return C.slow_and_steady(features_li(spark, d), below=0.78, std_below=0.32).select("run_id", "k")

@@ -33,8 +33,15 @@ def clean_rows(rows: DataFrame, required: Sequence[str], *, keys: Sequence[str]
 
 
 def run_of(path: Column) -> Column:
-    """The run folder's name (log_...) in a file's path."""
-    return F.nullif(F.regexp_extract(path, r"/(log_[^/]+)/", 1), F.lit(""))
+    """The run folder's name (log_...) in a file's path, also of a folder that `write_runs` made (run_id=log_...)."""
+    return F.nullif(F.regexp_extract(path, r"/(?:[^/=]+=)?(log_[^/]+)/", 1), F.lit(""))
+
+
+def read_runs(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All CSV files with a header below a path, however deep: run_id by folder (`run_of`) and the schema's columns. Files
+    outside a run's folder are left out; a run that lies in several places is one."""
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
+    return rows.select(run_of(F.col("_metadata.file_path")).alias("run_id"), "*").where("run_id is not null")
 
 
 def read_log(spark: SparkSession, glob: str, sensor: str) -> DataFrame:
