@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Lists the paths in the shared folder that are taken within, so that what only led to a result can be removed."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A path of its own in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{kind}-{uuid.uuid4().hex}")
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
