@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loam.llm.common import MIX, SortedArrays, WordHash, as_binary, bucket_rows, buckets_for, doc_words, finish, new_folder, rolling, save_arrays, saved, stored
+from loam.shared import removed, scratch
 
 K = 20
 NODE = K - 1
@@ -452,7 +453,17 @@ class _Text:
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, judge: Callable, columns: list[T.StructField]) -> DataFrame:
-    """The rows of `_cut` once every span that was cut is known to hold at its source."""
+    """The rows of `_cut` once every span that was cut is known to hold at its source. What led to them (arrays, lines,
+    pieces, spans) is removed when they are written."""
+    with scratch() as made:
+        rows, written = _checked(docs, id_col, text_col, judge, columns)
+    for path in made[:-1] if written else ():  # the last one holds the rows
+        removed(docs.sparkSession, path)
+    return rows
+
+
+def _checked(docs: DataFrame, id_col: str, text_col: str, judge: Callable, columns: list[T.StructField]) -> tuple[DataFrame, bool]:
+    """Rows, and whether they are written: if hashes collide within single windows too, they are yet to be made."""
     docs, key = _row_keys(docs, id_col)
     text_key = _text_key(docs, id_col, text_col)
     spans = stored(repeated_spans(graph(docs, key, text_key, text_col)), "spans")
@@ -463,12 +474,12 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, judge: Callable, colu
         facts = out.select(F.col("_id").alias("src_id"), F.col("_hash").alias("src_hash"), F.explode("_facts").alias("f")).select("src_id", "src_hash", F.col("f.start").alias("src_start"), "f.n", F.col("f.digest").alias("fact"))
         wrong = saved(claims.join(facts, where, "left").where("fact is null or fact <> digest").select(*where).distinct())
         if wrong.isEmpty():
-            return out
+            return out, True
         # hashes collided: the windows of these spans are compared one by one, and those that differ stay
         held = spans.join(wrong, where, "left_anti")
         each = spans.join(wrong, where, "left_semi").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({c: F.col(c) + F.col("_k") for c in ("start", "src_start", "path_at")} | {"n": F.lit(1).cast("long")}).drop("_k")
         spans = stored(held.unionByName(each), "spans") if windows else held
-    return _cut(docs, key, text_key, text_col, spans, judge, columns)
+    return _cut(docs, key, text_key, text_col, spans, judge, columns), False
 
 
 def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

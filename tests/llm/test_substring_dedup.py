@@ -1,6 +1,8 @@
 import hashlib
+import pathlib
 import random
 import re
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
@@ -151,3 +153,16 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert dedup_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_folders_are_removed(spark):
+    """What leads to the rows is gone once they are written."""
+    from loam.shared import shared_dir
+
+    def there():
+        return {p.name for p in pathlib.Path(urlparse(shared_dir(spark)).path).iterdir() if p.name.split("-")[0] in ("minimizers", "graph", "lines", "pieces", "spans", "cut")}
+
+    text, before = " ".join(f"w{i}" for i in range(60)), there()
+    out = dedup_report(spark.createDataFrame([(1, text), (2, text + " end"), (3, None)], "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {1: 0, 2: 60, 3: 0}
+    assert [name.split("-")[0] for name in there() - before] == ["cut"]
