@@ -61,3 +61,11 @@ def removed(spark: SparkSession, path: str) -> None:
     """Remove a folder, wherever Spark's clients reach it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers that are started from now on give memory back when it is freed: the allocator maps large arrays by
+    themselves and keeps little at its ends. A worker serves one stage after another, and would otherwise hold what the
+    greediest of them took. What is set already stays."""
+    for name, value in (("MALLOC_ARENA_MAX", "2"), ("MALLOC_MMAP_THRESHOLD_", str(256 << 10)), ("MALLOC_TRIM_THRESHOLD_", str(1 << 20)), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        spark.sparkContext.environment.setdefault(name, value)
