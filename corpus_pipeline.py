@@ -15,11 +15,13 @@ from loam.llm.mixing import mixed_documents
 from loam.llm.piece_sampling import sample_pieces
 from loam.llm.quality_model import keep_quality
 from loam.llm.substring_dedup import dedup_documents
+from loam.shared import lean_workers
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the PU-learned classifier rejects (score below 0.5). Null and empty texts are scored by their (zero)
     features; null ids have no label; repeated rows share one fate; without labels, all stay; empty gives empty."""
+    lean_workers(spark)
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,12 +29,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates (Jaccard of 5-word shingles of 0.8 or more): that of least id,
     null ids last. Null and empty texts are like nothing and stay; rows equal in id and text become one; empty gives
     empty."""
+    lean_workers(spark)
     return one_of_each(docs, threshold=0.8, recall=0.99)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut words whose 20-word windows stand earlier in the corpus, by id, null ids last. Every row stays, also one that
     loses all words; null texts stay null; repeated rows are cut alike; empty gives empty."""
+    lean_workers(spark)
     return dedup_documents(docs)
 
 
@@ -40,12 +44,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw the sources' targets: documents come as often as they are taken, dealt to shards and shuffled there. A null
     source is one of its own, the last; documents without words are taken with their block; repeated rows share one fate;
     empty gives empty."""
+    lean_workers(spark)
     return mixed_documents(docs, weights=(5, 2, 1), share=1.5, most=2.0)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode texts as sampled SentencePiece ids. A document that is taken twice has the same ids twice, as its key seeds
     the draws. Null and empty texts have no ids; empty gives empty."""
+    lean_workers(spark)
     return sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_pieces", "lossless", "piece_ids")
 
 
