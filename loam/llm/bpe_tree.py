@@ -8,7 +8,6 @@ import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
