@@ -119,7 +119,8 @@ def _repeated_minimizers(rows: DataFrame, folder: str, n_buckets: int) -> None:
 
 
 #: What buckets say: 0 a run of repeated edges that stand earlier; 1 a fragment; 2 where the edges of a piece stand that
-#: had equals in its slice; 3 such an equal.
+#: had equals in its slice; 3 a stretch of pieces that equals a stretch of another text of the slice; 4 a piece of the
+#: latter.
 _SAID = ("kind", "id", "text_hash", "start", "n", "src_id", "src_hash", "src_start", "head", "at", "left", "right")
 _SAID_DDL = ", ".join(f"{c} {'int' if c == 'kind' else 'bigint'}" for c in _SAID)
 _PIECE_COLUMNS = {"ids": np.int64, "texts": np.int64, "starts": np.int32, "sizes": np.uint8, "nodes": np.uint64}
@@ -130,7 +131,8 @@ def graph(docs: DataFrame, key: Column, text_key: Column, text_col: str) -> Data
     the others follow both. head: where the fragment begins at the source; left, right: a fragment's end nodes; at (1):
     1 if the left one has one edge in and one out; at (2): the run's first edge within its piece.
 
-    In each slice equal pieces are exchanged once, so that a passage that every document holds costs a row per slice.
+    In each slice equal pieces are exchanged once, and neighbours that equal neighbours are one stretch: a passage that
+    every document holds costs its pieces once per slice, and a row per document.
     """
     rows = docs.select(key.alias("_id"), text_key.alias("_hash"), F.col(text_col).alias("text"))
     spark, n_buckets = docs.sparkSession, buckets_for(docs)
@@ -154,14 +156,16 @@ def graph(docs: DataFrame, key: Column, text_key: Column, text_col: str) -> Data
                     yield _pieces_out(h, lens, doc[keep], start[keep], at[keep], g, values["hot"][where][keep] > 0, ids, texts, n_buckets)
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
-        equals = [np.frombuffer(x, dtype=np.int64).reshape(-1, 6) for x in table["equals"].to_pylist() if x is not None]
-        parts = [_said(3, *x[:, :3].T, np.zeros(len(x)), *x[:, 3:].T) for x in equals]
+        parts = []
+        for kind, column in ((3, "equals"), (4, "leads")):
+            found = [np.frombuffer(x, dtype=np.int64).reshape(-1, 7) for x in table[column].to_pylist() if x is not None]
+            parts += [_said(kind, *x.T) for x in found]
         table = table.filter(table["ids"].is_valid())
         if table.num_rows:
             parts += _settle(*(np.concatenate([np.frombuffer(x, dtype=t) for x in table[c].to_pylist()]) for c, t in _PIECE_COLUMNS.items()))
         return pa.concat_tables(parts) if parts else _said(0, np.zeros(0, np.int64))
 
-    names = ", ".join(f"{c} binary" for c in (*_PIECE_COLUMNS, "equals"))
+    names = ", ".join(f"{c} binary" for c in (*_PIECE_COLUMNS, "equals", "leads"))
     said = stored(rows.mapInArrow(emit, f"bucket long, {names}").groupBy("bucket").applyInArrow(settle, _SAID_DDL), "graph")
     shutil.rmtree(folder, ignore_errors=True)
     return said
@@ -177,7 +181,8 @@ def _runs(*breaks: np.ndarray) -> np.ndarray:
 
 def _pieces_out(h: np.ndarray, lens: np.ndarray, doc: np.ndarray, start: np.ndarray, at: np.ndarray, g: np.ndarray, hot: np.ndarray, ids: np.ndarray, texts: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     """Runs of neighbouring nodes with one minimizer as pieces, each with the node before and behind it (0 for none);
-    of equal ones the first, and the others as references to it."""
+    of equal ones the first, and the others as references to it: a row per stretch of others that follow one another as
+    the first ones do, and the pieces of every stretch referred to once."""
     node = np.maximum(rolling(h, NODE), np.uint64(1))
     head = _runs(start[1:] != start[:-1] + 1, at[1:] != at[:-1], doc[1:] != doc[:-1], hot[1:] | hot[:-1])
     n = np.diff(np.r_[head, len(start)])
@@ -199,8 +204,9 @@ def _pieces_out(h: np.ndarray, lens: np.ndarray, doc: np.ndarray, start: np.ndar
     other = ~new & ~place
     again = np.zeros(len(head), dtype=bool)
     again[lead[other]] = True
-    x, y = order[other], lead[other]
-    equals = np.stack([i[x], t[x], local[x], i[y], t[y], local[y]], axis=1)[(n - ~behind)[x] > 0]
+    by_place = np.argsort(order[other])
+    x, y = order[other][by_place], lead[other][by_place]
+    equals, leads = _stretches(x, y, own, first, n, i, t, local)
     chosen = order[new]
     minimizer = g[at[head]]
     deal = np.where(hot[head], finish(node[first] ^ minimizer), minimizer)
@@ -213,12 +219,35 @@ def _pieces_out(h: np.ndarray, lens: np.ndarray, doc: np.ndarray, start: np.ndar
         flat = node[np.clip(index, 0, len(node) - 1)]
         ends = np.cumsum(size)
         flat[ends - size], flat[ends - 1] = lo[o], hi[o]
-        out.append((b, i[o].tobytes(), t[o].tobytes(), local[o].astype(np.int32).tobytes(), (n[o] | again[o] << 7).astype(np.uint8).tobytes(), flat.tobytes(), None))
+        out.append((b, i[o].tobytes(), t[o].tobytes(), local[o].astype(np.int32).tobytes(), (n[o] | again[o] << 7).astype(np.uint8).tobytes(), flat.tobytes(), None, None))
     if len(equals):
         any_bucket = finish(equals[:1, 0].astype(np.uint64) * MIX + equals[:1, 2].astype(np.uint64))[0] % np.uint64(n_buckets)
-        out.append((int(any_bucket), *[None] * 5, equals.tobytes()))
-    names = ["bucket", *_PIECE_COLUMNS, "equals"]
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary() if k else pa.int64()) for k in range(7)], names=names)
+        out.append((int(any_bucket), *[None] * 5, equals.tobytes(), leads.tobytes()))
+    names = ["bucket", *_PIECE_COLUMNS, "equals", "leads"]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary() if k else pa.int64()) for k in range(8)], names=names)
+
+
+def _stretches(x: np.ndarray, y: np.ndarray, own: np.ndarray, first: np.ndarray, n: np.ndarray, i: np.ndarray, t: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces x, in order of their places, that equal pieces y, as stretches in which both go on: id, text, start and
+    number of nodes of the stretch, and id, text and start of what it equals; and for each that is referred to the same
+    of every piece: its id, text and start, the stretch's number of nodes, id, text and start."""
+    if not len(x):
+        return np.zeros((0, 7), np.int64), np.zeros((0, 7), np.int64)
+    apart = np.zeros(len(x) - 1, dtype=bool)
+    for z in (x, y):
+        apart |= (own[z][1:] != own[z][:-1]) | (first[z][1:] != first[z][:-1] + n[z][:-1])
+    begin = _runs(apart)
+    pieces = np.diff(np.r_[begin, len(x)])
+    size = np.add.reduceat(n[x], begin)
+    a, b = x[begin], y[begin]
+    equals = np.stack([i[a], t[a], local[a], size, i[b], t[b], local[b]], axis=1)
+    # a stretch that several equal: its pieces once
+    chosen = np.unique(np.stack([b, size]), axis=1, return_index=True)[1]
+    of = np.repeat(chosen, pieces[chosen])
+    k = np.arange(len(of)) - np.repeat(np.cumsum(pieces[chosen]) - pieces[chosen], pieces[chosen])
+    piece, head = y[begin[of] + k], b[of]
+    leads = np.stack([i[piece], t[piece], local[piece], size[of], i[head], t[head], local[head]], axis=1)
+    return equals, leads
 
 
 def _said(kind: int, *columns: np.ndarray) -> pa.Table:
@@ -343,24 +372,36 @@ def repeated_pieces(said: DataFrame) -> DataFrame:
     found = said.where("kind in (0, 2)").join(paths, (F.col("src_id") == F.col("_i")) & (F.col("src_hash") == F.col("_h")) & (F.col("head") == F.col("_s")))
     found = stored(found.select("kind", "id", "text_hash", "start", "n", "at", "src_id", "src_hash", "src_start", "path", (F.col("path_at") + F.col("src_start") - F.col("head")).alias("path_at")), "pieces")
     own = found.where("kind = 0").select("id", "text_hash", "start", "n", *_PLACE)
-    where = found.where("kind = 2").select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"), F.col("start").alias("_s"), "n", "at", *_PLACE)
-    equal = said.where("kind = 3").select("id", "text_hash", "start", F.col("src_id").alias("_ri"), F.col("src_hash").alias("_rh"), F.col("src_start").alias("_rs"))
-    equal = equal.join(where, (F.col("_ri") == F.col("_i")) & (F.col("_rh") == F.col("_h")) & (F.col("_rs") == F.col("_s")))
-    return own.unionByName(equal.select("id", "text_hash", (F.col("start") + F.col("at")).alias("start"), "n", *_PLACE))
-
-
-def repeated_spans(said: DataFrame) -> DataFrame:
-    """What stands earlier, laid along the nonbranching paths: id, text_hash, start, n (edges), src_id, src_hash,
-    src_start, path, path_at. Words start .. start + n + 18 also stand at the source, along one path."""
-    line = Window.partitionBy("id", "text_hash").orderBy("start", "src_id", "src_start")
+    # what stands where in a stretch that others equal, once, then laid onto each of these: a join on the stretch
+    where = found.where("kind = 2").select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"), F.col("start").alias("_s"), F.col("n").alias("_n"), "at", *_PLACE)
+    named = ["_ri", "_rh", "_rs", "_rn"]
+    stretch = [F.col(c).alias(a) for c, a in zip(("src_id", "src_hash", "src_start", "n"), named, strict=True)]
+    leads = said.where("kind = 4").select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"), F.col("start").alias("_s"), *stretch).distinct()
+    inside = leads.join(where, ["_i", "_h", "_s"]).select(*named, (F.col("_s") + F.col("at") - F.col("_rs")).alias("start"), F.col("_n").alias("n"), *_PLACE).distinct()
+    inside = _glued(inside, named).groupBy(*named).agg(F.collect_list(F.struct(F.col("start").alias("from"), F.col("n").alias("long"), *_PLACE)).alias("_runs"))
+    equal = said.where("kind = 3").select("id", "text_hash", "start", *stretch).join(inside, named)
+    equal = equal.select("id", "text_hash", "start", F.explode("_runs").alias("r")).select("id", "text_hash", (F.col("start") + F.col("r.from")).alias("start"), F.col("r.long").alias("n"), *(f"r.{c}" for c in _PLACE))
+    return own.unionByName(equal)
+
+
+def _glued(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs (start, n and their source) that go on where the one before them ends, here, at the source and on the path,
+    as one; per keys."""
+    line = Window.partitionBy(*keys).orderBy("start", "src_id", "src_start")
     goes_on = F.lit(True)
     for c in ("start", "src_start", "path_at"):
         goes_on &= F.lag(F.col(c) + F.col("n")).over(line) == F.col(c)
     for c in ("src_id", "src_hash", "path"):
         goes_on &= F.lag(c).over(line) == F.col(c)
-    glued = repeated_pieces(said).withColumn("_new", F.coalesce(~goes_on, F.lit(True)).cast("int")).withColumn("_span", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    glued = pieces.withColumn("_new", F.coalesce(~goes_on, F.lit(True)).cast("int")).withColumn("_span", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     first = [F.min(c).alias(c) for c in ("start", *_PLACE)]
-    return glued.groupBy("id", "text_hash", "_span").agg(*first, F.sum("n").alias("n")).select("id", "text_hash", "start", "n", *_PLACE)
+    return glued.groupBy(*keys, "_span").agg(*first, F.sum("n").alias("n")).select(*keys, "start", "n", *_PLACE)
+
+
+def repeated_spans(said: DataFrame) -> DataFrame:
+    """What stands earlier, laid along the nonbranching paths: id, text_hash, start, n (edges), src_id, src_hash,
+    src_start, path, path_at. Words start .. start + n + 18 also stand at the source, along one path."""
+    return _glued(repeated_pieces(said), ["id", "text_hash"])
 
 
 def _covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

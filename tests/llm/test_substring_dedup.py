@@ -166,3 +166,15 @@ def test_folders_are_removed(spark):
     out = dedup_report(spark.createDataFrame([(1, text), (2, text + " end"), (3, None)], "doc_id long, text string"))
     assert {r.doc_id: r.n_removed for r in out.collect()} == {1: 0, 2: 60, 3: 0}
     assert [name.split("-")[0] for name in there() - before] == ["cut"]
+
+
+def test_a_passage_of_many_documents_is_a_row_each(spark):
+    r = random.Random(3)
+    passage = " ".join(f"p{r.randint(0, 10**6)}" for _ in range(300))
+    rows = [(k, " ".join(f"a{r.randint(0, 10**6)}" for _ in range(30)) + " " + passage + " " + " ".join(f"b{r.randint(0, 10**6)}" for _ in range(30))) for k in range(200)]
+    found = said(spark, rows).persist()
+    n = {x["kind"]: x["count"] for x in found.groupBy("kind").count().collect()}
+    slices = found.where("kind = 4").select("src_id").distinct().count()
+    assert n[3] <= 200 and n[4] <= 60 * slices  # not a row per piece of every document
+    spans = {(s.id, s.start, s.n, s.src_id, s.src_start) for s in repeated_spans(found).collect()}
+    assert spans == {(k, 30, 281, 0, 30) for k in range(1, 200)}
