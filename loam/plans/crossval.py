@@ -1,16 +1,19 @@
-"""Leave-one-run-out jobs with pyspark.ml, and the statistics of training folds without copying rows."""
+"""Leave-one-run-out jobs, all folds together, and the statistics of training folds without copying rows."""
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.channels import finite
 from loam.operators.evaluation import ci95, fold_metrics
 from loam.operators.selection import fold_information, hash_rank
+from loam.plans.together import Case, fit, moments, pooled
 from loam.shared import stored
 
 
@@ -74,73 +77,84 @@ def _estimator(kind: str, seed: int, params: dict | None = None):
     raise ValueError(f"unknown model: {kind}")
 
 
-def fit_folds(table: DataFrame, features: Sequence[str] | dict[object, Sequence[str]], *, kind: str = "logistic", run: str = "run_id", label: str = "label", balanced: bool = True, seed: int = 42, params: dict | None = None) -> list[tuple[object, object, list[str]]]:
-    """(run, fitted pipeline, its classes) for each run, trained on all others. A loop over folds, which are few; each fit
-    is a distributed job on the table, which is written once to the shared folder. features: one list, or one by run."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    of = features if isinstance(features, dict) else None
-    used = sorted({f for own in of.values() for f in own}) if of else list(features)
-    clean = stored(finite(table, used).select(run, label, *used), "folds")
-    sizes = clean.groupBy(run, label).count().collect()  # a row per fold and class
-    out = []
-    for held in sorted({r[run] for r in sizes}):
-        train, counts = clean.where(F.col(run) != held), {}
-        for r in sizes:
-            if r[run] != held:
-                counts[r[label]] = counts.get(r[label], 0) + r["count"]
-        classes = sorted(counts)
-        n = sum(counts.values())
-        index = F.create_map(*(x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))))
-        weight = F.create_map(*(x for c in classes for x in (F.lit(c), F.lit(n / len(classes) / counts[c] if balanced else 1.0))))
-        train = train.withColumn("_y", index[F.col(label)]).withColumn("_w", weight[F.col(label)])
-        stages = [VectorAssembler(inputCols=list(of[held] if of else used), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), _estimator(kind, seed, params)]
-        out.append((held, Pipeline(stages=stages).fit(train), classes))
-    return out
-
-
-def predict(model, classes: Sequence[str], rows: DataFrame, features: Sequence[str], all_classes: Sequence[str]) -> DataFrame:
-    """rows with pred and proba in the order of all classes (0 for those the model never saw)."""
-    from pyspark.ml.functions import vector_to_array
-
-    place = {c: i for i, c in enumerate(classes)}
-    out = model.transform(finite(rows, features)).withColumn("_a", vector_to_array("_p"))
-    proba = F.array(*(F.col("_a")[place[c]] if c in place else F.lit(0.0) for c in all_classes))
-    pred = F.get(F.array(*map(F.lit, classes)), F.col("_k").cast("int"))
-    return out.select(*rows.columns, proba.alias("proba"), pred.alias("pred"))
+def _runs_of(table: DataFrame, run: str) -> list:
+    """The runs: a row each for the driver."""
+    return sorted(r[run] for r in table.select(run).distinct().collect() if r[run] is not None)
+
+
+def fit_cases(table: DataFrame, cases: Sequence[Case], *, kind: str = "logistic", run: str = "run_id", label: str = "label", balanced: bool = True, seed: int = 42, params: dict | None = None):
+    """Models of all cases, with `predict(rows, case)` for rows whose column `case` numbers their model. Logistic models
+    are fitted together, a pass over the table per step for all of them; forests one after another by pyspark.ml."""
+    cases = [Case(c.held, tuple(c.features), {**(params or {}), **c.params}) for c in cases]
+    if kind == "logistic":
+        return fit(table, cases, run=run, label=label, balanced=balanced)
+    return _Separate(table, cases, kind, run, label, balanced, seed)
+
+
+class _Separate:
+    """A fitted pipeline per case. Each fit is a distributed job on the table, which is written once to the shared folder."""
+
+    def __init__(self, table: DataFrame, cases: Sequence[Case], kind: str, run: str, label: str, balanced: bool, seed: int):
+        from pyspark.ml import Pipeline
+        from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+        self.features = sorted({f for c in cases for f in c.features})
+        clean = stored(finite(table.where(F.col(label).isNotNull()), self.features).select(run, label, *self.features), "folds")
+        sizes = clean.groupBy(run, label).count().collect()  # a row per fold and class
+        self.names, self.models = sorted({r[label] for r in sizes}), []
+        for case in cases:
+            counts: dict = {}
+            for r in sizes:
+                if r[run] != case.held:
+                    counts[r[label]] = counts.get(r[label], 0) + r["count"]
+            classes, n = sorted(counts), sum(counts.values())
+            index = F.create_map(*(x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))))
+            weight = F.create_map(*(x for c in classes for x in (F.lit(c), F.lit(n / len(classes) / counts[c] if balanced else 1.0))))
+            train = clean.where(F.col(run) != case.held).withColumn("_y", index[F.col(label)]).withColumn("_w", weight[F.col(label)])
+            stages = [VectorAssembler(inputCols=list(case.features), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), _estimator(kind, seed, case.params)]
+            self.models.append((Pipeline(stages=stages).fit(train), classes))
+
+    def predict(self, rows: DataFrame, case: str) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        parts = []
+        for i, (model, classes) in enumerate(self.models):
+            place = {c: k for k, c in enumerate(classes)}
+            out = model.transform(finite(rows.where(F.col(case) == i), self.features)).withColumn("_a", vector_to_array("_p"))
+            proba = F.array(*(F.col("_a")[place[c]] if c in place else F.lit(0.0) for c in self.names))
+            parts.append(out.select(*(c for c in rows.columns if c.lower() not in ("proba", "pred")), proba.alias("proba"), F.get(F.array(*map(F.lit, classes)), F.col("_k").cast("int")).alias("pred")))
+        return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _cast_of(table: DataFrame, run: str, rows: Sequence[tuple], extra: str) -> DataFrame:
+    """table with the columns of rows (run, ...), given as DDL: each of its rows once for every one of its run. A row per
+    run and model is broadcast."""
+    small = table.sparkSession.createDataFrame(list(rows), f"_held {table.schema[run].dataType.simpleString()}, {extra}")
+    return table.join(F.broadcast(small), F.col(run) == F.col("_held")).drop("_held")
 
 
 def loro_predict(table: DataFrame, features: Sequence[str], *, run: str = "run_id", label: str = "label", **options) -> DataFrame:
-    """Every row predicted by the model that never saw its run."""
-    names = sorted(r[label] for r in table.select(label).distinct().collect())
-    parts = [predict(m, c, table.where(F.col(run) == held), features, names) for held, m, c in fit_folds(table, features, run=run, label=label, **options)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every row that has a run, predicted by the model that never saw its run: one pass for all."""
+    runs = _runs_of(table, run)
+    models = fit_cases(table, [Case(r, tuple(features)) for r in runs], run=run, label=label, **options)
+    return models.predict(_cast_of(table, run, [(r, i) for i, r in enumerate(runs)], "_case int"), "_case").drop("_case")
 
 
 def ablations(table: DataFrame, sets: dict[str, Sequence[str]], *, top: int = 15, run: str = "run_id", label: str = "label", **options) -> DataFrame:
     """feature_set, fold, n_features, accuracy, macro_f1: leave-one-run-out with each set of features, and with "top_mi",
-    for each fold the `top` features of all sets that tell most about the label in its training rows."""
+    for each fold the `top` features of all sets that tell most about the label in its training rows. All sets and folds
+    are fitted together."""
     every = sorted({f for own in sets.values() for f in own})
     best = fold_information(table, every, run=run, label=label)
     order = Window.partitionBy(run).orderBy(F.col("mi").desc(), "feature")
     chosen: dict[object, list[str]] = {}
     for r in best.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= top).collect():  # a few rows per fold
         chosen.setdefault(r[run], []).append(r["feature"])
-    names = sorted(r[label] for r in table.select(label).distinct().collect())
-    parts = []
-    for name, features in {**sets, "top_mi": chosen}.items():
-        for held, model, classes in fit_folds(table, features, run=run, label=label, **options):
-            own = features[held] if isinstance(features, dict) else features
-            done = predict(model, classes, table.where(F.col(run) == held), own, names)
-            parts.append(done.select(F.lit(name).alias("feature_set"), F.lit(len(own)).alias("n_features"), F.col(run).alias("fold"), label, "pred"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return fold_metrics(rows, keys=("feature_set", "n_features"), label=label, classes="in_test")
+    made = [(name, Case(r, tuple(own[r] if isinstance(own, dict) else own))) for name, own in {**sets, "top_mi": chosen}.items() for r in _runs_of(table, run)]
+    models = fit_cases(table, [c for _, c in made], run=run, label=label, **options)
+    rows = _cast_of(table, run, [(c.held, i, name, len(c.features)) for i, (name, c) in enumerate(made)], "_case int, feature_set string, n_features int")
+    done = models.predict(rows, "_case").select("feature_set", "n_features", F.col(run).alias("fold"), label, "pred")
+    return fold_metrics(done, keys=("feature_set", "n_features"), label=label, classes="in_test")
 
 
 #: Values to draw from, by model.
@@ -158,14 +172,9 @@ def random_search(table: DataFrame, features: Sequence[str], *, kind: str = "log
     every = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
     chosen = random.Random(seed).sample(every, min(draws, len(every)))
     folded = stored(table.join(group_folds(table, run, k).select(run, "fold"), run), "folds")
-    parts = []
-    for i, params in enumerate(chosen):
-        names = sorted(r[label] for r in folded.select(label).distinct().collect())
-        for held, model, classes in fit_folds(folded, features, kind=kind, run="fold", label=label, seed=seed, params=params):
-            parts.append(predict(model, classes, folded.where(F.col("fold") == held), features, names).select(F.lit(i).alias("draw"), "fold", label, "pred"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    made = [(i, Case(held, tuple(features), params)) for i, params in enumerate(chosen) for held in _runs_of(folded, "fold")]
+    models = fit_cases(folded, [c for _, c in made], kind=kind, run="fold", label=label, seed=seed)
+    rows = models.predict(_cast_of(folded, "fold", [(c.held, n, i) for n, (i, c) in enumerate(made)], "_case int, draw int"), "_case").select("draw", "fold", label, "pred")
     score = fold_metrics(rows, keys=("draw",), label=label, classes="in_test").groupBy("draw").agg(F.avg("macro_f1").alias("macro_f1"))
     names = table.sparkSession.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(chosen)], "draw int, params string")
     return score.join(names, "draw").orderBy(F.col("macro_f1").desc(), "draw").select("draw", "params", "macro_f1")
@@ -179,18 +188,19 @@ def hash_normal(*of: Column) -> Column:
 
 def noise_sweep(table: DataFrame, features: Sequence[str], sigmas: Sequence[float], repeats: int, *, key: Sequence[str], run: str = "run_id", label: str = "label", seed: int = 7, **options) -> DataFrame:
     """sigma, mean, std (sample) and least macro-F1 (over the fold's classes) of folds whose test rows got noise of sigma
-    training deviations. Models are fitted once per fold; noise is drawn for all sigmas and repeats at once, from hashes of
+    training deviations. Models are fitted once; noise is drawn for all sigmas and repeats at once, from hashes of
     key, feature and repeat: another partitioning or cluster draws the same. The sigmas of a repeat share its draws."""
-    names = sorted(r[label] for r in table.select(label).distinct().collect())
-    parts = []
-    for held, model, classes in fit_folds(table, features, run=run, label=label, **options):
-        std = table.where(F.col(run) != held).agg(*(F.stddev_pop(f).alias(f) for f in features)).first()
-        test = table.where(F.col(run) == held).withColumn("sigma", F.explode(F.array(*(F.lit(float(s)) for s in sigmas)))).withColumn("rep", F.explode(F.array(*map(F.lit, range(repeats)))))
-        noisy = test.withColumns({f: F.col(f) + F.col("sigma") * (std[f] or 0.0) * hash_normal(F.lit(seed), F.lit(f), F.col("rep"), *map(F.col, key)) for f in features})
-        parts.append(predict(model, classes, noisy, features, names).select("sigma", "rep", F.col(run).alias("fold"), label, "pred"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    runs = _runs_of(table, run)
+    models = fit_cases(table, [Case(r, tuple(features)) for r in runs], run=run, label=label, **options)
+    keys, n, mean, var = moments(finite(table.where(F.col(run).isNotNull()).select(run, *(F.col(f).cast("double").alias(f) for f in features)), features), features, [run])
+    std = {}
+    for i, (r,) in enumerate(keys):
+        rest = np.arange(len(keys)) != i
+        std[r] = np.sqrt(pooled(n[rest], mean[rest], var[rest])[1] / max(n[rest].sum(), 1.0)).tolist()
+    test = _cast_of(table, run, [(r, i, std[r]) for i, r in enumerate(runs)], "_case int, _std array<double>")
+    test = test.withColumn("sigma", F.explode(F.array(*(F.lit(float(s)) for s in sigmas)))).withColumn("rep", F.explode(F.array(*map(F.lit, range(repeats)))))
+    noisy = test.withColumns({f: F.col(f) + F.col("sigma") * F.col("_std")[i] * hash_normal(F.lit(seed), F.lit(f), F.col("rep"), *map(F.col, key)) for i, f in enumerate(features)})
+    rows = models.predict(noisy.drop("_std"), "_case").select("sigma", "rep", F.col(run).alias("fold"), label, "pred")
     per = fold_metrics(rows, keys=("sigma", "rep"), label=label, classes="in_test")
     mean = per.groupBy("sigma", "fold").agg(F.avg("macro_f1").alias("m"))
     return mean.groupBy("sigma").agg(F.avg("m").alias("macro_f1_mean"), F.stddev_samp("m").alias("macro_f1_std"), F.min("m").alias("macro_f1_min"))
@@ -200,24 +210,20 @@ def sensor_dropout(table: DataFrame, groups: dict[str, Sequence[str]], *, run: s
     """condition, mode, n_features, n, mean, std, worst, margin, delta to the baseline: each group of features zeroed at
     test time, or left out of training and test."""
     features = [f for g in groups.values() for f in g]
-    names = sorted(r[label] for r in table.select(label).distinct().collect())
-    fitted = fit_folds(table, features, run=run, label=label, **options)
-    parts = []
-
-    def add(condition: str, mode: str, n: int, models: list, used: Sequence[str], zero: Sequence[str]) -> None:
-        for held, model, classes in models:
-            test = table.where(F.col(run) == held).withColumns({f: F.lit(0.0) for f in zero}) if zero else table.where(F.col(run) == held)
-            parts.append(predict(model, classes, test, used, names).select(F.lit(condition).alias("condition"), F.lit(mode).alias("mode"), F.lit(n).alias("n_features"), F.col(run).alias("fold"), label, "pred"))
-
-    add("baseline", "none", len(features), fitted, features, ())
-    for name, group in groups.items():
-        add(name, "zeroed", len(features), fitted, features, group)
-        rest = [f for f in features if f not in group]
-        if rest:
-            add(name, "removed", len(rest), fit_folds(table, rest, run=run, label=label, **options), rest, ())
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rests = {name: tuple(f for f in features if f not in group) for name, group in groups.items()}
+    runs = _runs_of(table, run)
+    cases, conditions = [], []
+    for name, used in {None: tuple(features), **{g: rest for g, rest in rests.items() if rest}}.items():
+        for r in runs:
+            if name is None:
+                conditions += [(r, len(cases), "baseline", "none", len(features)), *((r, len(cases), g, "zeroed", len(features)) for g in groups)]
+            else:
+                conditions.append((r, len(cases), name, "removed", len(used)))
+            cases.append(Case(r, used))
+    models = fit_cases(table, cases, run=run, label=label, **options)
+    rows = _cast_of(table, run, conditions, "_case int, condition string, mode string, n_features int")
+    rows = rows.withColumns({f: F.when((F.col("mode") == "zeroed") & F.col("condition").isin(*(g for g, own in groups.items() if f in own)), 0.0).otherwise(F.col(f)) for f in features})
+    rows = models.predict(rows, "_case").select("condition", "mode", "n_features", F.col(run).alias("fold"), label, "pred")
     keys = ["condition", "mode", "n_features"]
     out = ci95(fold_metrics(rows, keys=keys, label=label, classes="in_test"), keys, "macro_f1")
     base = out.where("condition = 'baseline'").select(F.col("mean").alias("_base"))
@@ -227,23 +233,18 @@ def sensor_dropout(table: DataFrame, groups: dict[str, Sequence[str]], *, run: s
 def permutation_importance(table: DataFrame, features: Sequence[str], repeats: int = 8, *, run: str = "run_id", label: str = "label", key: Sequence[str], seed: int = 3, **options) -> DataFrame:
     """fold, feature, importance: the mean drop of macro-F1 on the held-out run when the feature's values are dealt out
     anew among its rows (values in hash order meet rows in key order)."""
-    names = sorted(r[label] for r in table.select(label).distinct().collect())
-    parts = []
-    for held, model, classes in fit_folds(table, features, run=run, label=label, **options):
-        test = table.where(F.col(run) == held)
-        rows = test.withColumn("_row", F.row_number().over(Window.partitionBy(run).orderBy(*key)))
-        # a row per case: a feature, a repeat; all cases of a fold are dealt and predicted in one pass
-        values = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_new")) for f in features))
-        cases = test.select(*key, F.explode(values).alias("_v")).select(*key, "_v.*").withColumn("_at", F.explode(F.sequence(F.lit(seed), F.lit(seed + repeats - 1))))
-        order = Window.partitionBy("feature", "_at").orderBy(F.xxhash64("_at", "feature", *key), *key)
-        other = cases.select("feature", "_at", "_new", F.row_number().over(order).alias("_row"))
-        mixed = rows.join(other, "_row").withColumns({f: F.when(F.col("feature") == f, F.col("_new")).otherwise(F.col(f)) for f in features})
-        mixed = mixed.select(*table.columns, F.col("feature").alias("_feature"), (F.col("_at") - seed).alias("_rep"))
-        parts.append(predict(model, classes, test, features, names).select(F.lit("").alias("feature"), F.lit(-1).alias("rep"), F.col(run).alias("fold"), label, "pred"))
-        parts.append(predict(model, classes, mixed, features, names).select(F.col("_feature").alias("feature"), F.col("_rep").alias("rep"), F.col(run).alias("fold"), label, "pred"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    runs = _runs_of(table, run)
+    models = fit_cases(table, [Case(r, tuple(features)) for r in runs], run=run, label=label, **options)
+    test = _cast_of(table, run, [(r, i) for i, r in enumerate(runs)], "_case int")
+    numbered = test.withColumn("_row", F.row_number().over(Window.partitionBy(run).orderBy(*key)))
+    # a row per case: a feature, a repeat; all cases of all folds are dealt and predicted in one pass
+    values = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_new")) for f in features))
+    dealt = test.select(run, *key, F.explode(values).alias("_v")).select(run, *key, "_v.*").withColumn("_at", F.explode(F.sequence(F.lit(seed), F.lit(seed + repeats - 1))))
+    order = Window.partitionBy(run, "feature", "_at").orderBy(F.xxhash64("_at", "feature", *key), *key)
+    other = dealt.select(run, "feature", "_at", "_new", F.row_number().over(order).alias("_row"))
+    mixed = numbered.join(other, [run, "_row"]).withColumns({f: F.when(F.col("feature") == f, F.col("_new")).otherwise(F.col(f)) for f in features})
+    cases = test.select("*", F.lit("").alias("feature"), F.lit(-1).alias("rep")).unionByName(mixed.select(*test.columns, "feature", (F.col("_at") - seed).alias("rep")))
+    rows = models.predict(cases, "_case").select("feature", "rep", F.col(run).alias("fold"), label, "pred")
     per = fold_metrics(rows, keys=("feature", "rep"), label=label, classes="in_test")
     base = per.where("rep = -1").select("fold", F.col("macro_f1").alias("_base"))
     return per.where("rep >= 0").join(base, "fold").groupBy("fold", "feature").agg(F.avg(F.col("_base") - F.col("macro_f1")).alias("importance"))
