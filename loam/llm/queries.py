@@ -59,7 +59,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_report(_read(spark, sf_dir, "documents"), similarity=0.8)
+    return fingerprint_report(_read(spark, sf_dir, "documents"), similarity=0.8, exact=True)
 
 
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,20 +143,22 @@ def radius_for(similarity: float, share: float = 0.99) -> int:
 @dataclass(frozen=True)
 class BlockTable:
     """A permuted table: fingerprints that agree in the `shard` bits meet in one group, and there those whose `key` bits
-    differ in up to `flips` places."""
+    differ in up to `flips` places, and their `both` bits in up to `within`."""
 
     shard: tuple[int, ...]
     key: tuple[int, ...]
     flips: int
+    both: tuple[int, ...] = ()
+    within: int = BITS
 
     @cached_property
-    def masks(self) -> tuple[np.ndarray, np.ndarray]:
-        return _mask(self.shard), _mask(self.key)
+    def masks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _mask(self.shard), _mask(self.key), _mask(self.both)
 
     def holds(self, x: np.ndarray) -> np.ndarray:
         """Whether this table brings together pairs whose fingerprints differ in the bits x."""
-        shard, key = self.masks
-        return ~(x & shard).any(axis=1) & (np.bitwise_count(x & key).sum(axis=1) <= self.flips)
+        shard, key, both = self.masks
+        return ~(x & shard).any(axis=1) & (np.bitwise_count(x & key).sum(axis=1) <= self.flips) & (np.bitwise_count(x & both).sum(axis=1) <= self.within)
 
 
 def _mask(bits: tuple[int, ...]) -> np.ndarray:
@@ -175,10 +177,24 @@ def _bits(fp: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
 
 
 def exact_tables(radius: int, blocks: int) -> list[BlockTable]:
-    """Of two fingerprints within the radius, some block has at most radius // blocks different bits (pigeonhole): a table
-    per block finds all. A key meets the more others the narrower blocks are, and is flipped the oftener the fewer."""
+    """Tables, one per block of bits, that miss no two fingerprints within the radius: were all blocks beyond their
+    flips, these being radius + 1 - blocks in all, more than `radius` bits would differ (pigeonhole). Two neighbouring
+    blocks hold a pair together by the same rule, so what they may differ in is bounded too. A block of -1 is in no table.
+    A key meets the more others the narrower blocks are, and is flipped the oftener the fewer."""
     edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
-    return [BlockTable((), tuple(range(a, b)), radius // blocks) for a, b in pairwise(edges)]
+    bits = [tuple(range(a, b)) for a, b in pairwise(edges)]
+    flips = [(radius + 1) // blocks - 1 + (k < (radius + 1) % blocks) for k in range(blocks)]
+    out = []
+    for k in range(blocks):
+        pair = [x for x in (k & ~1, k | 1) if x < blocks]
+        if flips[k] >= 0:
+            out.append(BlockTable((), bits[k], flips[k], sum((bits[x] for x in pair), ()), sum(flips[x] for x in pair) + len(pair) - 1))
+    return out
+
+
+def slices_for(n: int) -> int:
+    """Slices of n fingerprints for the exact search: a task per two of them, of 2^18 at most; few for few."""
+    return max(min(8, math.ceil(n / 4096)), math.ceil(n / (1 << 18)), 1)
 
 
 def drawn_tables(n: int, radius: int, recall: float, rows_per_task: int, flips: int = 2, seed: int = 10) -> list[BlockTable]:
@@ -193,6 +209,46 @@ def drawn_tables(n: int, radius: int, recall: float, rows_per_task: int, flips:
     return [BlockTable(d[:s], d[s:], flips) for d in drawn]
 
 
+def _met(a: np.ndarray, b: np.ndarray, tables: list[BlockTable], radius: int, same: bool, batch: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows of b each of a has within the radius, and of a each of b, by tables without shards; same: a is b,
+    whose pairs count once. A pair counts in the first table that holds it."""
+    near_a, near_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+    for t, table in enumerate(tables):
+        key = table.key[:16]  # of wider blocks these bits are no more apart than all
+        ka, kb = _bits(a, key), _bits(b, key)
+        oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+        ka, own, other = ka[oa], a[oa], b[ob]
+        start = np.searchsorted(kb[ob], np.arange((1 << len(key)) + 1)).astype(np.int32)
+        size = np.diff(start)
+        narrow = len(table.both) <= 32
+        ha, hb = ((_bits(x, table.both) if narrow else np.zeros(len(x))).astype(np.uint32) for x in (own, other))
+        for d in range(min(table.flips, len(key)) + 1):
+            for flipped in combinations(range(len(key)), d):
+                at = ka ^ sum(1 << f for f in flipped)
+                n = size[at]
+                ends = np.cumsum(n, dtype=np.int64)
+                if not len(ends) or not ends[-1]:
+                    continue
+                shift = start[at] - (ends - n)
+                cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(batch, ends[-1], batch)) + 1, len(n)])
+                for lo, hi in pairwise(cuts.tolist()):
+                    i = np.repeat(np.arange(lo, hi, dtype=np.int32), n[lo:hi])
+                    j = np.repeat(shift[lo:hi], n[lo:hi]) + np.arange(ends[lo] - n[lo], ends[hi - 1])
+                    if narrow:
+                        kept = np.flatnonzero(np.bitwise_count(ha[i] ^ hb[j]) <= table.within)
+                        i, j = i[kept], j[kept]
+                    x = own[i, :2] ^ other[j, :2]
+                    near = np.flatnonzero(np.bitwise_count(x).sum(axis=1) <= radius)
+                    if same:
+                        near = near[oa[i[near]] < ob[j[near]]]
+                    near = near[table.holds(x[near])]
+                    for before in tables[:t]:
+                        near = near[~before.holds(x[near])]
+                    np.add.at(near_a, oa[i[near]], other[j[near], 2].astype(np.int64))
+                    np.add.at(near_b, ob[j[near]], own[i[near], 2].astype(np.int64))
+    return near_a, near_b
+
+
 class _Group:
     """Fingerprints of one group of a table, sorted by key, and how many others each has within the radius. A pair counts
     in the first table that holds it."""
@@ -252,9 +308,14 @@ class _Group:
         return hot
 
     def counted(self) -> list[tuple]:
-        some = np.flatnonzero(self.n)
-        digits = self.rows[some, :2].astype(">u8").tobytes().hex()
-        return [(digits[32 * i : 32 * i + 32], int(x)) + (None,) * 6 for i, x in enumerate(self.n[some])]
+        return [x + (None,) * 6 for x in _counted(self.rows, self.n)]
+
+
+def _counted(rows: np.ndarray, n: np.ndarray) -> list[tuple[str, int]]:
+    """Fingerprints that have others near them, and how many."""
+    some = np.flatnonzero(n)
+    digits = rows[some, :2].astype(">u8").tobytes().hex()
+    return [(digits[32 * i : 32 * i + 32], int(x)) for i, x in enumerate(n[some])]
 
 
 _NEAR = T.StructType([T.StructField("fp", T.StringType()), T.StructField("n", T.LongType()), T.StructField("t", T.IntegerType()), T.StructField("hot", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("a", "m", "b", "k"))])
@@ -266,29 +327,29 @@ def near_fingerprints(found: DataFrame, *, fp_col: str = "fingerprint", radius:
 
     Fingerprints go to permuted tables and meet there by their key bits, each key with those a few flipped bits away;
     what meets is compared bit by bit, and a pair counts in the first table that holds it, so none counts twice or
-    falsely. exact: a table per block, which misses nothing at any radius (`exact_tables`); the work per fingerprint grows
-    with their number once keys are full, so for large radii this is for some ten million. Otherwise drawn bits
-    (`drawn_tables`), enough to find a pair at the radius with probability `recall`; more flips need fewer tables and more
-    comparisons.
-    A distinct fingerprint is sent once per table, 20 bytes each, by Spark's exchange; a group holds a table's share of
-    about rows_per_task. Two ranges of keys of over most x most pairs are cut into pieces that are tasks of their own,
-    from a copy of the group in the shared folder: nothing is capped.
+    falsely. exact: a table per block, which misses nothing at any radius (`exact_tables`); fingerprints are dealt to
+    slices by hash, and any two slices meet in all tables in a task of their own (`slices_for`): no group holds all, and
+    the work per fingerprint grows with their number. Otherwise drawn bits (`drawn_tables`), enough to find a pair at the
+    radius with probability `recall`; more flips need fewer tables and more comparisons. There a distinct fingerprint is
+    sent once per table, 20 bytes each, by Spark's exchange; a group holds a table's share of about rows_per_task. Two
+    ranges of keys of over most x most pairs are cut into pieces that are tasks of their own, from a copy of the group in
+    the shared folder: nothing is capped.
     """
     if radius < 0 or not 1 <= blocks <= BITS:
         raise ValueError("the radius has to be 0 or more and blocks 1 to 128")
     spark = found.sparkSession
     same = saved(found.where(F.col(fp_col).isNotNull()).groupBy(F.col(fp_col).alias("fp")).agg(F.count(F.lit(1)).alias("n_same")))
     n = same.count()
-    tables = exact_tables(radius, blocks) if exact else drawn_tables(n, radius, recall, rows_per_task, flips)
+    if exact:
+        return _with_near(same, saved(_sliced(same, exact_tables(radius, blocks), radius, slices_for(n)).groupBy("fp").agg(F.sum("n").alias("n"))), fp_col)
+    tables = drawn_tables(n, radius, recall, rows_per_task, flips)
     folder = new_folder(spark, "fingerprints")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            fp, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            packed = np.zeros(len(fp), dtype=_PACKED)
-            packed["a"], packed["b"], packed["n"] = fp[:, 0], fp[:, 1], n
+            fp, packed = _packed(held)
             for t, table in enumerate(tables):
                 shard = _bits(fp, table.shard)
                 order = np.argsort(shard, kind="stable")
@@ -308,8 +369,7 @@ def near_fingerprints(found: DataFrame, *, fp_col: str = "fingerprint", radius:
 
     def table(group: pa.Table) -> pa.Table:
         t, shard = group["t"][0].as_py(), group["shard"][0].as_py()
-        packed = np.frombuffer(b"".join(group["rows"].to_pylist()), dtype=_PACKED)
-        own = _Group(np.stack([packed["a"], packed["b"], packed["n"].astype(np.uint64)], axis=1), tables, t, radius)
+        own = _Group(_unpacked(group["rows"].to_pylist()), tables, t, radius)
         rows = []
         if hot := own.probe(most):
             name = f"hot-{t}-{shard}.npy"
@@ -340,13 +400,57 @@ def near_fingerprints(found: DataFrame, *, fp_col: str = "fingerprint", radius:
         near = near.unionByName(hot.repartition(min(n_hot, 4096)).mapInArrow(pieces, _NEAR))
     near = saved(near.where("fp is not null").groupBy("fp").agg(F.sum("n").alias("n")))
     shutil.rmtree(folder, ignore_errors=True)
+    return _with_near(same, near, fp_col)
+
+
+def _with_near(same: DataFrame, near: DataFrame, fp_col: str) -> DataFrame:
     return same.join(near, "fp", "left").select(F.col("fp").alias(fp_col), "n_same", (F.col("n_same") - 1 + F.coalesce("n", F.lit(0))).alias("n_near"))
 
 
+def _sliced(same: DataFrame, tables: list[BlockTable], radius: int, slices: int) -> DataFrame:
+    """Fingerprints with what each has near it, slice by slice: a fingerprint is sent to every slice, its own with it."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp, packed = _packed([(_numbers(batch.column(0).to_pylist()), np.minimum(batch.column(1).to_numpy(), 2**32 - 1))])
+            of = finish(fp[:, 0] ^ fp[:, 1]) % np.uint64(slices)
+            out = []
+            for s in np.unique(of).tolist():
+                rows = packed[of == s].tobytes()
+                out += [(min(s, x), max(s, x), int(s > x), rows) for x in range(slices)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["p", "q", "side", "rows"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        blobs = list(zip(group["side"].to_pylist(), group["rows"].to_pylist(), strict=True))
+        alone = group["p"][0].as_py() == group["q"][0].as_py()
+        a = _unpacked([x for side, x in blobs if side == 0])
+        b = a if alone else _unpacked([x for side, x in blobs if side == 1])
+        near_a, near_b = _met(a, b, tables, radius, alone)
+        found = _counted(a, near_a + near_b) if alone else _counted(a, near_a) + _counted(b, near_b)
+        return pa.table({"fp": pa.array([x[0] for x in found], pa.string()), "n": pa.array([x[1] for x in found], pa.int64())})
+
+    dealt = same.mapInArrow(deal, "p int, q int, side int, rows binary").repartition(min(4096, slices * (slices + 1) // 2), "p", "q")
+    return dealt.groupBy("p", "q").applyInArrow(meet, "fp string, n bigint")
+
+
 #: A fingerprint and how many rows have it, as it is sent.
 _PACKED = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<u4")])
 
 
+def _packed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    fp, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    packed = np.zeros(len(fp), dtype=_PACKED)
+    packed["a"], packed["b"], packed["n"] = fp[:, 0], fp[:, 1], n
+    return fp, packed
+
+
+def _unpacked(blobs: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(blobs), dtype=_PACKED)
+    return np.stack([packed["a"], packed["b"], packed["n"].astype(np.uint64)], axis=1)
+
+
 def _save(path: str, a: np.ndarray) -> None:
     """A task that runs twice replaces the file by an equal one."""
     part = f"{path}.{uuid.uuid4().hex}"

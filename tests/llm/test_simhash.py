@@ -148,3 +148,42 @@ def test_fingerprints_are_plain_simhash():
         words = [f"w{r.randint(0, 30 if k == 301 else 10**6)}" for _ in range(k)]
         text = " ".join(words).encode()
         assert as_hex(fingerprint(text, hasher)) == plain_simhash(text)
+
+
+def test_query_misses_no_pair(spark, tmp_path):
+    """op10's n_near against all pairs of its own fingerprints: texts of similarity 0.6 to 0.95, most near the radius."""
+    from loam.llm.queries import op10_fingerprints
+
+    r = random.Random(12)
+    words = lambda k: [f"w{r.randint(0, 10**9)}" for _ in range(k)]
+    rows = [(10**6, None), (10**6 + 1, "")]
+    for i in range(0, 4400, 2):
+        a = words(60)
+        b = a[: r.randint(45, 59)]
+        rows += [(i, " ".join(a)), (i + 1, " ".join(b + words(60 - len(b))))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op10_fingerprints(spark, str(tmp_path)).select("doc_id", "fingerprint", "n_near").collect()
+    fps = np.array([(int(x.fingerprint[:16], 16), int(x.fingerprint[16:], 16)) for x in got], dtype=np.uint64)
+    near = [int((np.bitwise_count(fps ^ fp).sum(1) <= 29).sum()) - 1 for fp in fps]
+    assert sum(near) > 2000
+    assert [x.n_near for x in got] == near
+
+
+def test_slices_and_tables_miss_no_pair():
+    from loam.llm.simhash import _met, exact_tables
+
+    rng = np.random.default_rng(5)
+    for radius, blocks in ((29, 8), (30, 7), (6, 3), (6, 16), (0, 4), (3, 128), (45, 9)):
+        fps = rng.integers(0, 2**64, (600, 3), dtype=np.uint64)
+        for i in range(1, 600, 2):
+            fps[i, :2] = fps[i - 1, :2]
+            for bit in rng.choice(BITS, rng.integers(0, radius + 3), replace=False):
+                fps[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        fps[:, 2] = rng.integers(1, 5, 600)
+        apart = np.bitwise_count(fps[:, None, :2] ^ fps[None, :, :2]).sum(2) <= radius
+        n = fps[:, 2].astype(int)
+        tables = exact_tables(radius, blocks)
+        a, b = _met(fps, fps, tables, radius, True, batch=1000)
+        assert (a + b == apart @ n - n).all()
+        a, b = _met(fps[:251], fps[251:], tables, radius, False)
+        assert (a == apart[:251, 251:] @ n[251:]).all() and (b == apart[251:, :251] @ n[:251]).all()
