@@ -120,7 +120,8 @@ def _repeated_minimizers(rows: DataFrame, folder: str, n_buckets: int) -> None:
 
 #: What buckets say: 0 a run of repeated edges that stand earlier; 1 a fragment; 2 where the edges of a piece stand that
 #: had equals in its slice; 3 a stretch of pieces that equals a stretch of another text of the slice; 4 a piece of the
-#: latter.
+#: latter; 5 a run of edges that goes round: it equals what stands in the same text so few words before that both overlap
+#: or touch.
 _SAID = ("kind", "id", "text_hash", "start", "n", "src_id", "src_hash", "src_start", "head", "at", "left", "right")
 _SAID_DDL = ", ".join(f"{c} {'int' if c == 'kind' else 'bigint'}" for c in _SAID)
 _PIECE_COLUMNS = {"ids": np.int64, "texts": np.int64, "starts": np.int32, "sizes": np.uint8, "nodes": np.uint64}
@@ -132,7 +133,8 @@ def graph(docs: DataFrame, key: Column, text_key: Column, text_col: str) -> Data
     1 if the left one has one edge in and one out; at (2): the run's first edge within its piece.
 
     In each slice equal pieces are exchanged once, and neighbours that equal neighbours are one stretch: a passage that
-    every document holds costs its pieces once per slice, and a row per document.
+    every document holds costs its pieces once per slice, and a row per document. A text that goes round (two words in
+    turns, say) has a row for all rounds but the first, not one per round.
     """
     rows = docs.select(key.alias("_id"), text_key.alias("_hash"), F.col(text_col).alias("text"))
     spark, n_buckets = docs.sparkSession, buckets_for(docs)
@@ -157,7 +159,7 @@ def graph(docs: DataFrame, key: Column, text_key: Column, text_col: str) -> Data
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         parts = []
-        for kind, column in ((3, "equals"), (4, "leads")):
+        for kind, column in ((3, "equals"), (4, "leads"), (5, "rounds")):
             found = [np.frombuffer(x, dtype=np.int64).reshape(-1, 7) for x in table[column].to_pylist() if x is not None]
             parts += [_said(kind, *x.T) for x in found]
         table = table.filter(table["ids"].is_valid())
@@ -165,7 +167,7 @@ def graph(docs: DataFrame, key: Column, text_key: Column, text_col: str) -> Data
             parts += _settle(*(np.concatenate([np.frombuffer(x, dtype=t) for x in table[c].to_pylist()]) for c, t in _PIECE_COLUMNS.items()))
         return pa.concat_tables(parts) if parts else _said(0, np.zeros(0, np.int64))
 
-    names = ", ".join(f"{c} binary" for c in (*_PIECE_COLUMNS, "equals", "leads"))
+    names = ", ".join(f"{c} binary" for c in (*_PIECE_COLUMNS, "equals", "leads", "rounds"))
     said = stored(rows.mapInArrow(emit, f"bucket long, {names}").groupBy("bucket").applyInArrow(settle, _SAID_DDL), "graph")
     shutil.rmtree(folder, ignore_errors=True)
     return said
@@ -182,7 +184,8 @@ def _runs(*breaks: np.ndarray) -> np.ndarray:
 def _pieces_out(h: np.ndarray, lens: np.ndarray, doc: np.ndarray, start: np.ndarray, at: np.ndarray, g: np.ndarray, hot: np.ndarray, ids: np.ndarray, texts: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     """Runs of neighbouring nodes with one minimizer as pieces, each with the node before and behind it (0 for none);
     of equal ones the first, and the others as references to it: a row per stretch of others that follow one another as
-    the first ones do, and the pieces of every stretch referred to once."""
+    the first ones do, and the pieces of every stretch referred to once. What goes round in a text refers to the round
+    before, a row for all of them."""
     node = np.maximum(rolling(h, NODE), np.uint64(1))
     head = _runs(start[1:] != start[:-1] + 1, at[1:] != at[:-1], doc[1:] != doc[:-1], hot[1:] | hot[:-1])
     n = np.diff(np.r_[head, len(start)])
@@ -201,11 +204,14 @@ def _pieces_out(h: np.ndarray, lens: np.ndarray, doc: np.ndarray, start: np.ndar
     lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     place = (i[lead] == i[order]) & (local[lead] == local[order])
     new |= place & (t[lead] != t[order])  # another text of the same id: sent as well
-    other = ~new & ~place
+    same = np.r_[False, (key[order][1:] == key[order][:-1]) & (i[order][1:] == i[order][:-1]) & (t[order][1:] == t[order][:-1])]
+    twice = same & np.r_[False, local[order][1:] == local[order][:-1]]  # an equal row: what holds for the first holds for it
+    other = ~new & ~place & ~twice
     again = np.zeros(len(head), dtype=bool)
     again[lead[other]] = True
-    by_place = np.argsort(order[other])
-    x, y = order[other][by_place], lead[other][by_place]
+    rounds, in_rounds = _rounds(*_by_place(order[other & same], order[np.flatnonzero(other & same) - 1]), own, first, n, i, t, local)
+    other &= ~np.isin(order, in_rounds)
+    x, y = _by_place(order[other], lead[other])
     equals, leads = _stretches(x, y, own, first, n, i, t, local)
     chosen = order[new]
     minimizer = g[at[head]]
@@ -219,12 +225,32 @@ def _pieces_out(h: np.ndarray, lens: np.ndarray, doc: np.ndarray, start: np.ndar
         flat = node[np.clip(index, 0, len(node) - 1)]
         ends = np.cumsum(size)
         flat[ends - size], flat[ends - 1] = lo[o], hi[o]
-        out.append((b, i[o].tobytes(), t[o].tobytes(), local[o].astype(np.int32).tobytes(), (n[o] | again[o] << 7).astype(np.uint8).tobytes(), flat.tobytes(), None, None))
-    if len(equals):
-        any_bucket = finish(equals[:1, 0].astype(np.uint64) * MIX + equals[:1, 2].astype(np.uint64))[0] % np.uint64(n_buckets)
-        out.append((int(any_bucket), *[None] * 5, equals.tobytes(), leads.tobytes()))
-    names = ["bucket", *_PIECE_COLUMNS, "equals", "leads"]
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary() if k else pa.int64()) for k in range(8)], names=names)
+        out.append((b, i[o].tobytes(), t[o].tobytes(), local[o].astype(np.int32).tobytes(), (n[o] | again[o] << 7).astype(np.uint8).tobytes(), flat.tobytes(), None, None, None))
+    if len(some := equals if len(equals) else rounds):
+        any_bucket = finish(some[:1, 0].astype(np.uint64) * MIX + some[:1, 2].astype(np.uint64))[0] % np.uint64(n_buckets)
+        out.append((int(any_bucket), *[None] * 5, equals.tobytes(), leads.tobytes(), rounds.tobytes()))
+    names = ["bucket", *_PIECE_COLUMNS, "equals", "leads", "rounds"]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary() if k else pa.int64()) for k in range(9)], names=names)
+
+
+def _by_place(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    o = np.argsort(x)
+    return x[o], y[o]
+
+
+def _rounds(x: np.ndarray, y: np.ndarray, own: np.ndarray, first: np.ndarray, n: np.ndarray, i: np.ndarray, t: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces x, in order of their places, that equal pieces y before them in the same text: those that follow one
+    another at one distance from theirs, if they are as long as it, so that they go round. A row per such run (id, text,
+    start and number of nodes, and id, text and start of what it equals), and its pieces. All nodes have an edge out, as
+    those of y have."""
+    if not len(x):
+        return np.zeros((0, 7), np.int64), x
+    far = local[x] - local[y]
+    begin = _runs((own[x][1:] != own[x][:-1]) | (first[x][1:] != first[x][:-1] + n[x][:-1]), far[1:] != far[:-1])
+    pieces, size = np.diff(np.r_[begin, len(x)]), np.add.reduceat(n[x], begin)
+    round_ = size >= far[begin]
+    a, b = x[begin[round_]], y[begin[round_]]
+    return np.stack([i[a], t[a], local[a], size[round_], i[b], t[b], local[b]], axis=1), x[np.repeat(round_, pieces)]
 
 
 def _stretches(x: np.ndarray, y: np.ndarray, own: np.ndarray, first: np.ndarray, n: np.ndarray, i: np.ndarray, t: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,7 +393,7 @@ _PLACE = ("src_id", "src_hash", "src_start", "path", "path_at")
 
 def repeated_pieces(said: DataFrame) -> DataFrame:
     """Runs of repeated edges: id, text_hash, start, n, each of which stands earlier too, at src_id, src_hash, src_start;
-    and on which path, from where."""
+    and on which path, from where (null for what goes round in its text: it stands a round earlier)."""
     paths = nonbranching_paths(said).select(F.col("src_id").alias("_i"), F.col("src_hash").alias("_h"), F.col("head").alias("_s"), "path", "path_at")
     found = said.where("kind in (0, 2)").join(paths, (F.col("src_id") == F.col("_i")) & (F.col("src_hash") == F.col("_h")) & (F.col("head") == F.col("_s")))
     found = stored(found.select("kind", "id", "text_hash", "start", "n", "at", "src_id", "src_hash", "src_start", "path", (F.col("path_at") + F.col("src_start") - F.col("head")).alias("path_at")), "pieces")
@@ -381,7 +407,9 @@ def repeated_pieces(said: DataFrame) -> DataFrame:
     inside = _glued(inside, named).groupBy(*named).agg(F.collect_list(F.struct(F.col("start").alias("from"), F.col("n").alias("long"), *_PLACE)).alias("_runs"))
     equal = said.where("kind = 3").select("id", "text_hash", "start", *stretch).join(inside, named)
     equal = equal.select("id", "text_hash", "start", F.explode("_runs").alias("r")).select("id", "text_hash", (F.col("start") + F.col("r.from")).alias("start"), F.col("r.long").alias("n"), *(f"r.{c}" for c in _PLACE))
-    return own.unionByName(equal)
+    # what goes round has no path: it stands a round earlier, whichever path that is on
+    rounds = said.where("kind = 5").select("id", "text_hash", "start", "n", "src_id", "src_hash", "src_start", *(F.lit(None).cast("long").alias(c) for c in ("path", "path_at")))
+    return own.unionByName(equal).unionByName(rounds)
 
 
 def _glued(pieces: DataFrame, keys: list[str]) -> DataFrame:
@@ -400,7 +428,8 @@ def _glued(pieces: DataFrame, keys: list[str]) -> DataFrame:
 
 def repeated_spans(said: DataFrame) -> DataFrame:
     """What stands earlier, laid along the nonbranching paths: id, text_hash, start, n (edges), src_id, src_hash,
-    src_start, path, path_at. Words start .. start + n + 18 also stand at the source, along one path."""
+    src_start, path, path_at. Words start .. start + n + 18 also stand at the source, along one path (null: a round
+    earlier in the same text)."""
     return _glued(repeated_pieces(said), ["id", "text_hash"])
 
 

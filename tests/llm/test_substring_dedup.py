@@ -178,3 +178,18 @@ def test_a_passage_of_many_documents_is_a_row_each(spark):
     assert n[3] <= 200 and n[4] <= 60 * slices  # not a row per piece of every document
     spans = {(s.id, s.start, s.n, s.src_id, s.src_start) for s in repeated_spans(found).collect()}
     assert spans == {(k, 30, 281, 0, 30) for k in range(1, 200)}
+
+
+def test_a_text_that_goes_round_is_a_row(spark):
+    """Words in turns, in many documents: rows per document, not per round; equal to the brute force."""
+    r = random.Random(6)
+    rows = []
+    for k in range(60):
+        turns = ["p q", "p q r s t", "z", " ".join(f"l{j}" for j in range(25))][k % 4]
+        rows.append((k, " ".join([f"a{r.randint(0, 10**6)}", *[turns] * r.randint(60, 90), f"b{k}", *[turns] * (k % 3 * 20)])))
+    rows += [(100, rows[4][1]), (101, rows[5][1] + " end"), (7, rows[7][1]), (8, "p q " * 50), (8, "p q " * 50), (None, "p q " * 80)]
+    found = said(spark, rows).persist()
+    assert found.where("kind in (3, 5)").count() <= 20 * len(rows)
+    assert repeated_spans(found).count() <= 30 * len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, dedup_report(docs).collect()), key=str) == sorted(brute(rows), key=str)
