@@ -151,7 +151,8 @@ def test_fingerprints_are_plain_simhash():
 
 
 def test_query_misses_no_pair(spark, tmp_path):
-    """op10's n_near against all pairs of its own fingerprints: texts of similarity 0.6 to 0.95, most near the radius."""
+    """op10's n_near against all pairs of its own fingerprints: texts of similarity 0.7 to 0.8. The drawn tables, of
+    recall 0.99 at the radius, miss five of these pairs."""
     from loam.llm.queries import op10_fingerprints
 
     r = random.Random(12)
@@ -159,7 +160,7 @@ def test_query_misses_no_pair(spark, tmp_path):
     rows = [(10**6, None), (10**6 + 1, "")]
     for i in range(0, 4400, 2):
         a = words(60)
-        b = a[: r.randint(45, 59)]
+        b = a[: r.randint(50, 53)]
         rows += [(i, " ".join(a)), (i + 1, " ".join(b + words(60 - len(b))))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = op10_fingerprints(spark, str(tmp_path)).select("doc_id", "fingerprint", "n_near").collect()
