@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loam.llm.common import as_binary
+from loam.llm.common import SPACES, as_binary
 
+#: Fixed value: a published pattern of pre-tokens, none of which holds white space.
+SPACELESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORKER: dict[str, Encoder] = {}
 
 
@@ -34,10 +38,32 @@ class Stretch:
         return int(hit[0]) if len(hit) else -1
 
 
+def parts_at_spaces(file: dict) -> bool:
+    """Whether a tokenizer file encodes each word `[^\\x20\\x09-\\x0D]+` for itself, whatever stands around it.
+
+    Files known to do so: their normalizers look at a character and its combining marks (ASCII white space takes part in
+    no composition) or at a run of white space; pre-tokens are what matches `SPACELESS`, which looks neither ahead nor
+    back, and the rest is left out; merging stays within a pre-token; no special string holds white space.
+    """
+
+    def steps(x: dict | None, key: str) -> list[dict]:
+        return [] if x is None else x[key] if x["type"] == "Sequence" else [x]
+
+    normalizers, splits = steps(file["normalizer"], "normalizers"), steps(file["pre_tokenizer"], "pretokenizers")
+    known = all(n["type"] in ("NFC", "Lowercase") or n == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for n in normalizers)
+    known &= splits[:1] == [{"type": "Split", "pattern": {"Regex": SPACELESS}, "behavior": "Removed", "invert": True}]
+    known &= all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p.get("use_regex", True) for p in splits[1:])
+    known &= file["model"]["type"] == "BPE" and not file["model"].get("dropout")
+    return known and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or set(a["content"]) & set(SPACES) for a in file["added_tokens"])
+
+
 class Encoder:
-    """A tokenizer file of the tokenizers library, without added begin and end, truncation and padding."""
+    """A tokenizer file of the tokenizers library, without added begin and end, truncation and padding.
+
+    If the file parts at spaces, the library's ids of up to most_words words are kept, and dropped when there are more.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
@@ -47,9 +73,32 @@ class Encoder:
         special = [len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Characters before a cut end of which nothing is believed: more than a special string or a pattern looks ahead.
         self.margin = max(64, 2 * max(special, default=0))
-
-    def encode(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = parts_at_spaces(json.load(f))
+        self.most_words = most_words
+        self.known: dict[bytes, bytes] = {}  # a word's ids, four bytes each
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of whole texts; if the file parts at spaces, a word that is known is not encoded again."""
+        if not self.by_word:
+            return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        words = [t.encode().split() for t in texts]
+        new = set(chain.from_iterable(words)).difference(self.known)
+        if len(self.known) + len(new) > self.most_words:
+            self.known.clear()
+            new = set(chain.from_iterable(words))
+        self._learn(list(new))
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), dtype=np.int32) for ws in words]
+        for w in new:
+            if len(w) > 64:
+                del self.known[w]
+        return ids
+
+    def _learn(self, words: list[bytes], at_once: int = 4096) -> None:
+        for i in range(0, len(words), at_once):
+            some = words[i : i + at_once]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, dtype=np.int32).tobytes()
 
     def stretch(self, text: str, start: int, end: int) -> Stretch:
         e = self.tokenizer.encode(text[start:end], add_special_tokens=False)
@@ -121,8 +170,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     """One row per row of docs: id, n_bytes, n_tokens, over_limit, n_chunks, n_widened, and ids if asked for.
 
     The tokenizer is a .json file of the tokenizers library. A text of up to chunk_chars is one chunk, and short ones go
-    to the library in batches; longer ones are encoded in overlapping chunks with offsets that are spliced where both
-    encodings provably agree (see `splice`). A text without any boundary, such as one word of megabytes, ends up as one
+    to the library in batches, word by word where the file parts at spaces (see `Encoder.encode`); longer ones are
+    encoded in overlapping chunks with offsets that are spliced where both encodings provably agree (see `splice`). A text without any boundary, such as one word of megabytes, ends up as one
     chunk. No shuffle: texts stay where they were read.
     Null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated rows; a null id stays null; other
     columns are ignored; empty gives empty. Special strings in a text become the tokenizer's special tokens, as is its
@@ -143,8 +192,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
             size = 0
 
             def flush(rows=rows, held=held) -> None:
-                for (n_bytes, _), e in zip(held, encoder.encode([t for _, t in held]), strict=True):
-                    rows.append((n_bytes, len(e), 1, 0, e.ids if with_ids else None))
+                for (n_bytes, _), ids in zip(held, encoder.encode([t for _, t in held]), strict=True):
+                    rows.append((n_bytes, len(ids), 1, 0, ids if with_ids else None))
                 held.clear()
 
             for i in range(batch.num_rows):
