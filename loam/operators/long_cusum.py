@@ -2,9 +2,11 @@
 
 A chunk's alarms follow from its rows and the sums that come into it. At first every chunk but a run's first guesses: the
 most probable class of its first row, and no sums. Then each takes what its predecessor has passed on, and those for whom
-that differs from what they took before run again. After an alarm nothing depends on what was before it, and a sum that
-falls below all before forgets them, so what a chunk passes on is soon right; a run's k-th chunk is right after k rounds
-at the latest, and the loop ends when no chunk's input changes: then all is as if the rows had passed in one line.
+that differs in any bit from what they took before run again. After an alarm nothing depends on what was before it, so
+what a chunk with one passes on is soon right; where none comes, sums grow through one chunk after the other, in as many
+rounds, of which all but the first few take only the front chunk of those that differ. A run's k-th chunk is right after
+k rounds at the latest or when those before it no longer change, and the loop ends when no chunk's input changes: then
+all is, to the last bit, as if the rows had passed in one line.
 """
 
 from __future__ import annotations
@@ -20,6 +22,11 @@ from loam.operators.cusum import Sums, advance, argmax, log_probabilities
 from loam.operators.long_runs import CHUNK_ROWS, with_chunks
 from loam.shared import removed, shared_path
 
+#: What a chunk passes on.
+PASSED = ("active", "g", "s", "low", "low_at")
+#: Rounds in which all chunks run whose input differs; then only the first of those that follow each other.
+GUESSED = 3
+
 
 def cusum_alarms(rows: DataFrame, classes: Sequence[str], thresholds: Sequence[float], *, keys: Sequence[str] = ("model", "run_id"), proba: str = "proba", position: str = "i", time: str = "t", label: str | None = None, warmup: int = 0, eps: float = 1e-9, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """As `cusum.cusum_alarms`, for runs of any length; positions are unique within a run, keys have no nulls.
@@ -46,11 +53,12 @@ def cusum_alarms(rows: DataFrame, classes: Sequence[str], thresholds: Sequence[f
     lanes = lambda x: F.array_repeat(x, len(hs))
     base = F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = F.when(begins & (named > 0), (named - 1).cast("int")).otherwise(guess)
-    entries = per.select(*by, base.alias("base"), lanes(start).alias("active"), F.array_repeat(F.lit(0.0), len(hs) * n_classes).alias("g"), F.array_repeat(F.lit(0).cast("bigint"), len(hs) * n_classes).alias("low_at"))
+    none = lambda x: F.array_repeat(F.lit(x), len(hs) * n_classes)
+    entries = per.select(*by, base.alias("base"), lanes(start).alias("active"), *(none(0.0).alias(c) for c in ("g", "s", "low")), none(0).cast("array<bigint>").alias("low_at"))
     entries = table(entries, "entries-0")
     kinds = ", ".join(f"{c} {data.schema[c].dataType.simpleString()}" for c in by)
-    columns = [*by, "h", "k_a", "alarm_time", "to", "k0_hat", "g_max", "active", "g", "low_at"]
-    kind = f"{kinds}, h double, k_a bigint, alarm_time double, to int, k0_hat bigint, g_max double, active array<int>, g array<double>, low_at array<bigint>"
+    columns = [*by, "h", "k_a", "alarm_time", "to", "k0_hat", "g_max", *PASSED]
+    kind = f"{kinds}, h double, k_a bigint, alarm_time double, to int, k0_hat bigint, g_max double, active array<int>, g array<double>, s array<double>, low array<double>, low_at array<bigint>"
 
     def run(frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         if not len(frame) or not len(entry):
@@ -59,15 +67,12 @@ def cusum_alarms(rows: DataFrame, classes: Sequence[str], thresholds: Sequence[f
         p = np.stack(frame["_p"].to_numpy()).astype(float)
         if p.shape[1] != n_classes:
             raise ValueError(f"every row needs {n_classes} probabilities")
-        shape = (len(hs), n_classes)
-        sums = Sums(np.array(own["active"], np.int64), np.array(own["g"], float).reshape(shape), np.zeros(shape), np.array(own["low_at"], np.int64).reshape(shape))
+        sums = Sums(np.array(own["active"], np.int64), *(np.array(own[c], np.int64 if c == "low_at" else float).reshape(len(hs), n_classes) for c in PASSED[1:]))
         k, t, n = int(own["base"]) + np.arange(len(frame)), frame["_t"].to_numpy(), len(frame)
         lane, row, to, low_at, top = advance(sums, log_probabilities(p, eps), k, np.zeros(len(hs), np.int64), np.full(len(hs), n), hs, warmup)
         key = [own[c] for c in by]
-        out = [[*key, hs[j], k[i], t[i], c, low, g, None, None, None] for j, i, c, low, g in zip(lane.tolist(), row.tolist(), to.tolist(), low_at.tolist(), top.tolist(), strict=True)]
-        g = sums.s - sums.low
-        g[np.arange(len(hs)), sums.active] = 0.0
-        out.append([*key, None, None, None, None, None, None, sums.active.tolist(), g.ravel().tolist(), sums.low_at.ravel().tolist()])
+        out = [[*key, hs[j], k[i], t[i], c, low, g, *[None] * len(PASSED)] for j, i, c, low, g in zip(lane.tolist(), row.tolist(), to.tolist(), low_at.tolist(), top.tolist(), strict=True)]
+        out.append([*key, None, None, None, None, None, None, *(x.ravel().tolist() for x in sums.all())])
         return pd.DataFrame(out, columns=columns)
 
     todo, done, round_ = entries, None, 0
@@ -75,14 +80,14 @@ def cusum_alarms(rows: DataFrame, classes: Sequence[str], thresholds: Sequence[f
         some = data.join(todo.select(*by), by, "left_semi") if round_ else data
         found = table(some.groupBy(*by).cogroup(todo.groupBy(*by)).applyInPandas(run, kind).withColumn("_round", F.lit(round_)), f"found-{round_}")
         done = found if done is None else done.unionByName(found)
-        latest = done.where("active is not null").groupBy(*by).agg(F.max_by(F.struct("active", "g", "low_at"), "_round").alias("_x"))
-        into = latest.select(*by, F.lag("_x").over(line).alias("_x")).where("_x is not null").select(*by, "_x.*")
-        old = entries.select(*by, "base", F.col("active").alias("_a"), F.col("g").alias("_g"), F.col("low_at").alias("_l"))
-        same = (F.col("active") == F.col("_a")) & (F.col("low_at") == F.col("_l")) & F.forall(F.zip_with("g", "_g", lambda x, y: F.abs(x - y) <= 1e-9), lambda x: x)
+        latest = done.where("active is not null").groupBy(*by).agg(F.max_by(F.struct(*PASSED), "_round").alias("_x"))
+        into = latest.select(*by, F.lag("_x").over(line).alias("_in")).where("_in is not null")
         round_ += 1
-        both = old.join(into, by, "left").withColumn("_new", F.coalesce(~same, F.lit(False)))
-        pick = lambda new, before: F.when(F.col("_new"), F.col(new)).otherwise(F.col(before)).alias(new)
-        entries = table(both.select(*by, "base", pick("active", "_a"), pick("g", "_g"), pick("low_at", "_l"), "_new"), f"entries-{round_}")
+        both = entries.select(*by, "base", F.struct(*PASSED).alias("_had")).join(into, by, "left")
+        both = both.withColumn("_new", F.coalesce(F.col("_in") != F.col("_had"), F.lit(False)))
+        if round_ > GUESSED:  # what comes in behind a chunk that runs again is not yet right
+            both = both.withColumn("_new", F.col("_new") & ~F.lag("_new", 1, False).over(line))
+        entries = table(both.withColumn("_had", F.when(F.col("_new"), F.col("_in")).otherwise(F.col("_had"))).select(*by, "base", "_had.*", "_new"), f"entries-{round_}")
         todo = entries.where("_new")
         if todo.isEmpty():
             break

@@ -59,7 +59,7 @@ def stream_cusum(rows: DataFrame, classes: Sequence[str], h: float, *, keys: Seq
         if state.hasTimedOut:
             state.remove()
             return
-        active, s, low, low_at, k, *last = state.get if state.exists else (None, [0.0] * n, [0.0] * n, [0] * n, 0)
+        active, g, s, low, low_at, k, *last = state.get if state.exists else (None, [0.0] * n, [0.0] * n, [0.0] * n, [0] * n, 0)
         frame, us, last = _fresh(frames, ts, tie, tuple(last) if last else None)
         if not len(frame):
             return
@@ -67,14 +67,14 @@ def stream_cusum(rows: DataFrame, classes: Sequence[str], h: float, *, keys: Seq
         if active is None:
             known = frame[label].dropna() if label else ()
             active = list(classes).index(known.iloc[0]) if len(known) and known.iloc[0] in classes else int(np.nan_to_num(p[0]).argmax())
-        sums = Sums(np.array([active]), np.array([s]), np.array([low]), np.array([low_at]))
+        sums = Sums(*(np.array([x]) for x in (active, g, s, low, low_at)))
         at = k + np.arange(len(frame))
         _, row, to, start, top = advance(sums, log_probabilities(p, eps), at, np.array([0]), np.array([len(frame)]), np.array([h]), warmup)
-        _kept(state, (int(sums.active[0]), sums.s[0].tolist(), sums.low[0].tolist(), sums.low_at[0].tolist(), k + len(frame), *last), last[0], idle_ms)
+        _kept(state, (*(x[0].tolist() for x in sums.all()), k + len(frame), *last), last[0], idle_ms)
         times = frame[ts].to_numpy()
-        yield pd.DataFrame([(*key, int(at[i]), times[i], classes[c], int(k0), float(g)) for i, c, k0, g in zip(row, to, start, top, strict=True)], columns=names)
+        yield pd.DataFrame([(*key, int(at[i]), times[i], classes[c], int(k0), float(x)) for i, c, k0, x in zip(row, to, start, top, strict=True)], columns=names)
 
-    kept = "active int, s array<double>, low array<double>, low_at array<bigint>, k bigint, last_us bigint, last_tie bigint"
+    kept = "active int, g array<double>, s array<double>, low array<double>, low_at array<bigint>, k bigint, last_us bigint, last_tie bigint"
     wide = rows.withWatermark(ts, watermark).select(*keys, ts, proba, *(c for c in (label, tie) if c))
     return wide.groupBy(*keys).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
