@@ -49,6 +49,13 @@ def test_alarms_in_the_order_of_rows(tied):
     assert got == sorted((r, h, *x) for r, run in enumerate(p) for h in (0.5, 2.0) for x in bank(run, h)) and len(got) > 2000
 
 
+def test_first_alarm_in_the_order_of_rows(tied):
+    p, table = tied
+    got = sorted((r.run_id, r.k_a - 7, "abc".index(r.c_hat), r.g_max) for r in C.first_alarm(table, "abc", 2.0).collect())
+    want = [(r, x[0][0], x[0][1], x[0][3]) for r, run in enumerate(p) if (x := bank(run, 2.0))]
+    assert got == want and len(want) > 300
+
+
 @pytest.fixture(scope="module")
 def tied_runs(tmp_path_factory):
     d = tmp_path_factory.mktemp("tied")
@@ -59,6 +66,6 @@ def tied_runs(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["cusum_alarms"])
+@pytest.mark.parametrize("name", ["cusum_alarms", "cusum_first_alarm"])
 def test_as_sql(spark, tied_runs, name):
     assert oracle.difference(spark, oracle.connection(tied_runs), name, entry.queries()[name], entry.oracle_sql()[name], tied_runs) == ""
