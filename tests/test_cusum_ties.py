@@ -66,6 +66,6 @@ def tied_runs(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["cusum_alarms", "cusum_first_alarm", "cusum_outcomes", "false_alarm_rate", "stream_cusum", "operating_curve"])
+@pytest.mark.parametrize("name", ["cusum_alarms", "cusum_first_alarm", "cusum_outcomes", "false_alarm_rate", "stream_cusum", "operating_curve", "false_alarms"])
 def test_as_sql(spark, tied_runs, name):
     assert oracle.difference(spark, oracle.connection(tied_runs), name, entry.queries()[name], entry.oracle_sql()[name], tied_runs) == ""
