@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from loam.operators import cusum as C
+from loam.operators import long_cusum as L
 
 KIND = "model string, run_id int, i long, t double, proba array<double>"
 #: Runs of sf0.1 in which sums of equal factors in another order gave another class or row.
@@ -56,6 +57,12 @@ def test_first_alarm_in_the_order_of_rows(tied):
     assert got == want and len(want) > 300
 
 
+def test_chunks_in_the_order_of_rows(tied):
+    p, table = tied
+    got = sorted((r.run_id, r.h, r.k_a, "abc".index(r.c_hat), r.k0_hat, r.g_max) for r in L.cusum_alarms(table, "abc", [0.5, 2.0], chunk_rows=16).collect())
+    assert got == sorted((r, h, *x) for r, run in enumerate(p) for h in (0.5, 2.0) for x in bank(run, h))
+
+
 @pytest.fixture(scope="module")
 def tied_runs(tmp_path_factory):
     d = tmp_path_factory.mktemp("tied")
@@ -66,6 +73,6 @@ def tied_runs(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["cusum_alarms", "cusum_first_alarm", "cusum_outcomes", "false_alarm_rate", "stream_cusum", "operating_curve", "false_alarms"])
+@pytest.mark.parametrize("name", ["cusum_alarms", "cusum_first_alarm", "cusum_outcomes", "false_alarm_rate", "stream_cusum", "operating_curve", "false_alarms", "long_cusum_alarms"])
 def test_as_sql(spark, tied_runs, name):
     assert oracle.difference(spark, oracle.connection(tied_runs), name, entry.queries()[name], entry.oracle_sql()[name], tied_runs) == ""
