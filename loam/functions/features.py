@@ -233,3 +233,21 @@ def window_features(rows: DataFrame, fs: float, *, keys: Sequence[str] = ("run_i
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(sizes, pa.int64()), *(pa.array(found[n], from_pandas=True) for n in names)], names=[*keys, "n_samples", *names])
 
     return wide.mapInArrow(run, kind)
+
+
+def mean_of(values: Column) -> Column:
+    """Mean of an array, added up from its front: of values `in_order` the same to the last bit (a bound that means often
+    meet may hang on it) whatever order tasks and spills bring rows in. Nulls are left out."""
+    there = F.filter(values, lambda x: x.isNotNull())
+    return F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, x: a + x), F.size(there))
+
+
+def std_of(values: Column) -> Column:
+    """Population deviation of an array by Welford's updates from its front; nulls are left out."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("d"))
+
+    def step(a: Column, x: Column) -> Column:
+        mean = a["m"] + (x - a["m"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("m"), (a["d"] + (x - mean) * (x - a["m"])).alias("d"))
+
+    return F.aggregate(F.filter(values, lambda x: x.isNotNull()), start, step, lambda a: F.when(a["n"] > 0, F.sqrt(a["d"] / a["n"])))
