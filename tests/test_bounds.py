@@ -29,7 +29,7 @@ def met(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["speed_regime_split"])
+@pytest.mark.parametrize("name", ["speed_regime_split", "regime_class_report"])
 def test_whatever_is_spilled(spark, met, name):
     con = oracle.connection(met)
     con.sql("SET threads = 1")  # with several, SQL's own sums come in any order
