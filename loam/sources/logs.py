@@ -73,8 +73,10 @@ def relative_time(samples: DataFrame, *, run: str = "run_id", time: str = "t") -
 
 
 def write_runs(df: DataFrame, path: str, fmt: str = "parquet", by: str = "run_id") -> None:
-    """One folder per run; fmt: parquet, csv (with header) or json."""
-    writer = df.write.mode("overwrite").partitionBy(by)
+    """One folder per run; fmt: parquet, csv (with header) or json. A run's rows go to one task, which writes one file;
+    runs go to as many tasks as the session shuffles to."""
+    n_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(n_tasks, by).write.mode("overwrite").partitionBy(by)
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
