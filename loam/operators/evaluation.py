@@ -53,12 +53,12 @@ def confusion(rows: DataFrame, *, keys: Sequence[str] = ("model",), label: str =
     return cell.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, label)))
 
 
-def class_metrics(rows: DataFrame, *, keys: Sequence[str] = ("model",), fold: str = "fold", label: str = "label", pred: str = "pred", classes: str = "evaluable") -> DataFrame:
+def class_metrics(rows: DataFrame, *, keys: Sequence[str] = ("model",), fold: str = "fold", label: str = "label", pred: str = "pred", classes: str = "evaluable", count: str | None = None) -> DataFrame:
     """keys, fold, class, support, precision, recall, f1; figures are null for a class that doesn't count.
 
     classes: 'evaluable' (in the fold and in the other folds) or 'in_test' (in the fold). A class that is never
-    predicted has precision 0."""
-    cell = rows.groupBy(*keys, fold, label, pred).agg(F.count(F.lit(1)).alias("n"))
+    predicted has precision 0. count: a column that says how many rows a row stands for."""
+    cell = rows.groupBy(*keys, fold, label, pred).agg((F.sum(count) if count else F.count(F.lit(1))).alias("n"))
     true = cell.groupBy(*keys, fold, F.col(label).alias("class")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(0)).alias("tp"))
     said = cell.groupBy(*keys, fold, F.col(pred).alias("class")).agg(F.sum("n").alias("predicted"))
     out = true.join(said, [*keys, fold, "class"], "full").fillna(0, ["support", "tp", "predicted"])
@@ -72,10 +72,15 @@ def class_metrics(rows: DataFrame, *, keys: Sequence[str] = ("model",), fold: st
     return out.select(*keys, fold, "class", "support", ratio(tp, F.col("predicted")).alias("precision"), ratio(tp, F.col("support")).alias("recall"), ratio(2 * tp, F.col("predicted") + F.col("support")).alias("f1"))
 
 
-def fold_metrics(rows: DataFrame, *, keys: Sequence[str] = ("model",), fold: str = "fold", label: str = "label", pred: str = "pred", classes: str = "evaluable") -> DataFrame:
-    """keys, fold, n_test, accuracy, macro_f1 (over the classes that count; null without any)."""
-    macro = class_metrics(rows, keys=keys, fold=fold, label=label, pred=pred, classes=classes).groupBy(*keys, fold).agg(F.avg("f1").alias("macro_f1"))
-    hits = rows.groupBy(*keys, fold).agg(F.count(F.lit(1)).alias("n_test"), F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"))
+def fold_metrics(rows: DataFrame, *, keys: Sequence[str] = ("model",), fold: str = "fold", label: str = "label", pred: str = "pred", classes: str = "evaluable", count: str | None = None) -> DataFrame:
+    """keys, fold, n_test, accuracy, macro_f1 (over the classes that count; null without any). count: a column that says
+    how many rows a row stands for."""
+    macro = class_metrics(rows, keys=keys, fold=fold, label=label, pred=pred, classes=classes, count=count).groupBy(*keys, fold).agg(F.avg("f1").alias("macro_f1"))
+    right = F.col(label) == F.col(pred)
+    if count:
+        hits = rows.groupBy(*keys, fold).agg(F.sum(count).alias("n_test"), F.try_divide(F.sum(right.cast("double") * F.col(count)), F.sum(F.when(right.isNotNull(), F.col(count)))).alias("accuracy"))
+    else:
+        hits = rows.groupBy(*keys, fold).agg(F.count(F.lit(1)).alias("n_test"), F.avg(right.cast("double")).alias("accuracy"))
     return hits.join(macro, [*keys, fold])
 
 

@@ -96,6 +96,11 @@ def pooled(n: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[np.ndarray
     return centre, n @ (var + (mean - centre) ** 2)
 
 
+def spread(rows: DataFrame, n: int, per_task: int) -> DataFrame:
+    """rows dealt to tasks of some per_task of the n units of work that they make: a table of one file may be read by one."""
+    return rows.repartition(-(-n // per_task)) if n > per_task else rows
+
+
 def _matrix(column: pa.ListArray | pa.ChunkedArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -177,6 +182,63 @@ class Models:
         pred = F.get(F.array(*map(F.lit, self.classes)), F.col("_k"))
         return done.select(*(F.col(n).alias(c) for n, c in zip(names, kept, strict=True)), F.col("_p").alias("proba"), pred.alias("pred"))
 
+    def _classes_of(self, rows: DataFrame, case: str, kept: Sequence[str], extra: str, n: int, score) -> DataFrame:
+        """kept and `place` (0..n - 1), _pred, _n: how often the n cases of score(x, mask, extra's column, model) have each class."""
+        a, b, centre, scale, width = self.a, self.b, self.centre, self.scale, len(self.features)
+        names = [f"_c{i}" for i in range(len(kept))]
+        x = F.array(*(F.col(f).cast("double") for f in self.features)).alias("_x")
+        taken = rows.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(kept, names, strict=True)), F.col(case).cast("int").alias("_case"), x, F.col(extra).alias("_extra"))
+        out = T.StructType([*taken.schema.fields[: len(names)], T.StructField("_k", T.ArrayType(T.IntegerType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                which, found = batch.column(len(names)).to_numpy(), np.zeros((batch.num_rows, n), np.int32)
+                x = _matrix(batch.column(len(names) + 1), width)
+                mask = np.isfinite(x)
+                x = np.where(mask, x, 0.0)
+                for m in np.unique(which):
+                    mine = np.flatnonzero(which == m)
+                    base = ((x[mine] - centre) / scale) @ a[m] + b[m]
+                    score(base, x[mine], mask[mine], batch.column(len(names) + 2).take(pa.array(mine)), a[m], found, mine)
+                offsets = pa.array(np.arange(len(found) + 1) * n, pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=out.names)
+
+        each = taken.mapInArrow(run, out).select(*names, F.posexplode("_k").alias("place", "_k"))
+        cells = each.groupBy(*names, "place", "_k").agg(F.count(F.lit(1)).alias("_n"))
+        pred = F.get(F.array(*map(F.lit, self.classes)), F.col("_k")).alias("pred")
+        return cells.select(*(F.col(o).alias(c) for c, o in zip(kept, names, strict=True)), "place", pred, "_n")
+
+    def predict_along(self, rows: DataFrame, case: str, move: str, factors: Sequence[float], kept: Sequence[str]) -> DataFrame:
+        """How many rows of each `kept` are predicted as what, with `move` (an array in the order of `features`) added to the
+        features once for each factor (`place`): kept, place, pred, _n. A step is a multiple of a row's scores, so that
+        all factors need its features once."""
+        scale, width = self.scale, len(self.features)
+        order = [float(f) for f in factors]
+
+        def score(base: np.ndarray, x: np.ndarray, mask: np.ndarray, move: pa.Array, a: np.ndarray, found: np.ndarray, mine: np.ndarray) -> None:
+            step = (np.where(mask, _matrix(move, width), 0.0) / scale) @ a
+            for j, f in enumerate(order):
+                found[mine, j] = (base + f * step).argmax(axis=1)
+
+        return self._classes_of(rows, case, kept, move, len(order), score)
+
+    def predict_swapped(self, rows: DataFrame, case: str, new: str, repeats: int, kept: Sequence[str]) -> DataFrame:
+        """As `predict_along`, with a single feature's value changed: `new` has structs of place (feature x repeats + repeat)
+        and value, one for each place. The last place is the row as it is."""
+        scale, width = self.scale, len(self.features)
+
+        def score(base: np.ndarray, x: np.ndarray, mask: np.ndarray, new: pa.Array, a: np.ndarray, found: np.ndarray, mine: np.ndarray) -> None:
+            places, values = (c.to_numpy(zero_copy_only=False) for c in new.flatten().flatten())
+            dealt = np.empty((len(mine), width * repeats))
+            dealt[np.repeat(np.arange(len(mine)), width * repeats), places] = values
+            dealt = np.where(np.isfinite(dealt), dealt, 0.0).reshape(len(mine), width, repeats)
+            for f in range(width):
+                step = (dealt[:, f] - x[:, f : f + 1]) / scale[f]
+                found[mine, f * repeats : (f + 1) * repeats] = (base[:, None] + step[:, :, None] * a[f]).argmax(axis=2)
+            found[mine, -1] = base.argmax(axis=1)
+
+        return self._classes_of(rows, case, kept, new, width * repeats + 1, score)
+
 
 def fit(table: DataFrame, cases: Sequence[Case], *, run: str = "run_id", label: str = "label", balanced: bool = True, most_steps: int = 200, tol: float = 1e-6) -> Models:
     """All cases' models: multinomial logistic regression on features over their deviation in the case's weighted
@@ -197,7 +259,8 @@ def fit(table: DataFrame, cases: Sequence[Case], *, run: str = "run_id", label:
     spark = table.sparkSession
     run_of, class_of = ({v: i for i, v in enumerate(x)} for x in (runs, classes))
     small = spark.createDataFrame([(*k, run_of[k[0]], class_of[k[1]]) for k in keys], T.StructType([clean.schema[run], clean.schema[label], T.StructField("_run", T.IntegerType()), T.StructField("_label", T.IntegerType())]))
-    rows = stored(clean.join(F.broadcast(small), [run, label]).select("_run", "_label", F.array(*features).alias("_x")), "folds")  # a row per run and class
+    rows = clean.join(F.broadcast(small), [run, label]).select("_run", "_label", F.array(*features).alias("_x"))  # a row per run and class
+    rows = stored(spread(rows, int(n.sum()), 8192), "folds")
     n_tasks = rows.rdd.getNumPartitions()
     group_run, group_class = np.array([run_of[k[0]] for k in keys]), np.array([class_of[k[1]] for k in keys])
     centre, squares = pooled(n, mean, var)
