@@ -63,6 +63,11 @@ def no_rows(*_):
     raise AssertionError("a row per case")
 
 
+def test_noise_takes_no_row_per_sigma(table, monkeypatch):
+    monkeypatch.setattr(Models, "predict", no_rows)
+    assert M.noise_sweep(table, FEATURES, [0.0, 1.0], 3, key=["k"]).count() == 2
+
+
 def test_importance_takes_no_row_per_case(table, monkeypatch):
     monkeypatch.setattr(Models, "predict", no_rows)
     assert M.permutation_importance(table, FEATURES, 3, key=["k"]).count() == 9
